@@ -1,0 +1,30 @@
+"""Connected components over a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component (the smallest node of its component), for every node of the links (a, b).
+
+    Labels travel along the links and then jump to their label's label, so the rounds are about the logarithm of the longest path.
+    Each round is written to the shared folder. A hub's messages are reduced before they are shuffled.
+    """
+    edges = scratch.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    labels = scratch.save(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")))
+    total = None
+    while True:
+        sent = edges.join(labels, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "component")
+        low = sent.union(labels).groupBy("node").agg(F.min("component").alias("component"))
+        low = scratch.save(low)
+        target = low.select(F.col("node").alias("at"), F.col("component").alias("jump"))
+        new = scratch.save(low.join(target, F.col("component") == F.col("at"), "left").select("node", F.least("component", "jump").alias("component")))
+        now = new.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        scratch.drop(low)
+        if now == total:
+            return new
+        labels, total = new, now

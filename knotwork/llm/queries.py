@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from .exact_topk import OP6_SQL, op6_exact_topk
 from .mixing import OP7_SQL, op7_mixing
+from .near_dedup import op10_near_dedup
+from .token_binary import op4_token_binary
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op4_token_binary": op4_token_binary,
+    "op6_exact_topk": op6_exact_topk,
     "op7_mixing": op7_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_exact_topk": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op9_url_filter": OP9_SQL,
 }
