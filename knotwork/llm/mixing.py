@@ -4,8 +4,8 @@ Every source has a target share of the output, in characters. The target repetit
 distribution, which a number hashed from (seed, doc_id) inverts: the smallest count whose cumulated probability reaches it. Each
 document is exploded by its count, and all copies are put in one global order by a hash of (seed, doc_id, copy).
 
-The statistics are one partial aggregation by source. The rates join back by source: Catalyst broadcasts them while they are small;
-otherwise it is a sort-merge join whose hot source AQE splits, as no aggregation follows. The global order is a range exchange on
+The statistics are one partial aggregation by source, written to the shared folder. The rates join back by source: Catalyst broadcasts
+them while their file is small; otherwise it is a sort-merge join whose hot source AQE splits, as no aggregation shares its stage. The global order is a range exchange on
 a uniform hash, so its partitions are even whatever the sources are.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_unit, table
+from .common import Scratch, hash_unit, table
 
 SEED = "mix-1"
 #: A larger mean is the sum of several independent Poisson counts of at most this mean: exp(-mean) must stay well above underflow.
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, seed: str = SEED, key
     are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = with_table(source_rates(docs, targets, source, text)).select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    # written first, so that Catalyst knows its size when it chooses the join
+    rates = Scratch(docs.sparkSession, "mixing").save(with_table(source_rates(docs, targets, source, text))).select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
 
     def count(u):
