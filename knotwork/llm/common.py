@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_root: list[str] = []
 
@@ -26,6 +28,7 @@ class Scratch:
     """Intermediate tables written to the shared folder. They cut lineage, so a lost executor costs a reread, not a rerun."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/knotwork/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -46,6 +49,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

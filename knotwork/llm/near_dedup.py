@@ -10,10 +10,11 @@ second counts these over all documents.
 A third pass makes each distinct text's signature, BANDS x ROWS samples, in the log domain: the gamma and uniform variates of the
 sampling come from quantile tables of 65,536 entries, indexed by bits of a hash of (shingle, number of the sample).
 
-Texts with the same words are one class from the start. Of the others, small buckets of a band are compared in full. In a larger one
-all members are compared with one leader, chosen by hash and thus anew in each band; those unlike it are dealt into narrower buckets
-by the other bands and treated in the same way, until nothing is left. So no group yields all its pairs. Every candidate pair is
-verified by the weighted Jaccard similarity of the texts themselves, and classes are the connected components of the links.
+Texts with the same words are one class from the start. Of the others, every member of a bucket of a band is first compared with one
+leader, chosen by hash and thus anew in each band. Only buckets that still hold several classes go on, and in them only pairs of
+different classes: small buckets are compared in full, larger ones are dealt into narrower buckets by the later bands and treated in
+the same way, until nothing is left. So no group yields all its pairs. Every candidate pair is verified by the weighted Jaccard
+similarity of the texts themselves, and classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .graph import components
-from .words import hashed, mixed, shingles, words
+from .words import Hashed, mixed, steps
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -38,15 +39,21 @@ MAX_RATIO = 100
 #: Members up to which a bucket is compared in full; its pairs are then linear in the bucket's rows.
 SMALL_BUCKET = 16
 CHUNK_DOCS, CHUNK_SHINGLES = 4096, 2_000_000
-STEP = 1 << 16
+#: Characters of text whose signatures are made at once: the arrays then stay in the processor's cache.
+STEP = 1 << 18
 
 # ---- weights --------------------------------------------------------------------------------------------------------------------
 
 
-def weighted(text: str | None, common: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of a text and their weights. common: sorted shingles that have another idf than the highest."""
-    found, counts = np.unique(shingles(hashed(words(text)), WIDTH), return_counts=True)
-    return found, counts * idf_of(found, common, idf)
+def weighted(texts: list[str | None], common: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingles of each text and their weights. common: sorted shingles that have another idf than the highest."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in steps(texts):
+        found, owner, counts = Hashed(texts[i:j]).counted(WIDTH)
+        weights = counts * idf_of(found, common, idf)
+        edges = np.searchsorted(owner, np.arange(j - i + 1))
+        out += [(found[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return out
 
 
 def idf_of(found: np.ndarray, common: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -59,31 +66,38 @@ def idf_of(found: np.ndarray, common: np.ndarray, idf: np.ndarray) -> np.ndarray
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: the sum of the smaller weights over the sum of the larger."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][i], b[1][j]).sum()
-    most = a[1].sum() + b[1].sum() - least
-    return float(least / most) if most else 0.0
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    least = np.minimum(a[1][same], b[1][at[same]]).sum()
+    return float(least / (a[1].sum() + b[1].sum() - least))
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(documents with a word, distinct shingles, documents that have each) of successive chunks of a task's rows."""
     held: list[np.ndarray] = []
-    size = 0
+    n = size = 0
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        for i, j in steps(texts):
+            found, owner, _ = Hashed(texts[i:j]).counted(WIDTH)
+            n += len(np.unique(owner))
+            size += len(found)
+            held.append(found)
+            if n >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
+                yield (n, *tallied(held))
+                held, n, size = [], 0, 0
+    if n:
+        yield (n, *tallied(held))
 
-    def counted() -> tuple[int, np.ndarray, np.ndarray]:
-        return (len(held), *np.unique(np.concatenate(held), return_counts=True))
 
-    for pdf in batches:
-        for text in pdf["text"]:
-            own = np.unique(shingles(hashed(words(text)), WIDTH))
-            if len(own):
-                held.append(own)
-                size += len(own)
-            if len(held) >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
-                yield counted()
-                held, size = [], 0
-    if held:
-        yield counted()
+def tallied(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(np.concatenate(held))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def common_shingles(texts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +120,15 @@ def common_shingles(texts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.
     def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros(len(shared.value), dtype=np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                own = np.unique(shingles(hashed(words(text)), WIDTH))
-                at = np.minimum(np.searchsorted(shared.value, own), len(totals) - 1)
-                totals[at[shared.value[at] == own]] += 1
+            texts = pdf["text"].tolist()
+            for i, j in steps(texts):
+                found, _, _ = Hashed(texts[i:j]).counted(WIDTH)
+                at = np.minimum(np.searchsorted(shared.value, found), len(totals) - 1)
+                totals += np.bincount(at[shared.value[at] == found], minlength=len(totals))
         yield pd.DataFrame({"h": shared.value.view(np.int64)[totals > 0], "n": totals[totals > 0]})
 
     rows = texts.mapInPandas(recount, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * MAX_RATIO > n_docs).collect() if len(maybe) else []
-    rows.sort(key=lambda r: r["h"] % (1 << 64))
+    rows.sort(key=lambda r: r["h"])
     return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([1 + np.log10(n_docs / r["n"]) for r in rows])
 
 
@@ -133,15 +148,12 @@ class Sampler:
         self.gamma, self.log_gamma, self.uniform = quantile_tables()
         self.salts = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def bands(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """A row of BANDS keys for each document (none of which may be empty)."""
-        sizes = np.array([len(d[0]) for d in docs])
-        starts = np.cumsum(sizes) - sizes
-        found = np.concatenate([d[0] for d in docs])
-        log_w = np.log(np.concatenate([d[1] for d in docs])).astype(np.float32)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+    def bands(self, found: np.ndarray, owner: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A row of BANDS keys for each document. owner numbers the shingles' documents from 0, without gaps and in order."""
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        log_w = np.log(weights).astype(np.float32)
         low16 = np.uint64(0xFFFF)
-        keys = np.zeros((len(docs), BANDS), dtype=np.uint64)
+        keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k, salt in enumerate(self.salts):
                 x = (found ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
@@ -170,31 +182,35 @@ def signatures(texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFra
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(BANDS * ROWS)
         common, idf = shared.value
-        ids: list = []
-        digests: list[bytes | None] = []
-        fresh: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            keys = dict(zip(fresh, sampler.bands(list(fresh.values())).view(np.int64).tolist(), strict=True)) if fresh else {}
-            d = [np.frombuffer(x, dtype="<i8") if x else (None, None) for x in digests]
-            return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "d1": pd.array([x[0] for x in d], dtype="Int64"), "d2": pd.array([x[1] for x in d], dtype="Int64"), "bands": [keys.get(x) for x in digests]})
-
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                own = hashed(words(text))
-                digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
-                ids.append(doc_id)
-                digests.append(digest)
-                if digest and digest not in fresh:
-                    found, counts = np.unique(shingles(own, WIDTH), return_counts=True)
-                    fresh[digest] = found, counts * idf_of(found, common, idf)
-                    size += len(found)
-                if size >= STEP or len(ids) >= 4096:
-                    yield flush()
-                    ids, digests, fresh, size = [], [], {}, 0
-        if ids:
-            yield flush()
+            texts = pdf["text"].tolist()
+            for i, j in steps(texts, STEP):
+                batch = Hashed(texts[i:j])
+                ends = batch.begins.tolist()
+                digests = [hashlib.blake2b(batch.words[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                first: dict[bytes, int] = {}
+                for x in digests:
+                    if x:
+                        first.setdefault(x, len(first))
+                number = np.full(j - i, -1, dtype=np.int64)  # of the first text with each digest
+                seen: set[bytes] = set()
+                for k, x in enumerate(digests):
+                    if x and x not in seen:
+                        seen.add(x)
+                        number[k] = first[x]
+                found, owner, counts = batch.counted(WIDTH)
+                fresh = number[owner] >= 0
+                found, owner, counts = found[fresh], number[owner[fresh]], counts[fresh]
+                keys = sampler.bands(found, owner, counts * idf_of(found, common, idf)).view(np.int64).tolist() if first else []
+                d = [np.frombuffer(x, dtype="<i8") if x else (None, None) for x in digests]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pdf["doc_id"].iloc[i:j].astype("Int64"),
+                        "d1": pd.array([x[0] for x in d], dtype="Int64"),
+                        "d2": pd.array([x[1] for x in d], dtype="Int64"),
+                        "bands": [keys[first[x]] if x else None for x in digests],
+                    }
+                )
 
     return texts.mapInPandas(sign, SIGNED)
 
@@ -209,52 +225,55 @@ def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.nda
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            good = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-                for i, t in ((a, x), (b, y)):
-                    if i not in known:
-                        if len(known) >= 256:
-                            known.clear()
-                        known[i] = weighted(t, *shared.value)
-                # a clear() above may have dropped the first
-                va = known.get(a) or weighted(x, *shared.value)
-                good.append(similarity(va, known[b]) >= SIMILARITY)
-            yield pdf.loc[good, ["a", "b"]]
+            sizes = pdf["text_a"].str.len() + pdf["text_b"].str.len()
+            for _, some in pdf.groupby((sizes.cumsum() // 4_000_000).to_numpy()):
+                held = dict(zip(some["a"], some["text_a"], strict=True)) | dict(zip(some["b"], some["text_b"], strict=True))
+                known = dict(zip(held, weighted(list(held.values()), *shared.value), strict=True))
+                good = [similarity(known[a], known[b]) >= SIMILARITY for a, b in zip(some["a"], some["b"], strict=True)]
+                yield some.loc[good, ["a", "b"]]
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
 
 
-def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame | None:
+def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
     """Verified links (a < b) between distinct texts. signed: doc_id and bands, a row per distinct text."""
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    narrowed = F.xxhash64("bucket", "band", "key")
-    alive = banded.select(F.xxhash64("band", "key").alias("bucket"), "doc_id")
-    sized = scratch.save(alive.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("leader")).where("n > 1"))
-    alive = scratch.save(alive.join(sized.select("bucket"), "bucket", "left_semi"))
+    alive = banded.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
+    full = alive.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    alive = scratch.save(alive.join(full, "bucket"))
     needed = alive.select("doc_id").distinct()
     # one text a doc_id, for all rounds
     held = scratch.save(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    found: DataFrame | None = None
+    in_class = F.coalesce("component", "doc_id").alias("class")
+    classed = alive.select("bucket", "last", "doc_id", "n", F.col("doc_id").alias("class"))
+    found = tried = None
+    small = 1  # in the first round all buckets have a leader
     while True:
-        members = alive.join(sized, "bucket")
-        small = members.where(F.col("n") <= SMALL_BUCKET).select("bucket", "doc_id")
-        other = small.select("bucket", F.col("doc_id").alias("other"))
-        both = small.join(other, "bucket").where("doc_id < other").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-        spokes = scratch.save(members.where((F.col("n") > SMALL_BUCKET) & (F.col("doc_id") != F.col("leader"))).select("bucket", "doc_id", "leader", F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")))
-        pairs = both.union(spokes.select("a", "b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
+        leaders = classed.where(F.col("n") > small).groupBy("bucket").agg(F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket")).alias("leader"))
+        spokes = classed.where(F.col("n") > small).join(leaders, "bucket").where("class <> leader.class")
+        spokes = spokes.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
+        few = classed.where(F.col("n") <= small).select("bucket", "doc_id", "class")
+        other = few.select("bucket", F.col("doc_id").alias("other"), F.col("class").alias("other_class"))
+        both = few.join(other, "bucket").where("doc_id < other AND class <> other_class").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+        pairs = spokes.union(both).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs)
         new = scratch.save(verified(pairs, held, common, idf))
         found = new if found is None else scratch.save(found.union(new))
-        # what is unlike its leader goes on, in buckets that another band narrows
-        rest = spokes.join(found, ["a", "b"], "left_anti").select("bucket", "doc_id")
-        apart = rest.join(banded, "doc_id").select(narrowed.alias("bucket"), "doc_id").distinct()
-        sized = scratch.save(apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("leader")).where("n > 1"))
-        if sized.isEmpty():
+        tried = pairs if tried is None else scratch.save(tried.union(pairs))
+        named = components(found, scratch)
+        # what still holds several classes: small buckets once more, larger ones narrowed by each of their later bands
+        rest = classed.where(F.col("n") > SMALL_BUCKET).join(banded, "doc_id").where(F.col("band") > F.col("last")).select(F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
+        if small == 1:
+            rest = rest.union(classed.where(F.col("n") <= SMALL_BUCKET).select("bucket", "last", "doc_id"))
+        rest = scratch.save(rest.select("bucket", "last", "doc_id").join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "last", "doc_id", in_class))
+        mixed_up = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket", "n")
+        small = SMALL_BUCKET
+        classed = scratch.save(rest.join(mixed_up, "bucket").select("bucket", "last", "doc_id", "n", "class"))
+        if classed.isEmpty():
             return found
-        alive = scratch.save(apart.join(sized.select("bucket"), "bucket", "left_semi"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,14 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
+from .words import spans_hashed, steps
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers. The first ones are the frequent ones; it starts anew only if most words of a batch are new.
+CACHE_WORDS = 700_000
 #: White space that is followed by more white space or the end: such texts are encoded in one piece.
 IRREGULAR = re.compile(r"[ \n](?:\s|\Z)")
 
+BREAKS = np.isin(np.arange(256), [10, 32])
+#: Marks of punctuation, which the splitting pattern separates from a letter or digit before them.
+MARK = np.isin(np.arange(256), list(b".,;:!?"))
+ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+
 # ---- the code -------------------------------------------------------------------------------------------------------------------
 
 #: Lengths of the four values of each control byte, and their sum.
@@ -70,8 +76,10 @@ class Encoder:
     """Encodes whole texts; equal to encoding each text at once.
 
     A byte-level BPE with the usual splitting pattern never joins a space or line feed, when a non-space follows it, to what stands
-    before it. So a text without runs of white space is the sequence of its lines and of its words with their leading space, and
-    the ids of such words can be remembered. Any other text is encoded in one piece.
+    before it, nor a mark of punctuation to an ASCII letter or digit. So a text without runs of white space is a sequence of pieces:
+    line feeds, words with their leading space, and what follows a mark. Pieces are found in the bytes of a whole batch in numpy, told
+    apart by a 64-bit hash and their length, and only distinct ones that aren't remembered go to the tokenizer. Any other text is
+    encoded in one piece.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -85,62 +93,79 @@ class Encoder:
         self.opens = np.zeros(self.size, dtype=bool)
         for token, number in vocab.items():
             self.opens[number] = token.startswith("Ġ")
-        self.line_feed = self.raw("\n")
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"": b""}
-
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def learn(self, words: set[str], known: dict[str, bytes], spaced: bool) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-            new = list(words - {""})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode(("" if not spaced else " ") + (" " if spaced else "\n").join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            if spaced:
-                starts = np.flatnonzero(self.opens[ids])
-                pieces = np.split(ids, starts[1:])
-            else:
-                breaks = np.flatnonzero(ids == np.frombuffer(self.line_feed, dtype=self.dtype)[0])
-                pieces = [p[1:] if j else p for j, p in enumerate(np.split(ids, breaks))]
-            if len(pieces) == len(some):
-                known.update(zip(some, (p.tobytes() for p in pieces), strict=True))
-            else:  # a word that holds what the pattern treats as a space
-                for w in some:
-                    known[w] = self.raw(" " + w if spaced else w)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for text in texts:
-            if IRREGULAR.search(text):
-                split.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                bare.add(line[0])
-                spaced.update(line[1:])
-            split.append(lines)
-        self.learn(spaced, self.spaced, True)
-        self.learn(bare, self.bare, False)
-        out = []
-        for text, lines in zip(texts, split, strict=True):
-            if lines is None:
-                out.append(self.raw(text))
-                continue
-            parts = []
-            for j, line in enumerate(lines):
-                if j:
-                    parts.append(self.line_feed)
-                parts.append(self.bare[line[0]])
-                parts += [self.spaced[w] for w in line[1:]]
-            out.append(b"".join(parts))
-        return out
+        self.line_feed = self.ids("\n")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat = np.zeros(0, dtype=self.dtype)
+        self.offsets = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def learned(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece; pieces of one kind are joined, so that the tokenizer is called once for many."""
+        out: list = [None] * len(pieces)
+        for spaced in (True, False):
+            chosen = [i for i, p in enumerate(pieces) if p.startswith(b" ") == spaced and p != b"\n"]
+            for k in range(0, len(chosen), 20_000):
+                some = chosen[k : k + 20_000]
+                ids = self.ids((b"" if spaced else b"\n").join([pieces[i] for i in some]).decode("utf-8", "surrogatepass"))
+                if spaced:
+                    starts = np.flatnonzero(self.opens[ids])
+                    ends = np.append(starts[1:], len(ids))
+                else:
+                    breaks = np.flatnonzero(ids == self.line_feed[0])
+                    starts, ends = np.append(0, breaks + 1), np.append(breaks, len(ids))
+                if len(starts) == len(some):
+                    for i, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True):
+                        out[i] = ids[a:b]
+                else:  # a piece that holds what the pattern treats as a space
+                    for i in some:
+                        out[i] = self.ids(pieces[i].decode("utf-8", "surrogatepass"))
+        return [self.line_feed if x is None else x for x in out]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = {i for i, t in enumerate(texts) if IRREGULAR.search(t)}
+        regular = [b"" if i in whole else p for i, p in enumerate(parts)]
+        edges = np.cumsum([0, *[len(p) for p in regular]])
+        blob = b"".join(regular)
+        data = np.frombuffer(blob, dtype=np.uint8)
+        opens = BREAKS[data]
+        if len(data):
+            opens[1:] |= data[:-1] == 10
+            opens[1:] |= MARK[data[1:]] & ALNUM[data[:-1]]
+            opens[edges[:-1][edges[:-1] < len(data)]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))
+        hashes, first, which = np.unique(spans_hashed(data, starts, ends), return_index=True, return_inverse=True)
+        places = np.array([self.known.get(h, -1) for h in hashes.tolist()], dtype=np.int64)
+        new = np.flatnonzero(places < 0)
+        kept = len(self.offsets)
+        if len(new):
+            at = first[new]
+            ids = self.learned([blob[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.lengths = np.concatenate([self.lengths, sizes])
+            self.flat = np.concatenate([self.flat, *ids])
+            places[new] = np.arange(kept, kept + len(new))
+        places = places[which]
+        sizes = self.lengths[places]
+        totals = np.concatenate([[0], np.cumsum(sizes)])
+        out = self.flat[np.repeat(self.offsets[places] - totals[:-1], sizes) + np.arange(totals[-1])]
+        cuts = totals[np.searchsorted(starts, edges)].tolist()
+        if kept + len(new) <= CACHE_WORDS:
+            self.known.update(zip(hashes[new].tolist(), range(kept, kept + len(new)), strict=True))
+        elif 2 * len(new) > len(hashes):  # the texts have changed
+            self.forget()
+        else:
+            size = int(self.offsets[kept])
+            self.offsets, self.lengths, self.flat = self.offsets[:kept].copy(), self.lengths[:kept].copy(), self.flat[:size].copy()
+        return [self.ids(texts[i]) if i in whole else out[a:b] for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 _encoder: list = [None, None]
@@ -157,7 +182,8 @@ def encoder_for(tokenizer_json: str) -> Encoder:
 
 RAW = "kind int, part int, seq long, doc_id long, start long, n_tokens long, ids binary"
 FILES = "part int, seq long, doc_id long, start long, n_tokens long, control binary, data binary"
-DOCS_A_STEP = 256
+#: Characters that are encoded at once.
+STEP = 1 << 21
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, scratch: Scratch, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -175,9 +201,10 @@ def write_files(docs: DataFrame, tokenizer_path: str, scratch: Scratch, key: str
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         counts = np.zeros(encoder.size, dtype=np.int64)
         for pdf in batches:
-            for i in range(0, len(pdf), DOCS_A_STEP):
-                some = pdf.iloc[i : i + DOCS_A_STEP]
-                ids = [x + end for x in encoder.batch(some["text"].tolist())]
+            texts = pdf["text"].tolist()
+            for i, j in steps(texts, STEP):
+                some = pdf.iloc[i:j]
+                ids = [x.tobytes() + end for x in encoder.batch(texts[i:j])]
                 counts += np.bincount(np.frombuffer(b"".join(ids), dtype=encoder.dtype), minlength=encoder.size)
                 sizes = np.array([len(x) // encoder.dtype.itemsize for x in ids], dtype=np.int64)
                 starts = start + np.cumsum(sizes) - sizes
