@@ -2,50 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_root
 from ..shipping import ship
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, or a temporary one where none is set (tests)."""
-    root = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="knotwork-"))
-    return _own_root[0]
-
-
-class Scratch:
-    """Intermediate tables written to the shared folder. They cut lineage, so a lost executor costs a reread, not a rerun."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/knotwork/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, saved: DataFrame) -> None:
-        """Deletes a saved table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["Scratch", "hash_unit", "literal_rows", "shared_root", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

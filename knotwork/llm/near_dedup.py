@@ -12,7 +12,7 @@ sampling come from quantile tables of 65,536 entries, indexed by bits of a hash
 
 Texts with the same words are one class from the start. Of the others, every member of a bucket of a band is first compared with one
 leader, chosen by hash and thus anew in each band. Only buckets that still hold several classes go on, and in them only pairs of
-different classes: small buckets are compared in full, larger ones are dealt into narrower buckets by the later bands and treated in
+different classes: small buckets are compared in full, larger ones are dealt into narrower buckets by the next bands and treated in
 the same way, until nothing is left. So no group yields all its pairs. Every candidate pair is verified by the weighted Jaccard
 similarity of the texts themselves, and classes are the connected components of the links.
 """
@@ -27,17 +27,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.analytics import components
 from .common import Scratch, table
-from .graph import components
 from .words import Hashed, mixed, steps
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 #: N / df above which the idf no longer grows.
-MAX_RATIO = 100
+MAX_RATIO = 10
 #: Members up to which a bucket is compared in full; its pairs are then linear in the bucket's rows.
-SMALL_BUCKET = 16
+SMALL_BUCKET = 12
+#: Bands after a bucket's last one that narrow it.
+NEXT_BANDS = 2
 CHUNK_DOCS, CHUNK_SHINGLES = 4096, 2_000_000
 #: Characters of text whose signatures are made at once: the arrays then stay in the processor's cache.
 STEP = 1 << 18
@@ -239,39 +241,43 @@ def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.nda
 def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
     """Verified links (a < b) between distinct texts. signed: doc_id and bands, a row per distinct text."""
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    alive = banded.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
-    full = alive.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    alive = scratch.save(alive.join(full, "bucket"))
-    needed = alive.select("doc_id").distinct()
+    rows = banded.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id", F.col("doc_id").alias("class"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """The rows of buckets with several classes, with the bucket's size and leader. One join a round; its hot buckets can be split."""
+        leader = F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket")).alias("leader")
+        stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), leader)
+        return scratch.save(rows.join(scratch.save(stats.where("low < high").drop("low", "high")), "bucket"))
+
+    classed = dealt(rows)
+    needed = classed.select("doc_id").distinct()
     # one text a doc_id, for all rounds
     held = scratch.save(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    in_class = F.coalesce("component", "doc_id").alias("class")
-    classed = alive.select("bucket", "last", "doc_id", "n", F.col("doc_id").alias("class"))
-    found = tried = None
-    small = 1  # in the first round all buckets have a leader
+    found = tried = named = None
+    small = 1  # in the first round every bucket has a leader
     while True:
-        leaders = classed.where(F.col("n") > small).groupBy("bucket").agg(F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket")).alias("leader"))
-        spokes = classed.where(F.col("n") > small).join(leaders, "bucket").where("class <> leader.class")
-        spokes = spokes.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
-        few = classed.where(F.col("n") <= small).select("bucket", "doc_id", "class")
-        other = few.select("bucket", F.col("doc_id").alias("other"), F.col("class").alias("other_class"))
-        both = few.join(other, "bucket").where("doc_id < other AND class <> other_class").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-        pairs = spokes.union(both).distinct()
+        spokes = classed.where((F.col("n") > small) & (F.col("class") != F.col("leader.class")))
+        pairs = spokes.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
+        if small > 1:
+            few = classed.where(F.col("n") <= small).select("bucket", "doc_id", "class")
+            other = few.select("bucket", F.col("doc_id").alias("other"), F.col("class").alias("other_class"))
+            pairs = pairs.union(few.join(other, "bucket").where("doc_id < other AND class <> other_class").select("doc_id", "other"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
         new = scratch.save(verified(pairs, held, common, idf))
-        found = new if found is None else scratch.save(found.union(new))
         tried = pairs if tried is None else scratch.save(tried.union(pairs))
-        named = components(found, scratch)
-        # what still holds several classes: small buckets once more, larger ones narrowed by each of their later bands
-        rest = classed.where(F.col("n") > SMALL_BUCKET).join(banded, "doc_id").where(F.col("band") > F.col("last")).select(F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
+        if named is None or not new.isEmpty():
+            found = new if found is None else scratch.save(found.union(new))
+            named = components(found, scratch)
+        # what may still hold several classes: small buckets once more, larger ones narrowed by the next bands
+        rest = classed.where(F.col("n") > SMALL_BUCKET).select("bucket", "last", "doc_id").join(banded, "doc_id").where((F.col("band") > F.col("last")) & (F.col("band") <= F.col("last") + NEXT_BANDS))
+        rest = rest.select(F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
         if small == 1:
             rest = rest.union(classed.where(F.col("n") <= SMALL_BUCKET).select("bucket", "last", "doc_id"))
-        rest = scratch.save(rest.select("bucket", "last", "doc_id").join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "last", "doc_id", in_class))
-        mixed_up = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket", "n")
         small = SMALL_BUCKET
-        classed = scratch.save(rest.join(mixed_up, "bucket").select("bucket", "last", "doc_id", "n", "class"))
+        classed = dealt(scratch.save(rest.join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "last", "doc_id", F.coalesce("component", "doc_id").alias("class"))))
         if classed.isEmpty():
             return found
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_rows, table
+from .common import Scratch, literal_rows, table
 
 #: (verdict, host, path) of the production query.
 RULES = [
@@ -89,6 +89,8 @@ def judge(pages: DataFrame, rules: DataFrame, carry: list[str], url: str = "url"
         .groupBy(F.col("host").alias("__h"), F.col("__lead").alias("__p"))
         .agg(F.max("found").alias("found"))
     )
+    # written first, so that Catalyst knows its size, and so that a hot key of the join can be split
+    decided = Scratch(pages.sparkSession, "url-filter").save(decided)
     return seen.join(decided, (F.col("host") == F.col("__h")) & (F.col("__lead") == F.col("__p")), "left").select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)],
         "host",
