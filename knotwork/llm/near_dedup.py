@@ -11,7 +11,7 @@ A third pass makes each distinct text's signature, BANDS x ROWS samples, in the
 sampling come from quantile tables of 65,536 entries, indexed by bits of a hash of (shingle, number of the sample).
 
 Texts with the same words are one class from the start. Of the others, every member of a bucket of a band is first compared with one
-leader, chosen by hash and thus anew in each band. Only buckets that still hold several classes go on, and in them only pairs of
+leader, chosen by hash and thus anew in each band; in later rounds with LEADERS of them. Only buckets that still hold several classes go on, and in them only pairs of
 different classes: small buckets are compared in full, larger ones are dealt into narrower buckets by the next bands and treated in
 the same way, until nothing is left. So no group yields all its pairs. Every candidate pair is verified by the weighted Jaccard
 similarity of the texts themselves, and classes are the connected components of the links.
@@ -38,6 +38,8 @@ BANDS, ROWS = 12, 4
 MAX_RATIO = 10
 #: Members up to which a bucket is compared in full; its pairs are then linear in the bucket's rows.
 SMALL_BUCKET = 12
+#: Members with which all of a larger bucket's are compared, from the second round on.
+LEADERS = 4
 #: Bands after a bucket's last one that narrow it.
 NEXT_BANDS = 2
 CHUNK_DOCS, CHUNK_SHINGLES = 4096, 2_000_000
@@ -235,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.nda
                 good = [similarity(known[a], known[b]) >= SIMILARITY for a, b in zip(some["a"], some["b"], strict=True)]
                 yield some.loc[good, ["a", "b"]]
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
+    return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
 
 
 def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
@@ -244,19 +246,20 @@ def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndar
     rows = banded.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id", F.col("doc_id").alias("class"))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        """The rows of buckets with several classes, with the bucket's size and leader. One join a round; its hot buckets can be split."""
-        leader = F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket")).alias("leader")
-        stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), leader)
+        """The rows of buckets with several classes, with the bucket's size and leaders. One join a round; its hot buckets can be split."""
+        leaders = F.array_distinct(F.array(*[F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket", F.lit(i))) for i in range(LEADERS)])).alias("leaders")
+        stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), leaders)
         return scratch.save(rows.join(scratch.save(stats.where("low < high").drop("low", "high")), "bucket"))
 
     classed = dealt(rows)
     needed = classed.select("doc_id").distinct()
-    # one text a doc_id, for all rounds
-    held = scratch.save(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    # one text a doc_id, for all rounds; joins with texts are merge joins at any size, so that small runs show what large ones cost
+    held = scratch.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     found = tried = named = None
     small = 1  # in the first round every bucket has a leader
     while True:
-        spokes = classed.where((F.col("n") > small) & (F.col("class") != F.col("leader.class")))
+        # in the first round, in which all are their own class, one leader
+        spokes = classed.where(F.col("n") > small).select("doc_id", "class", F.explode(F.slice("leaders", 1, 1 if small == 1 else LEADERS)).alias("leader")).where(F.col("class") != F.col("leader.class"))
         pairs = spokes.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
         if small > 1:
             few = classed.where(F.col("n") <= small).select("bucket", "doc_id", "class")
