@@ -240,6 +240,15 @@ def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.nda
     return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
 
 
+def relabelled(named: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component after new links: components of the links between the old components, applied to all nodes."""
+    of = [named.select(F.col("node").alias(e), F.col("component").alias(f"c_{e}")) for e in ("a", "b")]
+    between = new.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    moved = components(between, scratch).select(F.col("node").alias("old"), F.col("component").alias("to"))
+    nodes = named.union(new.select("a", "a").union(new.select("b", "b")).join(named.select(F.col("node").alias("a")), "a", "left_anti")).distinct()
+    return scratch.save(nodes.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
 def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
     """Verified links (a < b) between distinct texts. signed: doc_id and bands, a row per distinct text."""
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
@@ -270,12 +279,16 @@ def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndar
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs)
         new = scratch.save(verified(pairs, held, common, idf))
-        tried = pairs if tried is None else scratch.save(tried.union(pairs))
-        if named is None or not new.isEmpty():
-            found = new if found is None else scratch.save(found.union(new))
-            named = components(found, scratch)
-        # what may still hold several classes: small buckets once more, larger ones narrowed by the next bands
-        rest = classed.where(F.col("n") > SMALL_BUCKET).select("bucket", "last", "doc_id").join(banded, "doc_id").where((F.col("band") > F.col("last")) & (F.col("band") <= F.col("last") + NEXT_BANDS))
+        tried = pairs if tried is None else tried.union(pairs)
+        found = new if found is None else found.union(new)
+        if named is None:
+            named = components(new, scratch)
+        elif not new.isEmpty():
+            named = relabelled(named, new, scratch)
+        # what may still hold several classes: small buckets once more, larger ones narrowed by the next bands, without those that have
+        # been compared with all of the bucket
+        compared = F.exists(F.slice("leaders", 1, 1 if small == 1 else LEADERS), lambda x: x["doc_id"] == F.col("doc_id"))
+        rest = classed.where((F.col("n") > SMALL_BUCKET) & ~compared).select("bucket", "last", "doc_id").join(banded, "doc_id").where((F.col("band") > F.col("last")) & (F.col("band") <= F.col("last") + NEXT_BANDS))
         rest = rest.select(F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
         if small == 1:
             rest = rest.union(classed.where(F.col("n") <= SMALL_BUCKET).select("bucket", "last", "doc_id"))

@@ -35,6 +35,8 @@ CACHE_WORDS = 700_000
 IRREGULAR = re.compile(r"[ \n](?:\s|\Z)")
 
 BREAKS = np.isin(np.arange(256), [10, 32])
+#: ASCII white space, and first bytes of other white space.
+MAYBE_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3])
 #: Marks of punctuation, which the splitting pattern separates from a letter or digit before them.
 MARK = np.isin(np.arange(256), list(b".,;:!?"))
 ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
@@ -129,11 +131,18 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-        whole = {i for i, t in enumerate(texts) if IRREGULAR.search(t)}
-        regular = [b"" if i in whole else p for i, p in enumerate(parts)]
-        edges = np.cumsum([0, *[len(p) for p in regular]])
-        blob = b"".join(regular)
-        data = np.frombuffer(blob, dtype=np.uint8)
+        edges = np.cumsum([0, *[len(p) for p in parts]])
+        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        # a break before what may be white space, or at a text's end: only such texts need a closer look
+        odd = np.flatnonzero(BREAKS[data[:-1]] & MAYBE_WHITE[data[1:]])
+        last = edges[1:][edges[1:] > edges[:-1]] - 1
+        odd = np.concatenate([odd, last[BREAKS[data[last]]]])
+        whole = {i for i in np.unique(np.searchsorted(edges, odd, "right") - 1).tolist() if IRREGULAR.search(texts[i])}
+        if whole:
+            parts = [b"" if i in whole else p for i, p in enumerate(parts)]
+            edges = np.cumsum([0, *[len(p) for p in parts]])
+            data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        blob = data.tobytes()
         opens = BREAKS[data]
         if len(data):
             opens[1:] |= data[:-1] == 10
