@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import refs as R
 from knotwork.functions import text as X
-from knotwork.operators import corpus, identity, labels, quality, refs, relabel, savings, select, traversal
+from knotwork.operators import corpus, extract, identity, labels, quality, refs, relabel, savings, select, traversal
 from knotwork.scratch import Scratch
 from knotwork.sources import config, documents, files
 
@@ -155,6 +155,47 @@ def test_traversal(spark):
     assert traversal.preorder(pairs, 1, 3, scratch) == [1, 2, 3, 4]
 
 
+def test_path_hops(spark):
+    path = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "hop int, node string")
+    edges = spark.createDataFrame([("a", "b", "uses"), ("a", "b", "calls"), ("c", "b", "includes")], "source string, target string, relation string")
+    assert rows(traversal.path_hops(path, edges), "hop", "source", "target", "relation", "direction") == [(1, "a", "b", "calls", "out"), (2, "b", "c", "includes", "in")]
+
+
+def test_extract(spark):
+    texts = spark.createDataFrame([("x/a.hpp", "class Base {\n};\nclass Later;\n  struct Child : public ns::Base {\n"), ("x/m.py", "class P(Base):\n  def run(self):\n    pass\n")], "path string, text string")
+    nodes, edges = extract.extract(texts)
+    assert {r["id"] for r in nodes.collect()} == {"x_a", "x_m", "x_a_base", "x_a_child", "x_m_p", "x_m_run"}
+    assert rows(edges.where("relation = 'inherits'"), "source", "target") == [("x_a_child", "x_a_base"), ("x_m_p", "x_a_base")]
+
+
+def test_owner_of_equal_ids(spark):
+    """Two repos share a local id: a link to it stays between the repos that own its ends."""
+    index = spark.createDataFrame([("A", "A/m.cpp", "m"), ("B", "B/u.hpp", "util"), ("A", "A/u.hpp", "util")], "repo string, path string, id string")
+    found = spark.createDataFrame([("A/m.cpp", "B/u.hpp", None), ("A/m.cpp", "A/u.hpp", None)], "src string, ref string, bucket string")
+    edges, stats = refs.link(found, index)
+    assert rows(edges, "source_repo", "source", "target_repo", "target") == [("A", "m", "B", "util")]
+    assert stats.first()["intra_module_includes_skipped"] == 1
+
+
+def test_graph_documents_and_merge(spark, tmp_path):
+    from knotwork import cli
+
+    def graph(name, nodes, links):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"directed": False, "graph": {}, "nodes": nodes, "links": links}))
+        return f"{tmp_path}/{name}.json"
+
+    a = graph("a", [{"id": "x", "label": "X", "community": 0}, {"id": "y", "label": "Y", "community": 0}], [{"source": "x", "target": "y", "relation": "calls", "confidence": "EXTRACTED"}])
+    b = graph("b", [{"id": "x", "label": "X2", "community": 7}], [])
+    folder = tmp_path / "labels"
+    folder.mkdir()
+    (folder / "A.anchors.json").write_text(json.dumps({"anchor_count": 15, "communities": [{"label": "Pair", "size": 2, "anchors": ["x", "y"]}]}))
+    (folder / "B.json").write_text(json.dumps({"7": "Lone"}))
+    cli.merge(spark, {"A": a, "B": b}, str(folder), str(tmp_path / "out"))
+    nodes, edges = cli._tables(spark, str(tmp_path / "out"))
+    assert rows(nodes, "id", "community", "community_key", "community_name") == [("A::x", 0, "A:0", "Pair"), ("A::y", 0, "A:0", "Pair"), ("B::x", 1000007, "B:7", "Lone")]
+    assert rows(edges, "source", "target", "relation") == [("A::x", "A::y", "calls")]
+
+
 def test_rubric_and_spec_rules(spark):
     contexts = spark.createDataFrame([("t", "Builds a SwapEngine")], "task string, context string")
     rubric = spark.createDataFrame([("t", "i1", ["swapengine", "zzz"]), ("t", "i2", ["missing"])], "task string, item string, any array<string>")
