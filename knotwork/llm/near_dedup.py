@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.analytics import components
 from .common import Scratch, table
-from .words import Hashed, mixed, steps
+from .words import Hashed, mixed, release, steps
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -236,6 +236,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.nda
                 known = dict(zip(held, weighted(list(held.values()), *shared.value), strict=True))
                 good = [similarity(known[a], known[b]) >= SIMILARITY for a, b in zip(some["a"], some["b"], strict=True)]
                 yield some.loc[good, ["a", "b"]]
+            release()
 
     return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
 
@@ -268,7 +269,8 @@ def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndar
     small = 1  # in the first round every bucket has a leader
     while True:
         # in the first round, in which all are their own class, one leader
-        spokes = classed.where(F.col("n") > small).select("doc_id", "class", F.explode(F.slice("leaders", 1, 1 if small == 1 else LEADERS)).alias("leader")).where(F.col("class") != F.col("leader.class"))
+        others = F.filter(F.slice("leaders", 1, 1 if small == 1 else LEADERS), lambda x: x["class"] != F.col("class"))
+        spokes = classed.where(F.col("n") > small).select("doc_id", F.explode(others).alias("leader"))
         pairs = spokes.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
         if small > 1:
             few = classed.where(F.col("n") <= small).select("bucket", "doc_id", "class")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .words import spans_hashed, steps
+from .words import release, spans_hashed, steps
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -99,7 +99,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, dtype=np.uint64)  # hashes in ascending order, and where the piece of each is
+        self.places = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=self.dtype)
         self.offsets = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
@@ -151,7 +152,11 @@ class Encoder:
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))
         hashes, first, which = np.unique(spans_hashed(data, starts, ends), return_index=True, return_inverse=True)
-        places = np.array([self.known.get(h, -1) for h in hashes.tolist()], dtype=np.int64)
+        slots = np.searchsorted(self.known, hashes)
+        places = np.full(len(hashes), -1, dtype=np.int64)
+        if len(self.known):
+            near = np.minimum(slots, len(self.known) - 1)
+            places = np.where(self.known[near] == hashes, self.places[near], -1)
         new = np.flatnonzero(places < 0)
         kept = len(self.offsets)
         if len(new):
@@ -162,13 +167,14 @@ class Encoder:
             self.lengths = np.concatenate([self.lengths, sizes])
             self.flat = np.concatenate([self.flat, *ids])
             places[new] = np.arange(kept, kept + len(new))
-        places = places[which]
-        sizes = self.lengths[places]
+        which = places[which]
+        sizes = self.lengths[which]
         totals = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.flat[np.repeat(self.offsets[places] - totals[:-1], sizes) + np.arange(totals[-1])]
+        out = self.flat[np.repeat(self.offsets[which] - totals[:-1], sizes) + np.arange(totals[-1])]
         cuts = totals[np.searchsorted(starts, edges)].tolist()
         if kept + len(new) <= CACHE_WORDS:
-            self.known.update(zip(hashes[new].tolist(), range(kept, kept + len(new)), strict=True))
+            self.known = np.insert(self.known, slots[new], hashes[new])
+            self.places = np.insert(self.places, slots[new], np.arange(kept, kept + len(new)))
         elif 2 * len(new) > len(hashes):  # the texts have changed
             self.forget()
         else:
@@ -220,6 +226,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, scratch: Scratch, key: str
                 start += int(sizes.sum())
                 yield pd.DataFrame({"kind": 0, "part": part, "seq": np.arange(seq, seq + len(ids)), "doc_id": some["doc_id"].astype("Int64"), "start": starts, "n_tokens": sizes, "ids": ids})
                 seq += len(ids)
+            release()
         if seq:
             seen = np.flatnonzero(counts)
             table = np.stack([seen, counts[seen]]).astype("<i8").tobytes()

@@ -97,7 +97,7 @@ class Hashed:
         return keys & np.uint64((1 << 52) - 1), (keys >> np.uint64(52)).astype(np.int64), counts
 
 
-def steps(texts, most: int = 1 << 20, rows: int = 4096):
+def steps(texts, most: int = 1 << 18, rows: int = 4096):
     """Slices of a list of texts with about ``most`` characters and at most ``rows`` texts each."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -107,3 +107,10 @@ def steps(texts, most: int = 1 << 20, rows: int = 4096):
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def release() -> None:
+    """Hands memory that Arrow keeps for later back to the system: workers live on, and other operators run in them."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
