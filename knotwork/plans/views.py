@@ -56,8 +56,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_edges(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
-    """a, b, w: parts that share orders, and how many. An order has a handful of lines, so the join by order stays linear."""
-    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    """a, b, w: parts that share orders, and how many. An order has a handful of lines, so the join by order stays linear.
+
+    The lines are dealt by order once; distinct and both sides of the join use that.
+    """
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     other = line.select("l_orderkey", F.col("l_partkey").alias("b"))
     pairs = line.join(other, "l_orderkey").where("l_partkey < b").groupBy(F.col("l_partkey").alias("a"), "b").agg(F.count("*").alias("w"))
     return pairs.where(F.col("w") >= least)

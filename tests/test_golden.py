@@ -37,12 +37,12 @@ def test_preserve(spark):
 
 
 def test_include_scan(spark):
-    lines = ["#include <ql/a.hpp>", '  #  include "qle/b.hpp"', '#include "../ql/c.hpp"', "#include <ql//d.hpp>", "#include <vector>", '#include "util.hpp"', "#include <boost/x.hpp>", "// #include <ql/e.hpp>"]
-    texts = spark.createDataFrame([("Q/ql/m.cpp", "\r\n".join(lines))], "path string, text string")
-    found = files.scan_includes(texts, [("ql/", "Q/ql/"), ("qle/", "X/qle/")])
-    assert [r["ref"] for r in found.collect()] == ["Q/ql/a.hpp", "X/qle/b.hpp", "Q/ql/c.hpp", "Q/ql//d.hpp", None, None, None]
-    assert [r["bucket"] for r in found.collect()][4:] == [R.SYSTEM, R.SAME_DIRECTORY, "boost/"]
-    index = spark.createDataFrame([("A", "Q/ql/m.cpp", "m"), ("A", "Q/ql/a.hpp", "a"), ("B", "X/qle/b.hpp", "b_long"), ("B", "X/qle/b.hpp", "b")], "repo string, path string, id string")
+    lines = ["#include <ab/a.hpp>", '  #  include "abc/b.hpp"', '#include "../ab/c.hpp"', "#include <ab//d.hpp>", "#include <vector>", '#include "util.hpp"', "#include <far/x.hpp>", "// #include <ab/e.hpp>"]
+    texts = spark.createDataFrame([("Q/ab/m.cpp", "\r\n".join(lines))], "path string, text string")
+    found = files.scan_includes(texts, [("ab/", "Q/ab/"), ("abc/", "X/abc/")])
+    assert [r["ref"] for r in found.collect()] == ["Q/ab/a.hpp", "X/abc/b.hpp", "Q/ab/c.hpp", "Q/ab//d.hpp", None, None, None]
+    assert [r["bucket"] for r in found.collect()][4:] == [R.SYSTEM, R.SAME_DIRECTORY, "far/"]
+    index = spark.createDataFrame([("A", "Q/ab/m.cpp", "m"), ("A", "Q/ab/a.hpp", "a"), ("B", "X/abc/b.hpp", "b_long"), ("B", "X/abc/b.hpp", "b")], "repo string, path string, id string")
     edges, stats = refs.link(found, index)
     assert rows(edges, "source_repo", "source", "target_repo", "target") == [("A", "m", "B", "b")]
     got = stats.first().asDict()
@@ -67,10 +67,10 @@ def test_id_repair(spark):
 
 
 def test_audit(spark):
-    nodes = spark.createDataFrame([(1, None, "x/swaption.hpp", "")], "community long, repo_path string, source_file string, label string")
-    names = spark.createDataFrame([(1, "Swap pricing"), (2, "Gone"), (1, "swaption"), (1, "hpp file")], "community long, name string")
+    nodes = spark.createDataFrame([(1, None, "x/shipment.hpp", "")], "community long, repo_path string, source_file string, label string")
+    names = spark.createDataFrame([(1, "Ship routing"), (2, "Gone"), (1, "shipment"), (1, "hpp file")], "community long, name string")
     got = relabel.audit(nodes, names)
-    assert rows(got, "name", "matched", "stale") == [("Gone", False, False), ("Swap pricing", True, False), ("hpp file", True, False), ("swaption", True, False)]
+    assert rows(got, "name", "matched", "stale") == [("Gone", False, False), ("Ship routing", True, False), ("hpp file", True, False), ("shipment", True, False)]
 
 
 def test_packing_spans_folders(spark):
@@ -80,10 +80,10 @@ def test_packing_spans_folders(spark):
 
 
 def test_coverage_precedence(spark):
-    paths = ["build/x.cpp", "README.md", "sub/README.md", "tutorials/x.md", "tutorials_index.md", "tutorials_index.mdx", "src/a.CPP", "src/a.xml"]
+    paths = ["build/x.cpp", "README.md", "sub/README.md", "guides/x.md", "guides_index.md", "guides_index.mdx", "src/a.CPP", "src/a.xml"]
     claimed = spark.createDataFrame([("README.md",), ("build/x.cpp",)], "path string")
-    got = corpus.coverage(spark.createDataFrame([(p,) for p in paths], "path string"), claimed, [("tutorials", "docs"), ("tutorials_index.md", "index")])
-    want = {"build/x.cpp": "ignored", "README.md": "claimed", "sub/README.md": "ignored", "tutorials/x.md": "excluded", "tutorials_index.md": "excluded", "tutorials_index.mdx": "other", "src/a.CPP": "code", "src/a.xml": "data"}
+    got = corpus.coverage(spark.createDataFrame([(p,) for p in paths], "path string"), claimed, [("guides", "docs"), ("guides_index.md", "index")])
+    want = {"build/x.cpp": "ignored", "README.md": "claimed", "sub/README.md": "ignored", "guides/x.md": "excluded", "guides_index.md": "excluded", "guides_index.mdx": "other", "src/a.CPP": "code", "src/a.xml": "data"}
     assert {r["path"]: r["status"] for r in got.collect()} == want
     assert rows(corpus.unclaimed_by_top(got), "top", "n") == [("src", 1)]
 
@@ -91,7 +91,7 @@ def test_coverage_precedence(spark):
 def test_tokens(spark):
     df = spark.createDataFrame([("a_b c-d!",), ("für",), (None,)], "t string")
     assert [r[0] for r in df.select(X.token_estimate("t")).collect()] == [5, 1, 0]
-    assert df.sparkSession.range(1).select(X.name_tokens(F.lit("The SIMM-CRIF of an ab core x1y"))).first()[0] == ["simm", "crif", "x1y"]
+    assert df.sparkSession.range(1).select(X.name_tokens(F.lit("The Tide-Mark of an ab core x1y"))).first()[0] == ["tide", "mark", "x1y"]
 
 
 def test_first_wins(spark):
@@ -197,8 +197,8 @@ def test_graph_documents_and_merge(spark, tmp_path):
 
 
 def test_rubric_and_spec_rules(spark):
-    contexts = spark.createDataFrame([("t", "Builds a SwapEngine")], "task string, context string")
-    rubric = spark.createDataFrame([("t", "i1", ["swapengine", "zzz"]), ("t", "i2", ["missing"])], "task string, item string, any array<string>")
+    contexts = spark.createDataFrame([("t", "Builds a TideTable")], "task string, context string")
+    rubric = spark.createDataFrame([("t", "i1", ["tidetable", "zzz"]), ("t", "i2", ["missing"])], "task string, item string, any array<string>")
     assert rows(savings.rubric_coverage(contexts, rubric), "task", "covered", "items") == [("t", 1, 2)]
     nodes = spark.createDataFrame([("a_1", "concept"), ("Bad", "odd")], "id string, file_type string")
     edges = spark.createDataFrame([("EXTRACTED", 0.9), ("INFERRED", 0.85), ("AMBIGUOUS", 0.5)], "confidence string, confidence_score double")
