@@ -64,7 +64,7 @@ def ends(data: bytes) -> np.ndarray:
     return cuts if len(cuts) and cuts[-1] == n else np.append(cuts, n)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """rid (a number in input order), doc_id, the chunks' digests and places: start and size in one number, to shuffle less."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,21 +77,15 @@ def chunked(docs: DataFrame) -> DataFrame:
                 starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)[: len(stops)]
                 digests.append([xxhash.xxh3_64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
                 places.append((starts << SIZE_BITS) + stops - starts)
-            yield pd.DataFrame({"rid": np.arange(rid, rid + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "digests": digests, "places": places})
+            out = pd.DataFrame({"rid": np.arange(rid, rid + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "digests": digests, "places": places})
+            yield out.assign(text=pdf["text"].to_numpy()) if with_text else out
             rid += len(pdf)
 
-    return docs.mapInPandas(cut, "rid long, doc_id long, digests array<long>, places array<long>")
+    return docs.mapInPandas(cut, "rid long, doc_id long, digests array<long>, places array<long>" + ", text string" * with_text)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The spans that stand in two rows or more: doc_id, start, n_bytes (of the UTF-8 text), cut_bytes, first_doc_id, is_first.
-
-    first_doc_id is the first row, in input order, with any of the span's chunks; cut_bytes is how much of the span an earlier row
-    holds, so deduplication removes it here; is_first is true if that is nothing. Rows that repeat a key are rows of their own; a
-    null key is carried along. Null and empty texts have no spans. Other columns are left out; an empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession, "chunk-dedup")
-    cut = scratch.save(chunked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))))
+def repeated_chunks(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """rid, start, size, owner (the first row with the chunk), span (a number for each run of consecutive repeated chunks of a row)."""
     shared = scratch.save(
         cut.select("rid", F.explode(F.array_distinct("digests")).alias("digest"))
         .groupBy("digest")
@@ -103,9 +97,21 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = pairs.select("rid", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
     marked = found.join(shared, "digest").select("rid", F.shiftright("place", SIZE_BITS).alias("start"), F.col("place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).alias("size"), "owner")
     by_row = Window.partitionBy("rid").orderBy("start")
+    opens = F.when(F.lag(F.col("start") + F.col("size")).over(by_row) == F.col("start"), 0).otherwise(1)
+    return marked.withColumn("opens", opens).withColumn("span", F.sum("opens").over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("opens")
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans that stand in two rows or more: doc_id, start, n_bytes (of the UTF-8 text), cut_bytes, first_doc_id, is_first.
+
+    first_doc_id is the first row, in input order, with any of the span's chunks; cut_bytes is how much of the span an earlier row
+    holds, so deduplication removes it here; is_first is true if that is nothing. Rows that repeat a key are rows of their own; a
+    null key is carried along. Null and empty texts have no spans. Other columns are left out; an empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "chunk-dedup")
+    cut = scratch.save(chunked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))))
     spans = (
-        marked.withColumn("opens", F.when(F.lag(F.col("start") + F.col("size")).over(by_row) == F.col("start"), 0).otherwise(1))
-        .withColumn("span", F.sum("opens").over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        repeated_chunks(cut, scratch)
         .groupBy("rid", "span")
         .agg(F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum(F.when(F.col("owner") < F.col("rid"), F.col("size")).otherwise(0)).alias("cut_bytes"), F.min("owner").alias("owner"))
         .where(F.col("n_bytes") >= MIN_BYTES)
@@ -115,5 +121,37 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return spans.join(names, "rid").join(owners, "owner").select("doc_id", "start", "n_bytes", "cut_bytes", "first_doc_id", (F.col("cut_bytes") == 0).alias("is_first"))
 
 
+def without(text: str | None, gone) -> str | None:
+    """The text without the places; a character that a place cuts through stays."""
+    if text is None or gone is None or not len(gone):
+        return text
+    data, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for place in sorted(int(x) for x in gone):
+        start, end = place >> SIZE_BITS, (place >> SIZE_BITS) + (place & ((1 << SIZE_BITS) - 1))
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+        while end < len(data) and end > start and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[at:start])
+        at = end
+    return b"".join([*out, data[at:]]).decode("utf-8", "replace")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and text, a row per input row, without what an earlier row holds of the spans that ``repeats`` finds."""
+    scratch = Scratch(docs.sparkSession, "chunk-dedup")
+    cut = scratch.save(chunked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), True))
+    rows = repeated_chunks(cut.select("rid", "digests", "places"), scratch)
+    size = F.sum("size").over(Window.partitionBy("rid", "span"))
+    place = F.shiftleft("start", SIZE_BITS) + F.col("size")
+    gone = rows.withColumn("n_bytes", size).where((F.col("n_bytes") >= MIN_BYTES) & (F.col("owner") < F.col("rid"))).groupBy("rid").agg(F.collect_list(place).alias("gone"))
+
+    @F.pandas_udf("string")
+    def cut_out(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([without(t, g) for t, g in zip(texts, places, strict=True)], dtype=object)
+
+    return cut.select("rid", "doc_id", "text").join(gone, "rid", "left").select("doc_id", cut_out("text", "gone").alias("text"))
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))

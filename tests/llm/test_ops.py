@@ -239,6 +239,15 @@ def test_chunk_ends_resist_shifts():
     assert len(chunk_dedup.ends(b"-" * 10_000)) < 10
 
 
+def test_chunk_dedup_removes_what_came_before(spark):
+    rnd = random.Random(9)
+    body = ["".join(rnd.choice("äbcdeñ fghij") for _ in range(400)) for _ in range(3)]
+    texts = [body[0], body[1] + body[0], None, body[0], body[2]]
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.deduplicate(docs_of(spark, texts)).collect()}
+    assert got[0] == body[0] and got[2] is None and got[3] == "" and got[4] == body[2]
+    assert got[1].startswith(body[1]) and len(got[1]) < len(body[1]) + 120
+
+
 def test_chunk_dedup_odd_inputs(spark, empty):
     long_ = "word and other words that go on and on in one line of text " * 10
     got = chunk_dedup.repeats(docs_of(spark, [*ODD, long_, long_]).withColumn("owner", F.lit(1))).orderBy("doc_id").collect()
