@@ -2,7 +2,7 @@
 
 A gear hash rolls over the UTF-8 bytes of each text: h = 2 h + G[byte] in 32 bits, so it depends on the last 32 bytes alone. A chunk
 ends where the hash is the smallest of some WINDOW consecutive ones; so ends depend on the content around them only, a shift from an
-insertion changes nothing beyond it, and chunks are about WINDOW / 2 bytes and, outside monotonous stretches, WINDOW at most. Any
+insertion changes nothing beyond it, and chunks are about WINDOW / 2 bytes and WINDOW at most (in monotonous stretches, twice that). Any
 passage of n bytes is thus cut alike wherever it stands, but for 32 + WINDOW bytes at its start and WINDOW at its end.
 
 Chunks are deduplicated by a 64-bit digest: one partial aggregation finds the digests of two documents or more, with the first of
@@ -59,8 +59,10 @@ def ends(data: bytes) -> np.ndarray:
     lows = sliding(h, WINDOW, np.minimum)  # of the runs from 0 to n - WINDOW
     edge = np.zeros(WINDOW - 1, dtype=np.uint32)
     picked = np.flatnonzero(h == sliding(np.concatenate([edge, lows, edge]), WINDOW, np.maximum))
-    fresh = np.concatenate([[True], h[picked[1:]] != h[picked[:-1]]])  # one end for a monotonous stretch
-    cuts = picked[fresh] + 1
+    # in a monotonous stretch every minimum is alike: one end in WINDOW bytes, counted from the stretch's first
+    fresh = np.concatenate([[True], h[picked[1:]] != h[picked[:-1]]])
+    nth = (picked - picked[fresh][np.cumsum(fresh) - 1]) // WINDOW
+    cuts = picked[fresh | np.concatenate([[True], nth[1:] != nth[:-1]])] + 1
     return cuts if len(cuts) and cuts[-1] == n else np.append(cuts, n)
 
 

@@ -246,12 +246,13 @@ def relabelled(named: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
     of = [named.select(F.col("node").alias(e), F.col("component").alias(f"c_{e}")) for e in ("a", "b")]
     between = new.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     moved = components(between, scratch).select(F.col("node").alias("old"), F.col("component").alias("to"))
-    nodes = named.union(new.select("a", "a").union(new.select("b", "b")).join(named.select(F.col("node").alias("a")), "a", "left_anti")).distinct()
+    fresh = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti")
+    nodes = named.union(fresh.select("node", F.col("node").alias("component")))
     return scratch.save(nodes.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
-def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """Verified links (a < b) between distinct texts. signed: doc_id and bands, a row per distinct text."""
+def linked(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """node, component: classes of distinct texts by verified links. signed: doc_id and bands, a row per distinct text."""
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
     rows = banded.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id", F.col("doc_id").alias("class"))
 
@@ -265,7 +266,7 @@ def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndar
     needed = classed.select("doc_id").distinct()
     # one text a doc_id, for all rounds; joins with texts are merge joins at any size, so that small runs show what large ones cost
     held = scratch.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    found = tried = named = None
+    tried = named = None
     small = 1  # in the first round every bucket has a leader
     while True:
         # in the first round, in which all are their own class, one leader
@@ -282,7 +283,6 @@ def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndar
         pairs = scratch.save(pairs)
         new = scratch.save(verified(pairs, held, common, idf))
         tried = pairs if tried is None else tried.union(pairs)
-        found = new if found is None else found.union(new)
         if named is None:
             named = components(new, scratch)
         elif not new.isEmpty():
@@ -297,7 +297,7 @@ def links(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndar
         small = SMALL_BUCKET
         classed = dealt(scratch.save(rest.join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "last", "doc_id", F.coalesce("component", "doc_id").alias("class"))))
         if classed.isEmpty():
-            return found
+            return named
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,11 +313,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     signed = scratch.save(signatures(texts, common, idf))
     with_words = signed.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
     distinct = scratch.save(with_words.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("d1", "d2", F.col("m.doc_id").alias("first"), F.col("m.bands").alias("bands")))
-    found = links(distinct.select(F.col("first").alias("doc_id"), "bands").distinct(), texts, scratch, common, idf)
+    named = linked(distinct.select(F.col("first").alias("doc_id"), "bands").distinct(), texts, scratch, common, idf)
     # rows that repeat a key but differ in text tie their texts' classes together
     same_key = with_words.select("doc_id", "d1", "d2").distinct().join(distinct.select("d1", "d2", "first"), ["d1", "d2"]).where("doc_id <> first")
     same_key = same_key.groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    named = components(found.union(same_key), scratch)
+    same_key = scratch.save(same_key)
+    if not same_key.isEmpty():
+        named = relabelled(named, same_key, scratch)
     firsts = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first")
     return (
         signed.select("doc_id", "d1", "d2")

@@ -225,8 +225,9 @@ def test_chunk_dedup_finds_repeats_and_leaves_others(spark):
     texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(30, 300))) for _ in range(120)]
     for i in range(60):
         texts[i] = texts[i][: rnd.randint(0, len(texts[i]))] + " " + passages[i % 20] + " " + texts[i]
+    texts += ["start " + "again " * 70, "other " + "again " * 90 + "end", "again once"]
     got = {r["doc_id"] for r in chunk_dedup.repeats(docs_of(spark, texts)).collect()}
-    assert got == set(range(60))
+    assert got == {*range(60), 120, 121}
 
 
 def test_chunk_ends_resist_shifts():
@@ -236,7 +237,7 @@ def test_chunk_ends_resist_shifts():
     b = {x - 7 for x in chunk_dedup.ends(b"shifted" + data).tolist()}
     assert len(a & b) > 0.97 * len(a)
     assert max(np.diff(sorted(a))) <= chunk_dedup.WINDOW
-    assert len(chunk_dedup.ends(b"-" * 10_000)) < 10
+    assert 100 < len(chunk_dedup.ends(b"-" * 10_000)) < 200
 
 
 def test_chunk_dedup_removes_what_came_before(spark):
