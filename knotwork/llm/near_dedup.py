@@ -13,8 +13,9 @@ sampling come from quantile tables of 65,536 entries, indexed by bits of a hash
 Texts with the same words are one class from the start. Of the others, every member of a bucket of a band is first compared with one
 leader, chosen by hash and thus anew in each band; in later rounds with LEADERS of them. Only buckets that still hold several classes go on, and in them only pairs of
 different classes: small buckets are compared in full, larger ones are dealt into narrower buckets by the next bands and treated in
-the same way, until nothing is left. So no group yields all its pairs. Every candidate pair is verified by the weighted Jaccard
-similarity of the texts themselves, and classes are the connected components of the links.
+the same way, until nothing is left. What then still is in a large bucket with several classes goes through an exact prefix join
+(``rest_of``), so no pair that shares a band ends uncompared. Every candidate pair is verified by the weighted Jaccard similarity of
+the texts themselves, and classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ SMALL_BUCKET = 12
 LEADERS = 4
 #: Bands after a bucket's last one that narrow it.
 NEXT_BANDS = 2
+#: Counters of the documents that have a shingle, in the prefix join; shingles that share one count as the sum.
+SLOTS = 1 << 20
 CHUNK_DOCS, CHUNK_SHINGLES = 4096, 2_000_000
 #: Characters of text whose signatures are made at once: the arrays then stay in the processor's cache.
 STEP = 1 << 18
@@ -251,6 +254,61 @@ def relabelled(named: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(nodes.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
+def rest_of(buckets: DataFrame, named: DataFrame, texts: DataFrame, tried: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """node, component after an exact prefix join of what is left: members of first-round buckets that are large and hold several classes.
+
+    Shingles are put in one order, those of the fewest of these texts first. Two texts that are alike share SIMILARITY of the heavier
+    one's weight and 2 SIMILARITY / (1 + SIMILARITY) of the lighter one's at least, so the first shingle that they share has so much of
+    either's weight at or after it: it is in the long prefix of the heavier and in the short one of the lighter. Only texts that meet
+    so, differ in class and are of like weight are verified. Common boilerplate comes last in the order, and is in no short prefix of
+    texts that are less alike than SIMILARITY because of what is their own.
+    """
+    large = buckets.where(F.col("n") > SMALL_BUCKET).select("bucket", "doc_id").join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+    several = scratch.save(large.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket"))
+    rest = scratch.save(large.join(several, "bucket").select("doc_id", "class").distinct())
+    if rest.isEmpty():
+        return named
+    members = rest.join(texts.hint("merge"), "doc_id")
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for pdf in batches:
+            for found, _ in weighted(pdf["text"].tolist(), np.zeros(0, dtype=np.uint64), np.zeros(0)):
+                np.add.at(counts, (found % np.uint64(SLOTS)).astype(np.intp), 1)
+        slot = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": slot, "n": counts[slot]})
+
+    sums = members.select("text").mapInPandas(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast((counts, common, idf))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, common, idf = shared.value
+        for pdf in batches:
+            for doc_id, own, (found, weights) in zip(pdf["doc_id"], pdf["class"], weighted(pdf["text"].tolist(), common, idf), strict=True):
+                n = counts[(found % np.uint64(SLOTS)).astype(np.intp)]
+                order = np.lexsort((found, n))
+                total = weights.sum()
+                after = total - np.cumsum(weights[order]) + weights[order]
+                kept = order[(after >= SIMILARITY * total * (1 - 1e-9)) & (n[order] > 1)]  # a shingle of one text is shared by none
+                short = after[np.argsort(order)[kept]] >= 2 * SIMILARITY / (1 + SIMILARITY) * total * (1 - 1e-9)
+                yield pd.DataFrame({"h": found[kept].view(np.int64), "short": short, "class": own, "doc_id": doc_id, "weight": total})
+
+    rows = scratch.save(members.select("doc_id", "class", "text").mapInPandas(prefixes, "h long, short boolean, class long, doc_id long, weight double"))
+    shingles = scratch.save(rows.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("short").alias("any")).where("low < high AND any").select("h"))
+    # by class, so that the members of one class don't meet
+    grouped = scratch.save(rows.join(shingles, "h").groupBy("h", "class").agg(F.collect_list(F.struct("doc_id", "weight", "short")).alias("of")))
+    lighter = grouped.select("h", "class", F.filter("of", lambda x: x["short"]).alias("of")).where(F.size("of") > 0)
+    other = grouped.select("h", F.col("class").alias("other"), F.col("of").alias("others"))
+    met = lighter.join(other, "h").where("class <> other").select(F.explode("of").alias("x"), "others")
+    like = F.filter("others", lambda y: (y["weight"] >= F.col("x.weight")) & (F.col("x.weight") >= y["weight"] * (SIMILARITY - 1e-9)))
+    pairs = met.select("x", F.explode(like).alias("y")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    new = scratch.save(verified(pairs, texts, common, idf))
+    return named if new.isEmpty() else relabelled(named, new, scratch)
+
+
 def linked(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
     """node, component: classes of distinct texts by verified links. signed: doc_id and bands, a row per distinct text."""
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
@@ -262,7 +320,7 @@ def linked(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.nda
         stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), leaders)
         return scratch.save(rows.join(scratch.save(stats.where("low < high").drop("low", "high")), "bucket"))
 
-    classed = dealt(rows)
+    classed = buckets = dealt(rows)
     needed = classed.select("doc_id").distinct()
     # one text a doc_id, for all rounds; joins with texts are merge joins at any size, so that small runs show what large ones cost
     held = scratch.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
@@ -297,7 +355,7 @@ def linked(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.nda
         small = SMALL_BUCKET
         classed = dealt(scratch.save(rest.join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "last", "doc_id", F.coalesce("component", "doc_id").alias("class"))))
         if classed.isEmpty():
-            return named
+            return rest_of(buckets, named, held, tried, scratch, common, idf)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -391,6 +391,33 @@ def test_near_dedup_equals_brute_force(spark, corpus):
     assert all(linked[i] == linked[c] for i, c in got.items())
 
 
+def test_near_dedup_recall_in_a_template_family(spark):
+    """Texts that share a template, alike to 0.7, in pairs that are alike to 0.8 and more: large buckets whose leaders join few."""
+    rnd = random.Random(11)
+    template = [f"t{i}" for i in range(650)]
+    texts = []
+    for i in range(700):
+        own = [f"own{i}x{k}" for k in range(26)]
+        for extra in range(2):
+            texts.append(" ".join([*template, *own, *(f"last{i}x{extra}x{k}" for k in range(34))]))
+    texts += [" ".join(f"far{i}x{k}" for k in range(150)) for i in range(100)]
+    rnd.shuffle(texts)
+    pairs = {}
+    for i, t in enumerate(texts):
+        pairs.setdefault(t.split()[650].split("x")[0] if t.startswith("t0 ") else f"far{i}", []).append(i)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs_of(spark, texts)).collect()}
+    twins = [p for p in pairs.values() if len(p) == 2]
+    assert len(twins) == 700
+    scratch = near_dedup.Scratch(spark, "test")
+    weights = near_dedup.weighted(texts, *near_dedup.common_shingles(docs_of(spark, texts).select("text"), scratch))
+    alike = [(a, b) for a, b in twins if near_dedup.similarity(weights[a], weights[b]) >= 0.8]
+    others = [near_dedup.similarity(weights[a[0]], weights[b[0]]) for a, b in zip(twins, twins[1:], strict=False)]
+    assert len(alike) == 700 and 0.7 < min(others) and max(others) < 0.8
+    missed = sum(got[a] != got[b] for a, b in alike)
+    assert missed <= 0.01 * len(alike)
+    assert len(set(got.values())) >= 800
+
+
 def test_sampling_estimates_similarity():
     rnd = np.random.default_rng(4)
     n = near_dedup.BANDS * near_dedup.ROWS
