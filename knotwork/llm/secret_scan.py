@@ -73,17 +73,26 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = "source") -> DataFrame:
-    """The carried columns (in __carry), position (of the word, from 1), candidate, word, before1, before2, path."""
+    """The carried columns (in __carry), position (of the word, from 1), candidate, word, before1, before2, path.
+
+    A row per run of key characters, of which a word can hold several. ``word`` is what stands around the run, from the run before it
+    to the next one; where no letter or digit does, with the run before it. A value of LEAST characters or more is a run of its own,
+    apart from the name and "=" before it.
+    """
     run = f"[A-Za-z0-9_+/=.~-]{{{LEAST},}}"
     place = F.col(path).cast("string") if path else F.lit("")
     kept = docs.where(F.col(text).rlike(run)).select(F.struct(*carry).alias("__carry"), F.coalesce(place, F.lit("")).alias("path"), F.split(text, r"\s+").alias("w"))
     hits = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(run), i)), lambda i: i.isNotNull())
-    found = kept.select("__carry", "path", "w", F.explode(hits).alias("i"))
+    # words have no white space, so a line break can stand for the place where a value begins
+    apart = F.regexp_replace(F.get("w", F.col("i")), f"=(?=[A-Za-z0-9_+/.~-]{{{LEAST}}})", "=\n")
+    found = kept.select("__carry", "path", "w", F.explode(hits).alias("i")).withColumn("apart", apart)
+    found = found.select("*", F.split("apart", run).alias("around"), F.posexplode(F.regexp_extract_all("apart", F.lit(run), F.lit(0))).alias("k", "candidate"))
+    earlier = F.when((F.col("k") > 0) & ~F.get("around", F.col("k")).rlike("[A-Za-z0-9]"), F.get(F.regexp_extract_all("apart", F.lit(run), F.lit(0)), F.col("k") - 1))
     return found.select(
         "__carry",
         (F.col("i") + 1).cast("long").alias("position"),
-        F.regexp_extract(F.get("w", F.col("i")), run, 0).alias("candidate"),
-        F.get("w", F.col("i")).alias("word"),
+        "candidate",
+        F.regexp_replace(F.concat(F.coalesce(earlier, F.lit("")), F.get("around", F.col("k")), "candidate", F.get("around", F.col("k") + 1)), "\n", "").alias("word"),
         F.coalesce(F.get("w", F.col("i") - 1), F.lit("")).alias("before1"),
         F.coalesce(F.get("w", F.col("i") - 2), F.lit("")).alias("before2"),
         "path",
@@ -157,7 +166,7 @@ def train(findings: DataFrame) -> str:
 
 
 def scan(docs: DataFrame, carry: list[str], forest: str, text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """The carried columns plus position, preview, n_chars, sha256 and score of each finding, a row per word that holds one.
+    """The carried columns plus position, preview, n_chars, sha256 and score of each finding; a word can hold several.
 
     Secrets aren't repeated: preview is the first four characters. Null and empty texts have no findings; a null path counts as '';
     repeated rows are each scanned. Other columns are left out, so clashing names do no harm. An empty table gives no rows.

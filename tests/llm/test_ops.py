@@ -134,6 +134,17 @@ def test_secret_scan_odd_inputs(spark, empty, forest):
     assert secret_scan.scan(empty, ["doc_id"], forest).count() == 0
 
 
+def test_secret_scan_finds_every_key_of_a_word(spark, forest):
+    import hashlib
+
+    a, b, c = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b", b"c"))
+    texts = [f'{{"api_token":"{a}","auth_secret":"{b}","password":"{c}"}}', f"see https://host.example.org/some-long-path/to?token={a}&secret={b} now", f'key,secret "{a}","{b}"', f"my_service_api_token={c}"]
+    docs = docs_of(spark, texts)
+    sha = {hashlib.sha256(x.encode()).hexdigest(): x for x in (a, b, c)}
+    got = [(r["doc_id"], sha[r["sha256"]]) for r in secret_scan.scan(docs, ["doc_id"], forest).collect() if r["sha256"] in sha]
+    assert sorted(got) == sorted([(0, a), (0, b), (0, c), (1, a), (1, b), (2, a), (2, b), (3, c)])
+
+
 # ---- 3 --------------------------------------------------------------------------------------------------------------------------
 
 
