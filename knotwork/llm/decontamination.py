@@ -5,7 +5,8 @@ small edit distance apart give walks a small Hamming distance apart, since after
 every position of every document the first STEPS words of WALKS such walks are computed at once in numpy, each standing for the
 item-sized window that starts there. Repeated bit sampling takes SAMPLE of these coordinates, SAMPLES times a walk; where a sample
 equals that of an item's window the two are candidates. An item is entered by windows at every second word of it, so that a stretch
-without edits anywhere in it suffices; the recall that this reaches at the largest allowed distance is measured by ``recall``.
+without edits anywhere in it suffices. Walks alone miss short items, so every item is also entered by its pieces, one more than the
+edits that it may have: one piece at least is then unedited, so items of every length are found at any allowed distance.
 
 Candidates are first checked by a bound: at most as many words match as stand in both. The rest are verified exactly by the edit
 distance, in words, between the item and the best-matching stretch of the document: at most MOST_EDITS of the item's length.
@@ -48,6 +49,7 @@ class Index:
     bits: np.ndarray = field(init=False)
     tables: list = field(init=False)
     owned: np.ndarray = field(init=False)
+    pieces: list = field(init=False)
 
     def __post_init__(self) -> None:
         own = Hashed(self.texts)
@@ -59,6 +61,7 @@ class Index:
             self.bits = (mixed(mixed(seeds) + np.arange(size, dtype=np.uint64)) >> np.uint64(63)).astype(np.uint8)
         self.owned = np.unique(np.concatenate([np.unique(x).astype(np.int64) + i * size for i, x in enumerate(self.items)]))
         self.tables = [self.entered(n) for n in sorted({min(STEPS, len(x)) for x in self.items})]
+        self.pieces = self.pieced()
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -84,6 +87,23 @@ class Index:
                 out.append((w, pick, keys[order], np.array(places, dtype=np.int64)[order], pairs))
         return [steps, out]
 
+    def pieced(self) -> list:
+        """(words, sorted keys, item and offset of each, pairs of first words) of all pieces of so many words."""
+        of: dict[int, list[tuple[int, int]]] = {}
+        for i, x in enumerate(self.items):
+            cuts = np.linspace(0, len(x), int(len(x) * MOST_EDITS + 1e-9) + 2).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                of.setdefault(b - a, []).append((i, a))
+        out = []
+        for n, places in sorted(of.items()):
+            seen = [np.array([self.items[i][o + t] for i, o in places], dtype=np.int32) for t in range(n)]
+            keys = self.keys(seen, np.arange(n))
+            order = np.argsort(keys, kind="stable")
+            pairs = np.zeros(1 << 20, dtype=bool)
+            pairs[self.pair(seen[0], seen[min(1, n - 1)])] = True
+            out.append((n, keys[order], np.array(places, dtype=np.int64)[order], pairs))
+        return out
+
     def walk(self, tokens: np.ndarray, at: np.ndarray, w: int, steps: int) -> list[np.ndarray]:
         seen = []
         at = at.copy()
@@ -123,6 +143,16 @@ class Index:
                     entry = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
                     here = at[near[who]]
                     found.append(np.stack([places[entry, 0], here - places[entry, 1], np.searchsorted(begins, here, "right") - 1], axis=1))
+        for n, keys, places, pairs in self.pieces:
+            seen = [tokens[at + t] for t in range(n)]
+            near = np.flatnonzero(pairs[self.pair(seen[0], seen[min(1, n - 1)])])
+            asked = self.keys([s[near] for s in seen], np.arange(n))
+            low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+            n_hits = high - low
+            who = np.repeat(np.arange(len(near)), n_hits)
+            entry = np.arange(len(who)) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + low[who]
+            here = at[near[who]]
+            found.append(np.stack([places[entry, 0], here - places[entry, 1], np.searchsorted(begins, here, "right") - 1], axis=1))
         rows = np.concatenate(found)
         # one number a row sorts faster than three columns: the start, at most STEPS words before the text's, is enough with the text
         code = (rows[:, 0] << 40) | (rows[:, 1] + (1 << 20))

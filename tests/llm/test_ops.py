@@ -86,6 +86,12 @@ def test_decontamination_recall(spark, small):
     assert decontamination.recall(block) >= 0.95
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 10, 12, 14, 15, 16, 18, 20, 24, 30, 60])
+def test_decontamination_recall_by_length(n):
+    index = decontamination.Index(list(range(20)), [" ".join(f"w{i}x{k}" for k in range(n)) for i in range(20)])
+    assert decontamination.recall(index, trials=5) == 1
+
+
 def test_decontamination_odd_inputs(spark, empty):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "x"), (3, "short"), (1, "one two three four five six")], "item_id long, text string")
     docs = docs_of(spark, [*ODD, "zero ONE two, three four five six!"])
