@@ -1,74 +1,169 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five words. A shingle's weight is its count in the document times its idf, 1 + log10(N / df), where N / df is clipped at
-MAX_RATIO. So only shingles in at least 1/MAX_RATIO of all documents differ from the rest, and there are at most MAX_RATIO times the
-mean length of a document of them, however large the corpus: the one thing about the corpus that is broadcast has a proven bound.
-They are found exactly in two passes. The first reports, for every chunk of documents, the shingles above half the ratio there;
-a shingle above the ratio overall must collect enough of an excess over its chunks, and at most 2 MAX_RATIO x mean length do. The
-second counts these over all documents.
-
-A third pass makes each distinct text's signature, BANDS x ROWS samples, in the log domain: the gamma and uniform variates of the
+Shingles are five words. A shingle's weight is its count in the document times its idf, 1 + log10(N / df). Document frequencies are
+counted over all shingles of all documents by feature hashing, in SLOTS counters: df is what a shingle's counter holds. Counters are
+kept to a twentieth of a decade in one byte, so the idf that tasks look up is 16 MB however large the corpus. What shares a counter
+only lowers the idf of rare shingles, and alike for all: on N documents of L shingles it levels off near 1 + log10(SLOTS / L).
+
+A second pass makes each distinct text's signature, BANDS x ROWS samples, in the log domain: the gamma and uniform variates of the
 sampling come from quantile tables of 65,536 entries, indexed by bits of a hash of (shingle, number of the sample).
 
-Texts with the same words are one class from the start. Of the others, every member of a bucket of a band is first compared with one
-leader, chosen by hash and thus anew in each band; in later rounds with LEADERS of them. Only buckets that still hold several classes go on, and in them only pairs of
-different classes: small buckets are compared in full, larger ones are dealt into narrower buckets by the next bands and treated in
-the same way, until nothing is left. What then still is in a large bucket with several classes goes through an exact prefix join
-(``rest_of``), so no pair that shares a band ends uncompared. Every candidate pair is verified by the weighted Jaccard similarity of
-the texts themselves, and classes are the connected components of the links.
+Texts with the same words are one class from the start. Two different texts that share a band's key are compared in three steps, each
+by the weighted Jaccard similarity of the texts themselves; classes are the connected components of the links.
+
+1. Every member of a bucket with one leader, which each bucket chooses anew.
+2. In buckets that still hold several classes, of up to SMALL_BUCKET members all pairs of different classes, of others each member with
+   LEADERS leaders.
+3. What is still in a larger bucket of several classes goes through an exact prefix join (``rest_of``), which finds every pair alike.
+
+So no pair that shares a band ends uncompared unless its texts are in one class already or can't be alike by the bounds of the join.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.analytics import components
 from .common import Scratch, table
-from .words import Hashed, mixed, release, steps
+from .words import Hashed, release, mixed, steps
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-#: N / df above which the idf no longer grows.
-MAX_RATIO = 10
+#: Counters of document frequency, in so many ranges that are summed apart from each other.
+SLOTS, RANGES = 1 << 24, 64
+#: A byte holds the logarithm of a counter in so many steps a decade: up to 10 ** 12 documents.
+STEPS_A_DECADE = 20
 #: Members up to which a bucket is compared in full; its pairs are then linear in the bucket's rows.
 SMALL_BUCKET = 12
-#: Members with which all of a larger bucket's are compared, from the second round on.
+#: Members with which all of a larger bucket's are compared in the second step.
 LEADERS = 4
-#: Bands after a bucket's last one that narrow it.
-NEXT_BANDS = 2
-#: Counters of the documents that have a shingle, in the prefix join; shingles that share one count as the sum.
-SLOTS = 1 << 20
-CHUNK_DOCS, CHUNK_SHINGLES = 4096, 2_000_000
+#: Rows of a shingle that are put into one block of the prefix join.
+BLOCK = 64
 #: Characters of text whose signatures are made at once: the arrays then stay in the processor's cache.
 STEP = 1 << 18
 
 # ---- weights --------------------------------------------------------------------------------------------------------------------
 
+COUNTERS = "range int, salt int, at binary, n binary"
+
+
+def emitted(counts: np.ndarray, begin: int, r: int, salt: int) -> Iterator[tuple]:
+    """Rows of a range's counters that aren't 0: one byte each where many are set, places and counts otherwise."""
+    at = np.flatnonzero(counts)
+    if not len(at):
+        return
+    if len(at) * 8 > len(counts):
+        yield r, salt, b"", np.minimum(counts, 255).astype(np.uint8).tobytes()
+        at = at[counts[at] > 255]
+        counts = counts - 255
+    if len(at):
+        yield r, salt, (at + begin).astype("<u4").tobytes(), counts[at].astype("<i8").tobytes()
+
+
+def framed(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["range", "salt", "at", "n"])
+
+
+def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums the counters of the ranges in a partition, row by row: one range's counters a time are all that is held."""
+    size, now, held = SLOTS // RANGES, None, None
+    for pdf in batches:
+        for r, salt, at, n in zip(pdf["range"], pdf["salt"], pdf["at"], pdf["n"], strict=True):
+            if (r, salt) != now:
+                if now is not None:
+                    yield framed(list(emitted(held, 0, *now)))
+                now, held = (r, salt), np.zeros(size, dtype=np.int64)
+            if at:
+                np.add.at(held, np.frombuffer(at, dtype="<u4"), np.frombuffer(n, dtype="<i8"))
+            else:
+                held += np.frombuffer(n, dtype=np.uint8)
+    if now is not None:
+        yield framed(list(emitted(held, 0, *now)))
+
+
+class Weights:
+    """The idf of every shingle: ``codes``, a byte a counter, and the number of documents that have a word."""
+
+    def __init__(self, codes: np.ndarray, n_docs: int):
+        self.codes = codes
+        self.of_code = np.maximum(1.0, 1 + np.log10(max(n_docs, 1)) - np.arange(256) / STEPS_A_DECADE)
+
+    def code(self, found: np.ndarray) -> np.ndarray:
+        return self.codes[(found & np.uint64(SLOTS - 1)).astype(np.intp)]
+
+    def weighted(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted distinct shingles of each text and their weights."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in steps(texts):
+            found, owner, counts = Hashed(texts[i:j]).counted(WIDTH)
+            weights = counts * self.of_code[self.code(found)]
+            edges = np.searchsorted(owner, np.arange(j - i + 1))
+            out += [(found[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.rint(np.log10(np.maximum(counts, 1)) * STEPS_A_DECADE)).astype(np.uint8)
 
-def weighted(texts: list[str | None], common: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted distinct shingles of each text and their weights. common: sorted shingles that have another idf than the highest."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, j in steps(texts):
-        found, owner, counts = Hashed(texts[i:j]).counted(WIDTH)
-        weights = counts * idf_of(found, common, idf)
-        edges = np.searchsorted(owner, np.arange(j - i + 1))
-        out += [(found[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return out
 
+def fitted(texts: DataFrame, scratch: Scratch) -> Callable[[], Weights]:
+    """A function for tasks that gives the corpus's weights. texts: one column, all documents.
+
+    A task counts its own shingles and emits its counters by range; these are summed in two steps, the first of which deals a range to
+    several tasks, so neither the number of tasks nor a frequent shingle puts more than a stream of small rows into one.
+    """
+    size = SLOTS // RANGES
+    salts = max(1, texts.sparkSession.sparkContext.defaultParallelism // RANGES)
 
-def idf_of(found: np.ndarray, common: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.full(len(found), 1 + np.log10(MAX_RATIO))
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        out = np.where(common[at] == found, idf[at], out)
-    return out
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SLOTS, dtype=np.uint32)
+        n = 0
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for i, j in steps(texts):
+                found, owner, _ = Hashed(texts[i:j]).counted(WIDTH)
+                n += int(np.count_nonzero(owner[1:] != owner[:-1])) + bool(len(owner))
+                np.add.at(counts, (found & np.uint64(SLOTS - 1)).astype(np.intp), np.uint32(1))
+        salt = TaskContext.get().partitionId() % salts
+        if n:
+            yield framed([(-1, salt, np.zeros(1, dtype="<u4").tobytes(), np.array([n], dtype="<i8").tobytes())])
+            for r in range(RANGES):
+                rows = list(emitted(counts[r * size : (r + 1) * size].astype(np.int64), 0, r, salt))
+                if rows:
+                    yield framed(rows)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = np.zeros(size, dtype=np.int64)
+        for pdf in summed(batches):
+            for r, rows in pdf.groupby("range"):
+                whole[:] = 0
+                for at, n in zip(rows["at"], rows["n"], strict=True):
+                    if at:
+                        np.add.at(whole, np.frombuffer(at, dtype="<u4"), np.frombuffer(n, dtype="<i8"))
+                    else:
+                        whole += np.frombuffer(n, dtype=np.uint8)
+                yield pd.DataFrame({"range": [r], "total": [int(whole[0])], "codes": [coded(whole).tobytes() if r >= 0 else b""]})
+
+    counted = texts.mapInPandas(tally, COUNTERS)
+    partly = counted.repartition("range", "salt").sortWithinPartitions("range", "salt").mapInPandas(summed, COUNTERS)
+    partly = partly.withColumn("salt", F.lit(0)).repartition("range").sortWithinPartitions("range")
+    out = scratch.save(partly.mapInPandas(finish, "range int, total long, codes binary"))
+    codes, n_docs = np.zeros((RANGES, size), dtype=np.uint8), 0
+    for row in out.toLocalIterator():  # one row a range, of one size for any corpus
+        if row["range"] < 0:
+            n_docs = row["total"]
+        else:
+            codes[row["range"]] = np.frombuffer(row["codes"], dtype=np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast((codes.reshape(-1), n_docs))
+    return lambda: Weights(*shared.value)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -83,62 +178,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(documents with a word, distinct shingles, documents that have each) of successive chunks of a task's rows."""
-    held: list[np.ndarray] = []
-    n = size = 0
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        for i, j in steps(texts):
-            found, owner, _ = Hashed(texts[i:j]).counted(WIDTH)
-            n += len(np.unique(owner))
-            size += len(found)
-            held.append(found)
-            if n >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
-                yield (n, *tallied(held))
-                held, n, size = [], 0, 0
-    if n:
-        yield (n, *tallied(held))
-
-
-def tallied(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(np.concatenate(held))
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
-def common_shingles(texts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in at least 1/MAX_RATIO of all documents that have words, sorted, and their idf."""
-
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, found, counts in chunks(batches):
-            excess = 2 * MAX_RATIO * counts - n
-            yield pd.DataFrame({"h": pd.array([None], dtype="Int64"), "x": [n]})
-            yield pd.DataFrame({"h": pd.array(found[excess > 0].view(np.int64), dtype="Int64"), "x": excess[excess > 0]})
-
-    sums = scratch.save(texts.mapInPandas(report, "h long, x long").groupBy("h").agg(F.sum("x").alias("x")))
-    total = sums.where("h IS NULL").collect()
-    if not total:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0)
-    n_docs = total[0]["x"]
-    maybe = np.sort(np.array([r["h"] for r in sums.where(F.col("h").isNotNull() & (F.col("x") >= n_docs)).select("h").collect()], dtype=np.int64).view(np.uint64))
-    shared = texts.sparkSession.sparkContext.broadcast(maybe)
-
-    def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros(len(shared.value), dtype=np.int64)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for i, j in steps(texts):
-                found, _, _ = Hashed(texts[i:j]).counted(WIDTH)
-                at = np.minimum(np.searchsorted(shared.value, found), len(totals) - 1)
-                totals += np.bincount(at[shared.value[at] == found], minlength=len(totals))
-        yield pd.DataFrame({"h": shared.value.view(np.int64)[totals > 0], "n": totals[totals > 0]})
-
-    rows = texts.mapInPandas(recount, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * MAX_RATIO > n_docs).collect() if len(maybe) else []
-    rows.sort(key=lambda r: r["h"])
-    return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([1 + np.log10(n_docs / r["n"]) for r in rows])
-
-
 # ---- signatures -----------------------------------------------------------------------------------------------------------------
 
 
@@ -182,13 +221,11 @@ class Sampler:
 SIGNED = "doc_id long, d1 long, d2 long, bands array<long>"
 
 
-def signatures(texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+def signatures(texts: DataFrame, weights: Callable[[], Weights]) -> DataFrame:
     """doc_id, the digest of all words (null if there are none) and the bands' keys."""
-    shared = texts.sparkSession.sparkContext.broadcast((common, idf))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(BANDS * ROWS)
-        common, idf = shared.value
+        sampler, known = Sampler(BANDS * ROWS), weights()
         for pdf in batches:
             texts = pdf["text"].tolist()
             for i, j in steps(texts, STEP):
@@ -208,7 +245,7 @@ def signatures(texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFra
                 found, owner, counts = batch.counted(WIDTH)
                 fresh = number[owner] >= 0
                 found, owner, counts = found[fresh], number[owner[fresh]], counts[fresh]
-                keys = sampler.bands(found, owner, counts * idf_of(found, common, idf)).view(np.int64).tolist() if first else []
+                keys = sampler.bands(found, owner, counts * known.of_code[known.code(found)]).view(np.int64).tolist() if first else []
                 d = [np.frombuffer(x, dtype="<i8") if x else (None, None) for x in digests]
                 yield pd.DataFrame(
                     {
@@ -218,6 +255,7 @@ def signatures(texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFra
                         "bands": [keys[first[x]] if x else None for x in digests],
                     }
                 )
+        release()
 
     return texts.mapInPandas(sign, SIGNED)
 
@@ -225,22 +263,23 @@ def signatures(texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFra
 # ---- candidates and links -------------------------------------------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, texts: DataFrame, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weights: Callable[[], Weights]) -> DataFrame:
     """The pairs (a, b) whose texts are at least SIMILARITY alike. texts: one row a doc_id."""
-    shared = texts.sparkSession.sparkContext.broadcast((common, idf))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weighing = weights()
         for pdf in batches:
             sizes = pdf["text_a"].str.len() + pdf["text_b"].str.len()
             for _, some in pdf.groupby((sizes.cumsum() // 4_000_000).to_numpy()):
                 held = dict(zip(some["a"], some["text_a"], strict=True)) | dict(zip(some["b"], some["text_b"], strict=True))
-                known = dict(zip(held, weighted(list(held.values()), *shared.value), strict=True))
+                known = dict(zip(held, weighing.weighted(list(held.values())), strict=True))
                 good = [similarity(known[a], known[b]) >= SIMILARITY for a, b in zip(some["a"], some["b"], strict=True)]
                 yield some.loc[good, ["a", "b"]]
             release()
 
+    # merge joins at any size, so that small runs show what large ones cost
     return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInPandas(keep, "a long, b long")
 
 
@@ -254,136 +293,129 @@ def relabelled(named: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(nodes.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
-def rest_of(buckets: DataFrame, named: DataFrame, texts: DataFrame, tried: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """node, component after an exact prefix join of what is left: members of first-round buckets that are large and hold several classes.
+def several(rows: DataFrame, scratch: Scratch, *also) -> DataFrame:
+    """The rows (bucket, doc_id, class) of buckets with several classes, with the bucket's size n and what else is asked of a bucket."""
+    stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), *also)
+    return scratch.save(rows.join(scratch.save(stats.where("low < high").drop("low", "high")), "bucket"))
 
-    Shingles are put in one order, those of the fewest of these texts first. Two texts that are alike share SIMILARITY of the heavier
-    one's weight and 2 SIMILARITY / (1 + SIMILARITY) of the lighter one's at least, so the first shingle that they share has so much of
-    either's weight at or after it: it is in the long prefix of the heavier and in the short one of the lighter. Only texts that meet
-    so, differ in class and are of like weight are verified. Common boilerplate comes last in the order, and is in no short prefix of
-    texts that are less alike than SIMILARITY because of what is their own.
-    """
-    large = buckets.where(F.col("n") > SMALL_BUCKET).select("bucket", "doc_id").join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("class"))
-    several = scratch.save(large.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket"))
-    rest = scratch.save(large.join(several, "bucket").select("doc_id", "class").distinct())
-    if rest.isEmpty():
-        return named
-    members = rest.join(texts.hint("merge"), "doc_id")
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
-        for pdf in batches:
-            for found, _ in weighted(pdf["text"].tolist(), np.zeros(0, dtype=np.uint64), np.zeros(0)):
-                np.add.at(counts, (found % np.uint64(SLOTS)).astype(np.intp), 1)
-        slot = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": slot, "n": counts[slot]})
+def ordered(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
 
-    sums = members.select("text").mapInPandas(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast((counts, common, idf))
+def linked(signed: DataFrame, texts: DataFrame, scratch: Scratch, weights: Callable[[], Weights]) -> DataFrame:
+    """node, component: classes of distinct texts by verified links. signed: doc_id and bands, a row per distinct text."""
+    rows = signed.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc_id", F.col("doc_id").alias("class"))
+    # the bucket's own order of its members: their ids under a mask, which the smallest gives back
+    leader = F.min(F.col("doc_id").bitwiseXOR(F.col("bucket"))).bitwiseXOR(F.col("bucket")).alias("leader")
+    buckets = several(rows, scratch, leader)
+    held = scratch.save(texts.join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+    first = scratch.save(buckets.where("doc_id <> leader").select(*ordered("doc_id", "leader")).distinct())
+    links = scratch.save(verified(first, held, weights))
+    named = components(links, scratch)
+
+    def now() -> DataFrame:
+        return buckets.select("bucket", "doc_id").join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("class"))
+
+    leaders = F.array_distinct(F.array(*[F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket", F.lit(i))) for i in range(LEADERS)])).alias("leaders")
+    left = several(now(), scratch, leaders)
+    spokes = left.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode(F.filter("leaders", lambda x: x["class"] != F.col("class"))).alias("leader"))
+    few = left.where(F.col("n") <= SMALL_BUCKET).select("bucket", "doc_id", "class")
+    other = few.select("bucket", F.col("doc_id").alias("other"), F.col("class").alias("other_class"))
+    full = few.join(other, "bucket").where("doc_id < other AND class <> other_class")
+    second = spokes.select(*ordered("doc_id", "leader.doc_id")).union(full.select("doc_id", "other")).distinct()
+    second = scratch.save(second.join(first, ["a", "b"], "left_anti"))
+    new = scratch.save(verified(second, held, weights))
+    if not new.isEmpty():
+        named = relabelled(named, new, scratch)
+    large = left.where(F.col("n") > SMALL_BUCKET).select("bucket", "doc_id").join(named, F.col("doc_id") == F.col("node"), "left")
+    large = several(large.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("class")), scratch).select("doc_id", "class").distinct()
+    new = rest_of(large, held, first.union(second), scratch, weights)
+    return named if new is None or new.isEmpty() else relabelled(named, new, scratch)
+
+
+def rest_of(rest: DataFrame, texts: DataFrame, tried: DataFrame, scratch: Scratch, weights: Callable[[], Weights]) -> DataFrame | None:
+    """All links between texts of different classes, by an exact prefix join. rest: doc_id, class; tried: pairs that needn't be compared.
+
+    Shingles are put in one order, the rarest first. Two texts that are alike share SIMILARITY of the heavier one's weight and
+    2 SIMILARITY / (1 + SIMILARITY) of the lighter one's at least, so the first shingle that they share has so much of either's weight
+    at or after it: it is in the long prefix of the heavier and in the short one of the lighter. Only texts that meet so, differ in
+    class, and have enough weight from there on for their sum are verified. Common boilerplate comes last in the order, and is in no
+    short prefix of texts that are less alike than SIMILARITY because of what is their own.
+
+    A shingle's rows lie in blocks of about BLOCK, one row a class and block, so a class's members don't meet each other and nothing
+    that grows with a class is gathered.
+    """
+    rest = scratch.save(rest)
+    if rest.isEmpty():
+        return None
+    share, slack = 2 * SIMILARITY / (1 + SIMILARITY), 1 - 1e-9
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, common, idf = shared.value
+        weighing = weights()
         for pdf in batches:
-            for doc_id, own, (found, weights) in zip(pdf["doc_id"], pdf["class"], weighted(pdf["text"].tolist(), common, idf), strict=True):
-                n = counts[(found % np.uint64(SLOTS)).astype(np.intp)]
-                order = np.lexsort((found, n))
-                total = weights.sum()
-                after = total - np.cumsum(weights[order]) + weights[order]
-                kept = order[(after >= SIMILARITY * total * (1 - 1e-9)) & (n[order] > 1)]  # a shingle of one text is shared by none
-                short = after[np.argsort(order)[kept]] >= 2 * SIMILARITY / (1 + SIMILARITY) * total * (1 - 1e-9)
-                yield pd.DataFrame({"h": found[kept].view(np.int64), "short": short, "class": own, "doc_id": doc_id, "weight": total})
-
-    rows = scratch.save(members.select("doc_id", "class", "text").mapInPandas(prefixes, "h long, short boolean, class long, doc_id long, weight double"))
-    shingles = scratch.save(rows.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("short").alias("any")).where("low < high AND any").select("h"))
-    # by class, so that the members of one class don't meet
-    grouped = scratch.save(rows.join(shingles, "h").groupBy("h", "class").agg(F.collect_list(F.struct("doc_id", "weight", "short")).alias("of")))
-    lighter = grouped.select("h", "class", F.filter("of", lambda x: x["short"]).alias("of")).where(F.size("of") > 0)
+            out = []
+            for doc_id, own, (found, weight) in zip(pdf["doc_id"], pdf["class"], weighing.weighted(pdf["text"].tolist()), strict=True):
+                order = np.lexsort((found, weighing.code(found)))
+                total = weight.sum()
+                after = total - np.cumsum(weight[order]) + weight[order]
+                kept = after >= SIMILARITY * total * slack
+                out.append((found[order][kept].view(np.int64), after[kept], own, doc_id, total))
+            if out:
+                n = [len(x[0]) for x in out]
+                one = {k: np.repeat([x[i] for x in out], n) for i, k in ((2, "class"), (3, "doc_id"), (4, "weight"))}
+                yield pd.DataFrame({"h": np.concatenate([x[0] for x in out]), "after": np.concatenate([x[1] for x in out])} | one)
+
+    members = rest.join(texts.hint("merge"), "doc_id").select("doc_id", "class", "text")
+    rows = scratch.save(members.mapInPandas(prefixes, "h long, after double, class long, doc_id long, weight double"))
+    short = F.col("after") >= F.col("weight") * share * slack
+    stats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.max(short).alias("any"))
+    stats = scratch.save(stats.where("low < high AND any").select("h", "n"))
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    grouped = rows.join(stats, "h").groupBy("h", "class", block).agg(F.collect_list(F.struct("doc_id", "weight", "after")).alias("of"))
+    grouped = scratch.save(grouped.select("h", "class", "of"))
+    lighter = grouped.select("h", "class", F.filter("of", lambda x: x["after"] >= x["weight"] * share * slack).alias("of")).where(F.size("of") > 0)
     other = grouped.select("h", F.col("class").alias("other"), F.col("of").alias("others"))
     met = lighter.join(other, "h").where("class <> other").select(F.explode("of").alias("x"), "others")
-    like = F.filter("others", lambda y: (y["weight"] >= F.col("x.weight")) & (F.col("x.weight") >= y["weight"] * (SIMILARITY - 1e-9)))
-    pairs = met.select("x", F.explode(like).alias("y")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-    pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-    new = scratch.save(verified(pairs, texts, common, idf))
-    return named if new.isEmpty() else relabelled(named, new, scratch)
 
+    def like(y):
+        enough = F.least(F.col("x.after"), y["after"]) >= (F.col("x.weight") + y["weight"]) * (SIMILARITY / (1 + SIMILARITY) * slack)
+        return enough & (y["weight"] >= F.col("x.weight")) & (F.col("x.weight") >= y["weight"] * (SIMILARITY * slack))
 
-def linked(signed: DataFrame, texts: DataFrame, scratch: Scratch, common: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """node, component: classes of distinct texts by verified links. signed: doc_id and bands, a row per distinct text."""
-    banded = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    rows = banded.select(F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id", F.col("doc_id").alias("class"))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        """The rows of buckets with several classes, with the bucket's size and leaders. One join a round; its hot buckets can be split."""
-        leaders = F.array_distinct(F.array(*[F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", "bucket", F.lit(i))) for i in range(LEADERS)])).alias("leaders")
-        stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), leaders)
-        return scratch.save(rows.join(scratch.save(stats.where("low < high").drop("low", "high")), "bucket"))
-
-    classed = buckets = dealt(rows)
-    needed = classed.select("doc_id").distinct()
-    # one text a doc_id, for all rounds; joins with texts are merge joins at any size, so that small runs show what large ones cost
-    held = scratch.save(texts.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    tried = named = None
-    small = 1  # in the first round every bucket has a leader
-    while True:
-        # in the first round, in which all are their own class, one leader
-        others = F.filter(F.slice("leaders", 1, 1 if small == 1 else LEADERS), lambda x: x["class"] != F.col("class"))
-        spokes = classed.where(F.col("n") > small).select("doc_id", F.explode(others).alias("leader"))
-        pairs = spokes.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
-        if small > 1:
-            few = classed.where(F.col("n") <= small).select("bucket", "doc_id", "class")
-            other = few.select("bucket", F.col("doc_id").alias("other"), F.col("class").alias("other_class"))
-            pairs = pairs.union(few.join(other, "bucket").where("doc_id < other AND class <> other_class").select("doc_id", "other"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        new = scratch.save(verified(pairs, held, common, idf))
-        tried = pairs if tried is None else tried.union(pairs)
-        if named is None:
-            named = components(new, scratch)
-        elif not new.isEmpty():
-            named = relabelled(named, new, scratch)
-        # what may still hold several classes: small buckets once more, larger ones narrowed by the next bands, without those that have
-        # been compared with all of the bucket
-        compared = F.exists(F.slice("leaders", 1, 1 if small == 1 else LEADERS), lambda x: x["doc_id"] == F.col("doc_id"))
-        rest = classed.where((F.col("n") > SMALL_BUCKET) & ~compared).select("bucket", "last", "doc_id").join(banded, "doc_id").where((F.col("band") > F.col("last")) & (F.col("band") <= F.col("last") + NEXT_BANDS))
-        rest = rest.select(F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"), "doc_id")
-        if small == 1:
-            rest = rest.union(classed.where(F.col("n") <= SMALL_BUCKET).select("bucket", "last", "doc_id"))
-        small = SMALL_BUCKET
-        classed = dealt(scratch.save(rest.join(named, F.col("doc_id") == F.col("node"), "left").select("bucket", "last", "doc_id", F.coalesce("component", "doc_id").alias("class"))))
-        if classed.isEmpty():
-            return rest_of(buckets, named, held, tried, scratch, common, idf)
+    pairs = met.select("x", F.explode(F.filter("others", like)).alias("y")).select(*ordered("x.doc_id", "y.doc_id"))
+    pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    return scratch.save(verified(pairs, texts, weights))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and class_id, a row per input row. A class is named after its smallest doc_id.
 
     Case, punctuation and white space don't count. A null or empty text, or one without any word, is in a class of its own. A row
-    whose key is null has a null class. Rows that repeat a key are one document. Other columns are left out. An empty table gives no
-    rows. Texts of fewer than five words are one shingle: they are alike only if they have the same words.
+    whose key is null has a null class. Rows that repeat a key are versions of one document: they are in one class. Other columns are
+    left out. An empty table gives no rows. Texts of fewer than five words are one shingle: they are alike only if they have the same
+    words. A task holds about 40 bytes a byte of the text it works on.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    common, idf = common_shingles(texts.select("text"), scratch)
-    signed = scratch.save(signatures(texts, common, idf))
+    weights = fitted(texts.select("text"), scratch)
+    signed = scratch.save(signatures(texts, weights))
     with_words = signed.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
-    distinct = scratch.save(with_words.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("d1", "d2", F.col("m.doc_id").alias("first"), F.col("m.bands").alias("bands")))
-    named = linked(distinct.select(F.col("first").alias("doc_id"), "bands").distinct(), texts, scratch, common, idf)
+    firsts = scratch.save(with_words.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
+    own = with_words.join(firsts, ["d1", "d2"]).where("doc_id = first").groupBy("d1", "d2", "first").agg(F.min("bands").alias("bands"))
+    named = linked(own.select(F.col("first").alias("doc_id"), "bands").distinct(), texts.where("doc_id IS NOT NULL AND text IS NOT NULL"), scratch, weights)
     # rows that repeat a key but differ in text tie their texts' classes together
-    same_key = with_words.select("doc_id", "d1", "d2").distinct().join(distinct.select("d1", "d2", "first"), ["d1", "d2"]).where("doc_id <> first")
-    same_key = same_key.groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    same_key = scratch.save(same_key)
-    if not same_key.isEmpty():
-        named = relabelled(named, same_key, scratch)
-    firsts = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first")
+    twice = with_words.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
+    tied = with_words.join(scratch.save(twice), "doc_id").select("doc_id", "d1", "d2").distinct().join(firsts, ["d1", "d2"])
+    tied = scratch.save(tied.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    if not tied.isEmpty():
+        named = relabelled(named, tied, scratch)
+    of_text = firsts.join(named, F.col("first") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "first").alias("c"))
+    of_text = scratch.save(of_text)
     return (
         signed.select("doc_id", "d1", "d2")
-        .join(firsts, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-        .join(named, F.col("first") == F.col("node"), "left")
-        .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("class_id"))
+        .join(of_text, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+        .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("class_id"))
     )
 
 
@@ -391,11 +423,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the document with the smallest key, and all rows with a null key."""
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the document with the smallest key, and all rows with a null key.
 
-    chosen = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    order = Window.partitionBy(key).orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(chosen, key, "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
+    Of rows that repeat a key, which are versions of one document, the first by a hash of the text stays.
+    """
+    chosen = classes(docs, key, text).where("doc_id = class_id").select(F.col("doc_id").alias("__chosen")).distinct()
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text), text)
+    kept = docs.join(chosen, F.col(key).cast("long") == F.col("__chosen"), "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
     return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -385,6 +385,17 @@ def test_url_filter_odd_inputs(spark):
 # ---- 10 -------------------------------------------------------------------------------------------------------------------------
 
 
+def exact_weights(texts):
+    """Weights from document frequencies that are counted text by text."""
+    counts = np.zeros(near_dedup.SLOTS, dtype=np.int64)
+    n = 0
+    for t in texts:
+        found, _, _ = words.Hashed([t]).counted(near_dedup.WIDTH)
+        np.add.at(counts, (found % np.uint64(near_dedup.SLOTS)).astype(np.int64), 1)
+        n += len(found) > 0
+    return near_dedup.Weights(near_dedup.coded(counts), n).weighted(texts)
+
+
 def test_near_dedup_equals_brute_force(spark, corpus):
     texts = [t for _, t in corpus]
     rnd = random.Random(1)
@@ -393,30 +404,44 @@ def test_near_dedup_equals_brute_force(spark, corpus):
         for _ in range(rnd.randint(0, max(1, len(own) // 60))):
             own[rnd.randrange(len(own))] = f"edit{rnd.random()}"
         texts.append(" ".join(own))
-    weights = near_dedup.weighted(texts, np.zeros(0, dtype=np.uint64), np.zeros(0))
+    weights = exact_weights(texts)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs_of(spark, texts)).collect()}
     assert sorted(got) == list(range(len(texts)))
-    alike = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similarity(weights[i], weights[j]) >= 0.85]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similarity(weights[i], weights[j]) >= near_dedup.SIMILARITY]
     missed = [p for p in alike if got[p[0]] != got[p[1]]]
     assert alike and len(missed) <= 0.01 * len(alike)
     linked = {i: i for i in range(len(texts))}  # no class joins what no chain of similar texts joins
-    for i in range(len(texts)):
-        for j in range(i):
-            if near_dedup.similarity(weights[i], weights[j]) >= 0.7:
-                a, b = sorted((linked[i], linked[j]))
-                linked = {k: a if v == b else v for k, v in linked.items()}
+    for i, j in alike:
+        a, b = sorted((linked[i], linked[j]))
+        linked = {k: a if v == b else v for k, v in linked.items()}
     assert all(linked[i] == linked[c] for i, c in got.items())
 
 
+def test_document_frequencies_equal_brute_force(spark, corpus):
+    texts = [t for _, t in corpus] * 3 + [None, "", "a b"]
+    weights = near_dedup.fitted(docs_of(spark, texts).select("text").repartition(5), near_dedup.Scratch(spark, "test"))()
+    for (a, w), (b, v) in zip(weights.weighted(texts), exact_weights(texts), strict=True):
+        assert (a == b).all() and np.allclose(w, v)
+    counts = np.zeros(1000, dtype=np.int64)
+    counts[:900] = np.arange(900)
+    sums = np.zeros(1000, dtype=np.int64)
+    for _, _, at, n in [*near_dedup.emitted(counts, 0, 1, 0), *near_dedup.emitted(counts % 7 * (counts % 90 == 3), 0, 1, 0)]:
+        if at:
+            sums[np.frombuffer(at, dtype="<u4")] += np.frombuffer(n, dtype="<i8")
+        else:
+            sums += np.frombuffer(n, dtype=np.uint8)
+    assert (sums == counts + counts % 7 * (counts % 90 == 3)).all()
+
+
 def test_near_dedup_recall_in_a_template_family(spark):
     """Texts that share a template, alike to 0.7, in pairs that are alike to 0.8 and more: large buckets whose leaders join few."""
     rnd = random.Random(11)
     template = [f"t{i}" for i in range(650)]
     texts = []
     for i in range(700):
-        own = [f"own{i}x{k}" for k in range(26)]
+        own = [f"own{i}x{k}" for k in range(9)]
         for extra in range(2):
-            texts.append(" ".join([*template, *own, *(f"last{i}x{extra}x{k}" for k in range(34))]))
+            texts.append(" ".join([*template, *own, *(f"last{i}x{extra}x{k}" for k in range(18))]))
     texts += [" ".join(f"far{i}x{k}" for k in range(150)) for i in range(100)]
     rnd.shuffle(texts)
     pairs = {}
@@ -425,12 +450,12 @@ def test_near_dedup_recall_in_a_template_family(spark):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs_of(spark, texts)).collect()}
     twins = [p for p in pairs.values() if len(p) == 2]
     assert len(twins) == 700
-    scratch = near_dedup.Scratch(spark, "test")
-    weights = near_dedup.weighted(texts, *near_dedup.common_shingles(docs_of(spark, texts).select("text"), scratch))
+    weights = exact_weights(texts)
     alike = [(a, b) for a, b in twins if near_dedup.similarity(weights[a], weights[b]) >= 0.8]
     others = [near_dedup.similarity(weights[a[0]], weights[b[0]]) for a, b in zip(twins, twins[1:], strict=False)]
     assert len(alike) == 700 and 0.7 < min(others) and max(others) < 0.8
     missed = sum(got[a] != got[b] for a, b in alike)
+    print("missed", missed, "of", len(alike))
     assert missed <= 0.01 * len(alike)
     assert len(set(got.values())) >= 800
 
