@@ -7,7 +7,8 @@ is broadcast and no cell grows with the data.
 
 Inside a cell candidates lie in vertical layout (dimension by candidate). For each query the partial products are accumulated
 DIMS_A_BLOCK dimensions at a time; after every block the candidates whose partial score plus remaining mass (the product of the norms
-of what is left, by Cauchy-Schwarz) stays below the k-th best known score are dropped and the survivors compacted.
+of what is left, by Cauchy-Schwarz) stays below the k-th best known score are dropped and the survivors compacted. One cell a query
+group is searched first, and the k-th best score there is where all other cells begin, however many there are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import table
+from .common import Scratch, table
 
 K = 5
 QUERY_EVERY = 50
@@ -30,37 +31,53 @@ CANDIDATES_A_CELL = 4096
 DIMS_A_BLOCK = 8
 
 
-def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of each query. queries: query by dimension; columns: dimension by candidate; both integral float64.
+def exact_scores(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Integer inner products, as long as they fit, otherwise the nearest long."""
+    if float(np.abs(query).max(initial=0)) * float(np.abs(columns).max(initial=0)) * max(len(query), 1) < 2.0**62:
+        return query @ columns
+    sums = [sum(x * y for x, y in zip(query.tolist(), column, strict=True)) for column in columns.T.tolist()]
+    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in sums], dtype=np.int64)
 
-    Candidates are ordered by id; ties go to the smaller id. A candidate with the query's own id is left out.
+
+def search_cell(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best candidates of each query. queries: query by dimension; columns: dimension by candidate; both 64-bit integers.
+
+    floors: a score that k other candidates are known to reach, or -inf. Candidates are ordered by id; ties go to the smaller id. A
+    candidate with the query's own id is left out. Bounds are in floating point and allow for its rounding; the scores of what is left
+    are computed in integers wherever a sum may pass 2 ** 53.
     """
     dims, n = columns.shape
     edges = list(range(0, dims, DIMS_A_BLOCK)) or [0]
     blocks = [(a, min(a + DIMS_A_BLOCK, dims)) for a in edges]
-    squares = np.stack([np.einsum("ij,ij->j", columns[a:b], columns[a:b]) for a, b in blocks]) if n else np.zeros((len(blocks), 0))
+    reals = columns.astype(np.float64)
+    squares = np.stack([np.einsum("ij,ij->j", reals[a:b], reals[a:b]) for a, b in blocks]) if n else np.zeros((len(blocks), 0))
     rest = np.sqrt(np.concatenate([np.cumsum(squares[::-1], axis=0)[::-1][1:], np.zeros((1, n))]))
+    norms = np.sqrt(squares.sum(axis=0))
     found = []
-    for query_id, query in zip(query_ids, queries, strict=True):
+    for query_id, whole_query, floor in zip(query_ids, queries, floors, strict=True):
+        query = whole_query.astype(np.float64)
+        norm = float(np.sqrt(query @ query))
         left = [float(np.sqrt(query[b:] @ query[b:])) for _, b in blocks]
+        error = norms * (norm * 1e-12)
         alive = np.flatnonzero(ids != query_id)
         partial = np.zeros(len(alive))
-        whole, floor = len(alive) == n, -np.inf
+        whole = len(alive) == n
         for j, (a, b) in enumerate(blocks):
-            partial = partial + query[a:b] @ (columns[a:b] if whole else columns[a:b, alive])
-            if len(alive) <= k:
-                continue
-            slack = left[j] * rest[j, alive]
-            # the k-th best lower bound is no higher than the k-th best score
-            floor = max(floor, np.partition(partial - slack, len(alive) - k)[len(alive) - k])
-            if len(alive) > 4 * k and b < dims:
-                some = alive[np.argpartition(partial, len(alive) - k)[-k:]]
-                floor = max(floor, (query @ columns[:, some]).min())
-            keep = partial + slack >= floor - 1e-6 * (1 + abs(floor))
+            partial = partial + query[a:b] @ (reals[a:b] if whole else reals[a:b, alive])
+            slack = left[j] * rest[j, alive] + error[alive]
+            if len(alive) > k:
+                # the k-th best lower bound is no higher than the k-th best score
+                floor = max(floor, np.partition(partial - slack, len(alive) - k)[len(alive) - k])
+                if len(alive) > 4 * k and b < dims:
+                    some = alive[np.argpartition(partial, len(alive) - k)[-k:]]
+                    floor = max(floor, (query @ reals[:, some] - error[some]).min())
+            keep = partial + slack >= floor - 1e-6
             if not keep.all():
                 alive, partial, whole = alive[keep], partial[keep], False
-        order = np.lexsort((ids[alive], -partial))[:k]
-        found.append(pd.DataFrame({"query_id": np.full(len(order), query_id), "vec_id": ids[alive][order], "score": np.rint(partial[order]).astype(np.int64)}))
+        exact = norm * norms[alive].max(initial=0) < 2.0**52
+        scores = np.rint(partial).astype(np.int64) if exact else exact_scores(whole_query, columns[:, alive])
+        order = np.lexsort((ids[alive], ~scores))[:k]  # ~x is -x - 1, which every long has
+        found.append(pd.DataFrame({"query_id": np.full(len(order), query_id), "vec_id": ids[alive][order], "score": scores[order]}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
@@ -76,8 +93,8 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, key: s
 
     Components x become floor(256 x). Rows whose key is null, or whose vector is null or holds null or non-finite components, take no
     part. Only vectors of the query's own length are compared. Rows that share the query's key are the query's own; other repeated
-    rows all compete, ties going to the smaller key. Scores are exact while a product of norms stays below 2**53. Other columns are
-    left out; an empty table gives no rows.
+    rows all compete, ties going to the smaller key. Scores are exact wherever they fit a long; beyond, they are the nearest long.
+    Other columns are left out; an empty table gives no rows.
     """
     rows = usable(vectors, key, vector)
     asked = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0)
@@ -85,22 +102,40 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, key: s
     down, across = max(1, -(-n // CANDIDATES_A_CELL)), max(1, -(-n_asked // QUERIES_A_CELL))
     spread = F.xxhash64("vec_id", F.lit("cell"))
     dims = F.size("v").alias("dims")
-    left = asked.dropDuplicates().select(dims, F.pmod(spread, F.lit(across)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("h"), "vec_id", "v")
-    right = rows.select(dims, F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("g"), F.pmod(spread, F.lit(down)).alias("h"), "vec_id", "v")
+    right = rows.select(dims, F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("g"), F.pmod(spread, F.lit(down)).cast("int").alias("h"), "vec_id", "v")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def cell(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         candidates = candidates.sort_values("vec_id", kind="stable")
         width = len(queries["v"].iloc[0])
-        q = np.array(queries["v"].tolist(), dtype=np.float64).reshape(len(queries), width)
-        c = np.ascontiguousarray(np.array(candidates["v"].tolist(), dtype=np.float64).reshape(len(candidates), width).T)
-        return search_cell(queries["vec_id"].to_numpy(), q, candidates["vec_id"].to_numpy(), c, k)
-
-    keys = ("dims", "g", "h")
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        q = np.array(queries["v"].tolist(), dtype=np.int64).reshape(len(queries), width)
+        c = np.ascontiguousarray(np.array(candidates["v"].tolist(), dtype=np.int64).reshape(len(candidates), width).T)
+        floors = queries["floor"].fillna(-np.inf).to_numpy(dtype=np.float64)
+        return search_cell(queries["vec_id"].to_numpy(), q, floors, candidates["vec_id"].to_numpy(), c, k)
+
+    def searched(queries: DataFrame, cells: list[int]) -> DataFrame:
+        """The k best of each query in the cells of these candidates."""
+        left = queries.select(dims, F.pmod(spread, F.lit(across)).cast("int").alias("g"), F.explode(F.array(*[F.lit(h) for h in cells]) if len(cells) == 1 else F.sequence(F.lit(cells[0]), F.lit(cells[-1]))).alias("h"), "vec_id", "v", "floor")
+        keys = ("dims", "g", "h")
+        some = right if len(cells) == down else right.where(F.col("h").between(cells[0], cells[-1]))
+        best = left.groupBy(*keys).cogroup(some.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score long")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    queries = asked.dropDuplicates().withColumn("floor", F.lit(None).cast("double"))
+    if down > 1:
+        # the first cell is searched first: what it holds is a bound for all others, so they prune from their first block on
+        scratch = Scratch(vectors.sparkSession, "exact-topk")
+        first = scratch.save(searched(queries, [0]))
+        known = first.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").cast("double").alias("bound"))
+        queries = queries.join(known, F.col("vec_id") == F.col("of"), "left").select("vec_id", "v", (F.col("bound") - F.abs("bound") * 1e-12).alias("floor"))
+        queries = scratch.save(queries)
+        rest = searched(queries, list(range(1, down))).drop("rank").unionByName(first.drop("rank"))
+        best = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    else:
+        best = searched(queries, [0])
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,15 +80,15 @@ class Encoder:
     A byte-level BPE with the usual splitting pattern never joins a space or line feed, when a non-space follows it, to what stands
     before it, nor a mark of punctuation to an ASCII letter or digit. So a text without runs of white space is a sequence of pieces:
     line feeds, words with their leading space, and what follows a mark. Pieces are found in the bytes of a whole batch in numpy, told
-    apart by a 64-bit hash and their length, and only distinct ones that aren't remembered go to the tokenizer. Any other text is
-    encoded in one piece.
+    apart by a 64-bit hash and their length, and only distinct ones that aren't remembered go to the tokenizer. Any other text, and
+    one that spells an added token such as the end of a text, is encoded in one piece.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
         self.size = max(vocab.values()) + 1
@@ -139,6 +139,7 @@ class Encoder:
         last = edges[1:][edges[1:] > edges[:-1]] - 1
         odd = np.concatenate([odd, last[BREAKS[data[last]]]])
         whole = {i for i in np.unique(np.searchsorted(edges, odd, "right") - 1).tolist() if IRREGULAR.search(texts[i])}
+        whole |= {i for i, t in enumerate(texts) if any(x in t for x in self.added)}
         if whole:
             parts = [b"" if i in whole else p for i, p in enumerate(parts)]
             edges = np.cumsum([0, *[len(p) for p in parts]])

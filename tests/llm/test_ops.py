@@ -198,7 +198,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
@@ -216,7 +215,7 @@ def test_token_files_equal_the_tokenizer(spark, small, corpus):
 
 
 def test_token_files_odd_inputs(spark, empty):
-    texts = [*ODD, "a  b\n\n c", "x<|endoftext|>y don't", "tab\t x\r\n z", "\u00a0 nb\u3000 日本語 🙂.", ".a..b ,c!? d", "é. É! ñ1. 12.5"]
+    texts = [*ODD, "a  b\n\n c", "x<|endoftext|>y don't", "x <|endoftext|> y <|endoftext|", "<|endoftext|>", "tab\t x\r\n z", "\u00a0 nb\u3000 日本語 🙂.", ".a..b ,c!? d", "é. É! ñ1. 12.5"]
     docs = docs_of(spark, texts)
     odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.where("doc_id = 4"))
     got = [tuple(r)[:4] for r in token_binary.tokenise(odd.withColumn("start", F.lit("clash"))).orderBy("start").collect()]
@@ -287,6 +286,17 @@ def test_topk_odd_inputs(spark):
     assert exact_topk.top_k(df.where("false")).count() == 0
 
 
+def test_topk_large_products_are_exact(spark):
+    big = 2.0**54
+    rows = [(0, [3e6, 1 / 256]), (1, [3e6, 1 / 256]), (2, [3e6, 2 / 256]), (3, [3e6, 2 / 256]), (50, [big, -big]), (60, [big, big]), (61, [-big, big])]
+    got = [tuple(r) for r in exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    whole = {k: [int(np.floor(256 * x)) for x in v] for k, v in rows}
+    for q in (0, 50):
+        scores = {k: min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(2**63)), 2**63 - 1) for k, v in whole.items() if k != q}
+        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert sorted(r for r in got if r[0] == q) == [(q, i + 1, k, x) for i, (k, x) in enumerate(want)]
+
+
 def test_topk_many_ties_across_cells(spark):
     rnd = np.random.default_rng(2)
     base = rnd.integers(-3, 4, (40, 24)).astype(float) / 256
