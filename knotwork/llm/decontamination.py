@@ -17,6 +17,7 @@ of its own, so what is broadcast has a fixed bound; a benchmark of usual size is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import table
 from .words import Hashed, mixed, steps, words
 
 MOST_EDITS = 0.2
-#: Shorter items can't be told from chance and are not searched.
+#: Shorter items may have no edits, so their one piece, the whole item, finds every place of them without walks.
 LEAST_WORDS = 5
 STEPS, SAMPLE = 14, 8
 WALKS, SAMPLES = 3, 4
@@ -60,7 +61,7 @@ class Index:
         with np.errstate(over="ignore"):
             self.bits = (mixed(mixed(seeds) + np.arange(size, dtype=np.uint64)) >> np.uint64(63)).astype(np.uint8)
         self.owned = np.unique(np.concatenate([np.unique(x).astype(np.int64) + i * size for i, x in enumerate(self.items)]))
-        self.tables = [self.entered(n) for n in sorted({min(STEPS, len(x)) for x in self.items})]
+        self.tables = [self.entered(n) for n in sorted({min(STEPS, len(x)) for x in self.items if len(x) >= LEAST_WORDS})]
         self.pieces = self.pieced()
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
@@ -218,25 +219,27 @@ def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[Index]:
-    """Items by block. Null keys or texts and items of fewer than LEAST_WORDS words take no part; repeated items count once."""
+    return list(each_block(benchmark, key, text))
+
+
+def each_block(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """Items by block, one block in memory a time. Null keys or texts and items without a word take no part; repeated items count once."""
     rows = benchmark.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text")).distinct().orderBy("item_id", "text")
-    out: list[Index] = []
     ids: list[int] = []
     texts: list[str] = []
     size = 0
     for row in rows.toLocalIterator():
         n = len(words(row["text"]))
-        if n < LEAST_WORDS:
+        if not n:
             continue
         if size and size + n > BLOCK_WORDS:
-            out.append(Index(ids, texts))
+            yield Index(ids, texts)
             ids, texts, size = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += n
     if ids:
-        out.append(Index(ids, texts))
-    return out
+        yield Index(ids, texts)
 
 
 MATCHES = "array<struct<item_id: long, edits: int, first_word: int, n_words: int>>"
@@ -263,7 +266,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     gives no rows. Other columns are left out.
     """
     found = None
-    for block in blocks(benchmark):
+    for block in each_block(benchmark):
         one = docs.select(F.col(key).alias("doc_id"), F.explode(matches(docs.sparkSession, block, text)).alias("m")).select("doc_id", "m.*")
         found = one if found is None else found.unionByName(one)
     if found is None:
@@ -273,7 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    for block in blocks(benchmark):
+    for block in each_block(benchmark):
         docs = docs.where(F.size(matches(docs.sparkSession, block, text)) == 0)
     return docs
 

@@ -24,6 +24,8 @@ from .common import Scratch, hash_unit, table
 SAMPLE_A_LANGUAGE = 1000
 #: A label with fewer rows is no language of the model.
 LEAST_ROWS = 3
+#: Of more labels than these, the most frequent are the model's languages: the model must fit a worker.
+MOST_LANGUAGES = 400
 BUCKETS = 1 << 14
 #: A text counts as much as this many trigrams at most: neighbouring trigrams aren't independent.
 EFFECTIVE_TRIGRAMS = 60
@@ -51,14 +53,19 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[list[str], np.ndarray]:
-    """The languages, and log P(trigram | language) by bucket and language; the last column is the even distribution's."""
+    """The languages, and log P(trigram | language) by bucket and language; the last column is the even distribution's.
+
+    Labels of fewer than LEAST_ROWS rows are no languages, nor those beyond the MOST_LANGUAGES most frequent. About SAMPLE_A_LANGUAGE
+    rows of each are fitted, drawn by a hash of key and text, so only rows that are alike in both are drawn together.
+    """
     rows = labelled.where(F.col(label).isNotNull() & (F.trim(F.col(text)) != ""))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
-    languages = sorted(x for x, n in sizes.items() if n >= LEAST_ROWS)
+    frequent = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
+    sizes = {r["label"]: r["n"] for r in frequent.collect()}
+    languages = sorted(sizes)
     counts = np.full((BUCKETS, len(languages)), 0.1)
     if languages:
         share = F.element_at(F.create_map(*[c for x in languages for c in (F.lit(x), F.lit(SAMPLE_A_LANGUAGE / sizes[x]))]), F.col(label))
-        sample = rows.where(F.col(label).isin(languages)).where(hash_unit(F.lit("train"), F.col(key).cast("string")) < share)
+        sample = rows.where(F.col(label).isin(languages)).where(hash_unit(F.lit("train"), F.col(key).cast("string"), F.xxhash64(text).cast("string")) < share)
         index = {x: i for i, x in enumerate(languages)}
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +134,7 @@ def evidence(scored: DataFrame, what: str, n: int) -> DataFrame:
 
 def declared_language(markup: Column) -> Column:
     """The primary subtag of the html element's lang attribute, or null."""
-    return F.nullif(F.lower(F.regexp_extract(markup, r"(?i)<html\b[^>]{0,200}?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(markup, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1)), F.lit(""))
 
 
 def address_suffix(host: Column) -> Column:
@@ -147,6 +154,7 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, host: Colu
     Ties go to the language first in the alphabet. An empty table gives no rows; no languages at all give 'und' everywhere.
     """
     scratch = Scratch(docs.sparkSession, "language-id")
+    carry = [c for c in carry if c not in ("language", "posterior", "accepted")]
     n = len(languages)
     inputs = docs.select(
         *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)],

@@ -5,8 +5,8 @@ distribution, which a number hashed from (seed, doc_id) inverts: the smallest co
 document is exploded by its count, and all copies are put in one global order by a hash of (seed, doc_id, copy).
 
 The statistics are one partial aggregation by source, written to the shared folder. The rates join back by source: Catalyst broadcasts
-them while their file is small; otherwise it is a sort-merge join whose hot source AQE splits, as no aggregation shares its stage. The global order is a range exchange on
-a uniform hash, so its partitions are even whatever the sources are.
+them while their file is small; otherwise it is a sort-merge join whose hot source AQE splits, as no aggregation shares its stage. The global order cuts
+the range of a uniform hash into equal parts, so partitions are even whatever the sources are, and nothing is sampled for it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import Scratch, hash_unit, table
 SEED = "mix-1"
 #: A larger mean is the sum of several independent Poisson counts of at most this mean: exp(-mean) must stay well above underflow.
 LARGEST_MEAN = 500.0
+#: Characters of a partition of the result.
+PART_CHARS = 1 << 27
 
 
 def source_rates(docs: DataFrame, targets: DataFrame | None = None, source: str = "source", text: str = "text") -> DataFrame:
@@ -64,28 +66,32 @@ def with_table(rates: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, targets: DataFrame | None = None, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus copy (from 1) and shuffle_key, in the global order of shuffle_key.
 
-    A document's count depends on (seed, key) and its source's rate alone; rows that repeat a key are drawn alike, null keys count
-    as one key ''. Null or empty texts have no mass but are drawn like the others of their source. Columns named copy or shuffle_key
+    A document's count depends on (seed, key) and its source's rate alone; rows that repeat a key are drawn alike, rows without a key
+    by their text. Null or empty texts have no mass but are drawn like the others of their source. Columns named copy or shuffle_key
     are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("copy", "shuffle_key")
     # written first, so that Catalyst knows its size when it chooses the join
-    rates = Scratch(docs.sparkSession, "mixing").save(with_table(source_rates(docs, targets, source, text))).select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rates = Scratch(docs.sparkSession, "mixing").save(with_table(source_rates(docs, targets, source, text)))
+    size = rates.agg(F.sum(F.col("mass") * F.col("rate"))).first()[0]
+    rates = rates.select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    ident = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text-"), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
     def count(u):
         return F.size(F.filter("__cdf", lambda c: c < u))
 
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda s, j: s + count(hash_unit(F.lit(seed), ident, j.cast("string"))))
-    return (
+    copies = (
         docs.withColumn("__src", F.coalesce(F.col(source).cast("string"), F.lit("")))
         .join(rates, "__src")
         .withColumn("__n", F.when(F.size("__cdf") > 0, drawn))
         .where("__n > 0")
         .select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1, __n)")).alias("copy"))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("copy").cast("string"), F.lit("order"))))
-        .orderBy("shuffle_key")
     )
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int((size or 0) // PART_CHARS) + 1)
+    share = F.conv(F.substring("shuffle_key", 1, 12), 16, 10).cast("double") / float(16**12)
+    return copies.repartitionById(parts, F.floor(share * parts).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +107,8 @@ p AS (SELECT src, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, LATE
 c AS (SELECT src, sum(p) OVER (PARTITION BY src ORDER BY k) AS cdf FROM p),
 l AS (SELECT src, list(cdf) AS cdfs FROM c GROUP BY src),
 d AS (SELECT doc_id, text, source, coalesce(source, '') AS src,
-  (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+  (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'text-' || md5(coalesce(text, ''))) || ':1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
 n AS (SELECT d.*, len(list_filter(cdfs, lambda x: x < u)) AS n FROM d JOIN l USING (src)),
 e AS (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)
-SELECT doc_id, source, copy, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR) || ':order') AS shuffle_key, text FROM e
+SELECT doc_id, source, copy, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'text-' || md5(coalesce(text, ''))) || ':' || CAST(copy AS VARCHAR) || ':order') AS shuffle_key, text FROM e
 """

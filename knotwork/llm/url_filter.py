@@ -3,8 +3,8 @@
 Every URL is expanded into host-suffix x path-prefix expressions. Their SHA-256 digests meet the rules' digests in an equi-join on
 a short prefix of the digest; the full digest is then compared, and the longest rule that fits decides.
 
-Only as many path prefixes are made as there are distinct lengths of rule paths, so the expansion of a URL does not grow with its
-own length beyond the longest rule. URLs are first reduced to their distinct (host, leading path) pairs, hence a host with a third
+Only as many path prefixes are made as there are distinct lengths of rule paths, and as many host suffixes as there are distinct
+numbers of labels in rule hosts, so the expansion of a URL does not grow with its own length beyond the longest rule. URLs are first reduced to their distinct (host, leading path) pairs, hence a host with a third
 of all rows costs no more than its distinct paths. The rules are never broadcast by force: Catalyst does so when they are small.
 """
 
@@ -44,6 +44,14 @@ def host_and_path(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("host", F.translate("__host", UPPER, LOWER)).drop("__rest", "__host")
 
 
+def label_count(host: str) -> F.Column:
+    return F.length(host) - F.length(F.translate(host, ".", "")) + 1
+
+
+def numbers(values: list[int]) -> F.Column:
+    return F.array(*[F.lit(n) for n in values]) if values else F.expr("cast(array() AS array<int>)")
+
+
 def digest(host, path) -> F.Column:
     return F.sha2(F.concat(host, F.lit("\t"), path), 256)
 
@@ -58,8 +66,9 @@ def judge(pages: DataFrame, rules: DataFrame, carry: list[str], url: str = "url"
     do no harm. An empty table gives an empty result; no rules at all give the default everywhere.
     """
     given = rules.select("verdict", "host", "path").where("host <> '' AND path IS NOT NULL").distinct()
-    # At most as many numbers as the longest rule path has characters.
+    # At most as many numbers as the longest rule path has characters, and the longest rule host labels.
     lengths = sorted(r[0] for r in given.select(F.length("path")).distinct().collect())
+    labels = sorted(r[0] for r in given.select(label_count("host")).distinct().collect())
     longest = max(lengths, default=0)
     seen = host_and_path(pages.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col(url).alias("__url")), "__url")
     seen = seen.withColumn("__lead", F.expr(f"left(path, {longest})"))
@@ -74,8 +83,8 @@ def judge(pages: DataFrame, rules: DataFrame, carry: list[str], url: str = "url"
         ).alias("found"),
     ).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     keys = seen.select("host", "__lead").where("host <> ''").distinct()
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 100000), '.'))")
-    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() AS array<int>)")
+    suffixes = F.transform(F.filter(numbers(labels), lambda n: n <= label_count("host")), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    sizes = numbers(lengths)
     prefixes = F.transform(F.filter(sizes, lambda n: n <= F.length("__lead")), lambda n: F.expr("__lead").substr(F.lit(1), n))
     asked = (
         keys.withColumn("suffix", F.explode(suffixes))

@@ -190,6 +190,59 @@ def test_tool_chat_long_chain_and_empty(spark):
     assert tool_chat.link(messages.where("false")).count() == 0
 
 
+def test_tool_chat_orders_calls_that_need_several(spark):
+    """Depths and positions against a plain walk over random graphs, with rings, chains, calls that need several and missing needs."""
+    rnd = random.Random(7)
+    rows, needs = [], {}
+    for conv in range(6):
+        n = 40
+        for i in range(n):
+            up = [rnd.randrange(i) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))] if i else []
+            if rnd.random() < 0.04:
+                up.append(rnd.randrange(n))  # may close a ring
+            needs[conv, i] = set(up)
+            after = [f"c{u}" for u in up] + (["gone"] if rnd.random() < 0.1 else [])
+            rows.append((conv, rnd.randrange(90), "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "reply", "arguments": {"text": "x"}, "after": after[0] if len(after) == 1 else after}]})))
+    want, changed = {}, True
+    while changed:
+        changed = False
+        for k, up in needs.items():
+            if k not in want and all((k[0], u) in want for u in up):
+                want[k], changed = max((want[k[0], u] + 1 for u in up), default=0), True
+    linked = tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    got = linked.collect()
+    assert {(r["conv_id"], int(r["call_id"][1:])): r["depth"] for r in got} == {k: want.get(k) for k in needs}
+    assert 0 < sum(r["status"] == "cyclic" for r in got) < len(got)
+    for conv in range(6):
+        own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])
+        assert [r["position"] for r in own] == list(range(1, 41))
+        keys = [(r["depth"] is None, r["depth"] or 0, r["turn"]) for r in own]
+        assert keys == sorted(keys)
+    written = {}
+    for r in tool_chat.transcripts(linked, 16).collect():
+        assert r["n_lines"] == min(16, 40 - 16 * r["block"])
+        written.setdefault(r["conv_id"], {})[r["block"]] = r["lines"].split("\n")
+    for conv, parts in written.items():
+        assert [x for _, p in sorted(parts.items()) for x in p] == [r["json"] for r in sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])]
+
+
+def test_tool_chat_odd_json(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    calls = [{"id": "a\ud800", "name": "reply", "arguments": {"text": "\udfff!"}}, {"id": "b", "name": "reply", "arguments": '{"text": NaN}'}, {"id": "b", "name": "f", "arguments": {"x": 1.0, "y": [2.5, 1]}}, {"name": "f"}, 5, {"id": "b", "name": "f", "arguments": {"x": 1.0, "y": [2.5, 1]}}]
+    rows = [(1, 0, "user", '{"tool_calls": ' + deep + "}"), (1, 1, "assistant", json.dumps({"tool_calls": calls})), (1, 2, "tool", '{"tool_call_id": "a\\ud800", "content": 1e999}'), (1, 3, "tool", json.dumps({"tool_call_id": None})), (1, 5, "x", '{"tool_calls": [{"id": "d", "arguments": ' + json.dumps(deep) + "}]}")]
+    got = tool_chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["call_id"], r["status"]), []).append(r)
+    assert by["turn-0", "unanswered"][0]["json"].startswith('{"call":{"arguments":{"text":"{')
+    assert json.loads(by["a\\ud800", "unanswered"][0]["json"])["call"]["arguments"] == {"text": "\udfff!"}
+    assert len(by["b", "duplicate"]) == 2
+    assert [r["error"] for r in got if r["call_id"] == "d"] == ["$: not JSON"]
+    assert len(by[None, "duplicate"]) == 2 and len(by[None, "orphan"]) == 1
+    assert tool_chat.canonical(tool_chat.decoded('{"b":1.0,"a":[1,2.50,1e2]}')) == '{"a":[1,2.5,100],"b":1}'
+    assert sorted(r["position"] for r in got) == list(range(1, len(got) + 1))
+
+
 # ---- 4 --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -366,6 +419,8 @@ def test_language_id_odd_inputs(spark, empty):
     docs = docs_of(spark, [*ODD, *["this is the text of that"] * 5], lang=[None] * len(ODD) + ["en"] * 5).withColumn("language", F.lit("clash")).withColumn("source", F.lit(None).cast("string"))
     got = {r["doc_id"]: (r["language"], r["accepted"]) for r in language_id.identify_documents(docs, ["doc_id"]).collect()}
     assert len(got) == len(ODD) + 5
+    clash = docs.withColumn("accepted", F.lit(1)).withColumn("posterior", F.lit(2))
+    assert sorted(language_id.identify_documents(clash, clash.columns).columns) == sorted([*docs.columns, "accepted", "posterior"])
     assert all(got[i] == ("und", False) for i in range(4)) and got[len(ODD)] == ("en", True)
     assert language_id.identify_documents(empty, ["doc_id"]).count() == 0
     assert not language_id.identify_documents(docs.withColumn("lang", F.lit(None).cast("string")), ["doc_id"]).where("accepted").count()
