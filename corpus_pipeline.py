@@ -7,6 +7,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from knotwork.llm import decontamination, language_id, mixing, near_dedup, token_binary
 from knotwork.llm.common import Scratch, table
@@ -14,7 +15,8 @@ from knotwork.llm.common import Scratch, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in one of the model's languages."""
-    return language_id.identify_documents(docs, docs.columns).where("accepted").select(*docs.columns)
+    rows = docs.withColumn("__row", F.struct(*docs.columns))  # so that no column's name can clash with the operator's own
+    return language_id.identify_documents(rows, ["__row"]).where("accepted").select("__row.*")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
