@@ -4,11 +4,13 @@ Candidates are runs of LEAST characters or more of the alphabet of keys, found i
 between kinds of characters, distinct characters, shares of digits and of characters that dictionary words cover, words of the path
 and of the neighbourhood. A forest trained from labelled findings decides.
 
-Training uses the DataFrame learner on at most MOST_FINDINGS labelled rows (drawn by hash). The trees are then written out as one SQL
-expression, so scoring is code-generated with the scan: no shuffle, no Python, one pass over the texts, any group sizes.
+Training uses the DataFrame learner on at most MOST_FINDINGS labelled rows (drawn by hash). The trees are then written out as literal
+arrays, which one SQL expression walks, so scoring happens in the scan's stage: no shuffle, no Python, one pass over the texts, any
+group sizes, and generated code of one size for any forest.
 
-Without findings of their own, users get ``synthetic_findings``: labelled rows made from numbered hashes, of keys as they stand in
-configuration and of what is mistaken for them.
+Without findings of their own, users get ``synthetic_findings``: labelled rows made from numbered hashes. Values (keys, digests,
+identifiers, words, paths, numbers) and contexts (announced as a key, as something else, not at all; quoted or not; example paths or
+not) are drawn apart from each other, so no single feature gives the label away.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from .common import hash_unit, table
 
 LEAST = 16
 MOST_FINDINGS = 20_000
-TREES, DEPTH, SEED = 16, 5, 7
+TREES, DEPTH, SEED = 20, 7, 7
 THRESHOLD = 0.5
-SYNTHETIC_ROWS = 6_000
+SYNTHETIC_ROWS = 12_000
 
 #: Words that keys don't contain, words that announce keys, words that announce other things, folders of examples.
 DICTIONARY = [
@@ -32,11 +34,21 @@ DICTIONARY = [
     "order", "page", "parameter", "password", "path", "process", "property", "query", "request", "response", "result", "secret", "service", "session", "source",
     "string", "table", "test", "that", "the", "this", "tion", "token", "type", "user", "value", "version", "with", "work",
 ]
+DICTIONARY_OF_CONTEXT = ["about", "after", "and", "content", "file", "for", "from", "have", "in", "is", "list", "method", "of", "page", "process", "see", "that", "the", "this", "to", "value", "with", "work"]
 ANNOUNCE_KEY = ["api", "auth", "bearer", "credential", "key", "passwd", "password", "pwd", "secret", "token"]
 ANNOUNCE_OTHER = ["checksum", "commit", "digest", "etag", "example", "hash", "md5", "revision", "sha", "sha1", "sha256", "uuid", "version"]
 EXAMPLE_PATHS = ["doc", "example", "fixture", "mock", "sample", "test"]
 
-FEATURES = ["n", "changes", "distinct", "digits", "uppers", "marks", "hexadecimal", "dictionary", "announced", "denied", "assigned", "quoted", "example_path"]
+FEATURES = ["n", "changes", "familiar", "distinct", "digits", "uppers", "marks", "hexadecimal", "dictionary", "announced", "denied", "assigned", "quoted", "example_path"]
+
+
+def familiar_pairs() -> str:
+    """A pattern for the first of two letters that stand side by side in a word of the dictionary."""
+    after: dict[str, set[str]] = {}
+    for word in DICTIONARY:
+        for a, b in zip(word, word[1:], strict=False):
+            after.setdefault(a, set()).add(b)
+    return "(?i)(" + "|".join(f"{a}(?=[{''.join(sorted(bs))}])" for a, bs in sorted(after.items())) + ")"
 
 
 def any_of(words: list[str]) -> str:
@@ -57,6 +69,7 @@ def features(rows: DataFrame) -> DataFrame:
         {
             "n": n.cast("double"),
             "changes": (F.length(kinds) - 1).cast("double"),
+            "familiar": count(familiar_pairs()) / n,
             "distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double"),
             "digits": count("[0-9]") / n,
             "uppers": count("[A-Z]") / n,
@@ -114,27 +127,30 @@ def synthetic_findings(spark: SparkSession, rows: int = SYNTHETIC_ROWS) -> DataF
     def size(least: int, most: int, salt: str) -> Column:
         return (F.floor(hash_unit(F.lit(salt), i) * (most - least + 1)) + least).cast("int")
 
-    kind = F.col("id") % 12
+    kind = pick([str(x) for x in range(10)], "kind")
+    plain = F.left(h, size(32, 64, "n"))
+    joint = pick(["", "_", "-", "."], "j")
     candidate = (
-        F.when(kind.isin(0, 1), F.left(h, size(32, 64, "n")))
-        .when(kind == 2, F.upper(F.left(h, size(32, 64, "n"))))
-        .when(kind == 3, b64)
-        .when(kind == 4, F.concat(pick(["sk_live_", "ghp_", "xoxb-", "AKIA", "glpat-"], "p"), F.left(b64, size(20, 36, "n"))))
-        .when(kind == 5, F.left(h, F.lit(40)))
-        .when(kind == 6, fold(4, "w"))
-        .when(kind == 7, F.concat(F.left(h, F.lit(8)), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.left(g, F.lit(12))))
-        .when(kind == 8, F.left(h, F.when(F.col("id") % 24 < 12, 40).otherwise(64)))
-        .when(kind == 9, F.concat(fold(2, "x"), F.lit("/"), fold(2, "y"), F.lit("."), pick(["py", "html", "js", "txt"], "e")))
-        .when(kind == 10, F.concat(F.repeat(pick(["-", "=", "x", "0", "abc"], "r"), size(18, 40, "n"))))
+        F.when(kind == "0", plain)
+        .when(kind == "1", F.upper(plain))
+        .when(kind == "2", b64)
+        .when(kind == "3", F.concat(pick(["sk_live_", "ghp_", "xoxb-", "AKIA", "glpat-"], "p"), F.left(b64, size(20, 36, "m"))))
+        .when(kind == "4", F.left(h, F.when(hash_unit(F.lit("digest"), i) < 0.5, 40).otherwise(64)))
+        .when(kind == "5", F.concat(F.left(h, F.lit(8)), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.left(g, F.lit(12))))
+        .when(kind == "6", F.concat(fold(1, "w0"), *[F.concat(joint, fold(1, f"w{k}")) for k in range(1, 4)]))
+        .when(kind == "7", F.concat(fold(2, "x"), F.lit("/"), fold(2, "y"), F.lit("."), pick(["py", "html", "js", "txt"], "e")))
+        .when(kind == "8", F.repeat(pick(["-", "=", "x", "0", "abc"], "r"), size(18, 40, "o")))
         .otherwise(F.concat(F.conv(F.left(h, F.lit(13)), 16, 10), F.lit("."), F.conv(F.left(g, F.lit(6)), 16, 10)))
     )
-    key = kind < 6
-    named = pick(ANNOUNCE_KEY, "k")
-    before2 = F.when(key, named).when(kind.isin(7, 8), pick(ANNOUNCE_OTHER, "o")).otherwise(pick(DICTIONARY, "d"))
-    before1 = F.when(key, pick(["=", ":", "=", "is"], "s")).when(kind.isin(7, 8), pick([":", "=", "of"], "s")).otherwise(pick(DICTIONARY, "c"))
-    quote = F.when(key & (F.col("id") % 5 > 0), F.lit('"')).otherwise(F.lit(""))
-    path = F.when(~key & (F.col("id") % 3 == 0), pick(EXAMPLE_PATHS, "f")).otherwise(pick(["src", "web", "mail", "news"], "f"))
-    out = spark.range(0, rows, 1, 1).select("id", candidate.alias("candidate"), before1.alias("before1"), before2.alias("before2"), path.alias("path"), key.cast("double").alias("label"), quote.alias("q"))
+    context = pick(["key", "key", "other", "none"], "context")
+    before2 = F.when(context == "key", pick(ANNOUNCE_KEY, "k")).when(context == "other", pick(ANNOUNCE_OTHER, "o")).otherwise(pick(DICTIONARY_OF_CONTEXT, "d"))
+    before1 = F.when(context == "none", pick(DICTIONARY_OF_CONTEXT, "c")).otherwise(pick(["=", ":", "=", "is"], "s"))
+    quote = pick(['"', "'", "", ""], "q")
+    path = pick([*EXAMPLE_PATHS, *["src", "web", "mail", "news"] * 3], "f")
+    # random values are keys where they are announced as such, those with a provider's mark unless they are announced as something else
+    marked = kind == "3"
+    label = (kind.isin("0", "1", "2", "3", "4") & (context == "key")) | (marked & (context == "none"))
+    out = spark.range(0, rows, 1, 1).select("id", candidate.alias("candidate"), before1.alias("before1"), before2.alias("before2"), path.alias("path"), label.cast("double").alias("label"), quote.alias("q"))
     return out.withColumn("word", F.concat("q", "candidate", "q")).where(F.length("candidate") >= LEAST).drop("q")
 
 
@@ -154,15 +170,37 @@ def train(findings: DataFrame) -> str:
     # one sorted partition of bounded size: the bootstrap doesn't depend on how the rows lay
     model = RandomForestClassifier(featuresCol="__x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(prepared.coalesce(1).sortWithinPartitions("id"))
 
-    def sql(node) -> str:
-        if node.subtreeDepth() == 0:
-            stats = node.impurityStats().stats()
-            return f"{float(stats[1]) / (float(stats[0]) + float(stats[1]))!r}D"
-        split = node.split()
-        return f"IF({FEATURES[split.featureIndex()]} <= {float(split.threshold())!r}D, {sql(node.leftChild())}, {sql(node.rightChild())})"
-
-    trees = [sql(t._java_obj.rootNode()) for t in model.trees]
-    return f"({' + '.join(trees)}) / {float(len(trees))!r}D"
+    inner = 2**DEPTH - 1
+    which, bounds, leaves = [], [], []
+    for tree in model.trees:
+        # a complete tree: node k has the children 2 k + 1 and 2 k + 2; below a leaf, both ways lead to its value
+        feature, bound, leaf = [0] * inner, [0.0] * inner, [0.0] * (inner + 1)
+
+        def place(node, k: int, feature=feature, bound=bound, leaf=leaf) -> None:
+            if k >= inner:
+                stats = node.impurityStats().stats()
+                leaf[k - inner] = float(stats[1]) / (float(stats[0]) + float(stats[1]))
+            elif node.subtreeDepth() == 0:
+                place(node, 2 * k + 1)
+                place(node, 2 * k + 2)
+            else:
+                split = node.split()
+                feature[k], bound[k] = split.featureIndex(), float(split.threshold())
+                place(node.leftChild(), 2 * k + 1)
+                place(node.rightChild(), 2 * k + 2)
+
+        place(tree._java_obj.rootNode(), 0)
+        which.append(feature)
+        bounds.append(bound)
+        leaves.append(leaf)
+
+    def rows_of(values: list[list], suffix: str) -> str:
+        return "array(" + ", ".join("array(" + ", ".join(f"{v!r}{suffix}" for v in row) + ")" for row in values) + ")"
+
+    step = f"2 * k + IF(x[{rows_of(which, '')}[t][k]] <= {rows_of(bounds, 'D')}[t][k], 1, 2)"
+    leaf = f"{rows_of(leaves, 'D')}[t][aggregate(sequence(1, {DEPTH}), 0, (k, level) -> {step}) - {inner}]"
+    # the features are bound to x, so they are computed once for all trees
+    return f"transform(array(array({', '.join(FEATURES)})), x -> aggregate(sequence(0, {len(which) - 1}), 0D, (sum, t) -> sum + {leaf}))[0] / {float(len(which))!r}D"
 
 
 def scan(docs: DataFrame, carry: list[str], forest: str, text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:

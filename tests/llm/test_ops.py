@@ -318,6 +318,58 @@ def test_chunk_dedup_removes_what_came_before(spark):
     assert got[1].startswith(body[1]) and len(got[1]) < len(body[1]) + 120
 
 
+def common_stretches(texts, least):
+    """For each text, its bytes that are in a stretch of ``least`` bytes or more that stands in another text too."""
+    seen = {}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        for j in range(len(data) - least + 1):
+            seen.setdefault(data[j : j + least], set()).add(i)
+    out = []
+    for t in texts:
+        data = (t or "").encode()
+        own = np.zeros(len(data) + 1, dtype=int)
+        for j in range(len(data) - least + 1):
+            if len(seen[data[j : j + least]]) > 1:
+                own[j : j + least] = 1
+        out.append(own[: len(data)])
+    return out
+
+
+def test_chunk_dedup_equals_common_substrings(spark):
+    """Every byte of a span is in a verbatim repeat, and every repeat of 260 bytes is found but for its ends."""
+    rnd = random.Random(8)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    phrases = [" ".join(rnd.choice(vocab) for _ in range(14)) for _ in range(8)]  # short repeats that are everywhere, about 90 bytes
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 8)):
+            parts += [rnd.choice(phrases), " ".join(rnd.choice(vocab) for _ in range(rnd.randint(3, 40)))]
+        texts.append(" ".join(parts))
+    passages = [" ".join(rnd.choice(vocab) for _ in range(n)) for n in (30, 55, 60, 80, 120)]
+    for i in range(30):
+        texts[i] = texts[i][:70] + passages[i % 5] + texts[i][70:]
+    docs = docs_of(spark, texts)
+    spans = chunk_dedup.repeats(docs).collect()
+    shared, sure = common_stretches(texts, chunk_dedup.MIN_BYTES), common_stretches(texts, 260)
+    found = [np.zeros(len(t.encode()), dtype=int) for t in texts]
+    for r in spans:
+        assert r["n_bytes"] >= chunk_dedup.MIN_BYTES and 0 <= r["cut_bytes"] <= r["n_bytes"] and r["is_first"] == (r["cut_bytes"] == 0)
+        assert shared[r["doc_id"]][r["start"] : r["start"] + r["n_bytes"]].all()
+        found[r["doc_id"]][r["start"] : r["start"] + r["n_bytes"]] = 1
+    for own, hit in zip(sure, found, strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
+        for a, b in zip(edges[0::2], edges[1::2], strict=True):
+            assert hit[a:b].any()
+    # the same rows from other splits and with keys that repeat give the same spans
+    again = chunk_dedup.repeats(docs.repartition(7, "source", "doc_id")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, spans))
+    twice = docs.union(docs.where("doc_id < 5")).withColumn("doc_id", F.when(F.col("doc_id") != 9, F.col("doc_id")))
+    a, b = (sorted(map(tuple, chunk_dedup.repeats(x).collect()), key=str) for x in (twice, twice.repartition(5, "text")))
+    assert a == b and len(a) > len(spans)
+
+
 def test_chunk_dedup_odd_inputs(spark, empty):
     long_ = "word and other words that go on and on in one line of text " * 10
     got = chunk_dedup.repeats(docs_of(spark, [*ODD, long_, long_]).withColumn("owner", F.lit(1))).orderBy("doc_id").collect()
