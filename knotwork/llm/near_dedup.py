@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.analytics import components
@@ -45,8 +45,8 @@ STEPS_A_DECADE = 20
 SMALL_BUCKET = 12
 #: Members with which all of a larger bucket's are compared in the second step.
 LEADERS = 4
-#: Rows of a shingle that are put into one block of the prefix join.
-BLOCK = 64
+#: Rows of a shingle that are put into one block of the prefix join, and the step between the weights that it tells apart.
+BLOCK, WEIGHT_STEP = 64, 1.02
 #: Characters of text whose signatures are made at once: the arrays then stay in the processor's cache.
 STEP = 1 << 18
 
@@ -344,8 +344,10 @@ def rest_of(rest: DataFrame, texts: DataFrame, tried: DataFrame, scratch: Scratc
     class, and have enough weight from there on for their sum are verified. Common boilerplate comes last in the order, and is in no
     short prefix of texts that are less alike than SIMILARITY because of what is their own.
 
-    A shingle's rows lie in blocks of about BLOCK, one row a class and block, so a class's members don't meet each other and nothing
-    that grows with a class is gathered.
+    What is left from a shingle on says how heavy a partner can be. Texts meet by (shingle, step of the lighter one's weight, step of
+    the heavier one's), and each stands in the few steps that it has room for, so those that can't be alike mostly don't meet at all,
+    however many texts have the shingle. Rows lie in blocks of about BLOCK, one row a class and block, so a class's members don't meet
+    each other, and nothing that grows with a class is gathered.
     """
     rest = scratch.save(rest)
     if rest.isEmpty():
@@ -372,18 +374,27 @@ def rest_of(rest: DataFrame, texts: DataFrame, tried: DataFrame, scratch: Scratc
     short = F.col("after") >= F.col("weight") * share * slack
     stats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.max(short).alias("any"))
     stats = scratch.save(stats.where("low < high AND any").select("h", "n"))
+    # the heaviest partner that the weight from here on allows for
+    room = F.col("after") / (SIMILARITY / (1 + SIMILARITY) * slack) - F.col("weight")
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    grouped = rows.join(stats, "h").groupBy("h", "class", block).agg(F.collect_list(F.struct("doc_id", "weight", "after")).alias("of"))
-    grouped = scratch.save(grouped.select("h", "class", "of"))
-    lighter = grouped.select("h", "class", F.filter("of", lambda x: x["after"] >= x["weight"] * share * slack).alias("of")).where(F.size("of") > 0)
-    other = grouped.select("h", F.col("class").alias("other"), F.col("of").alias("others"))
-    met = lighter.join(other, "h").where("class <> other").select(F.explode("of").alias("x"), "others")
+    near = scratch.save(rows.join(stats, "h").select("h", "class", "doc_id", "weight", "after", room.alias("room"), block))
 
-    def like(y):
-        enough = F.least(F.col("x.after"), y["after"]) >= (F.col("x.weight") + y["weight"]) * (SIMILARITY / (1 + SIMILARITY) * slack)
-        return enough & (y["weight"] >= F.col("x.weight")) & (F.col("x.weight") >= y["weight"] * (SIMILARITY * slack))
+    def step(weight: Column) -> Column:
+        return F.floor(F.log(weight) / np.log(WEIGHT_STEP))
 
-    pairs = met.select("x", F.explode(F.filter("others", like)).alias("y")).select(*ordered("x.doc_id", "y.doc_id"))
+    def gathered(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("h", "lighter", "heavier", F.col("class").alias(f"class_{name}"), "block").agg(F.collect_list(F.struct("doc_id", "weight", "room")).alias(name)).drop("block")
+
+    own = step(F.col("weight"))
+    x = near.where("room >= weight").select("*", own.alias("lighter"), F.explode(F.sequence(own, step(F.col("room")))).alias("heavier"))
+    y = near.select("*", own.alias("heavier"), F.explode(F.sequence(step(F.col("weight") * (SIMILARITY * slack)), step(F.least("weight", "room") * (1 / slack)))).alias("lighter"))
+    met = gathered(x, "x").join(gathered(y, "y"), ["h", "lighter", "heavier"]).where("class_x <> class_y")
+
+    def fits(a, b):
+        return (a["weight"] <= b["weight"]) & (b["weight"] <= a["room"]) & (a["weight"] <= b["room"])
+
+    found = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: fits(a, b)), lambda b: F.struct(*ordered(a["doc_id"], b["doc_id"])))))
+    pairs = met.select(F.explode(found).alias("p")).select("p.a", "p.b")
     pairs = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
     return scratch.save(verified(pairs, texts, weights))
 
