@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: words that say nothing in a community's name.
 STOP_WORDS = [
-    "a", "and", "class", "classes", "core", "declarations", "for", "from", "generation", "handling", "implementation",
-    "in", "management", "module", "of", "on", "pattern", "support", "the", "to", "variants", "with",
+    "the", "a", "of", "and", "for", "to", "in", "with", "on", "from",
+    "class", "classes", "variants", "core", "implementation", "declarations",
+    "pattern", "module", "support", "management", "handling", "generation",
 ]
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: What a generated, hence uncurated, name contains.
@@ -63,6 +64,21 @@ def without_extension(path: Column | str) -> Column:
     return F.regexp_replace(column(path), r"(?<=[^/])\.[^./]+$", "")
 
 
+def with_suffix(path: Column | str, suffix: str) -> Column:
+    """The path with another extension for its own, if it has one."""
+    return F.concat(without_extension(path), F.lit(suffix))
+
+
+def thousands(n: Column | str) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(column(n), 0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share in whole per cent, a half rounded to the even neighbour; null of nothing."""
+    return F.when(whole != 0, F.concat(F.bround(part * 100.0 / whole, 0).cast("long").cast("string"), F.lit("%")))
+
+
 def normalised_id(text: Column | str, collapse: bool = False) -> Column:
     """Lower case, every character beyond ASCII letters and digits an underscore (or every run of them, with collapse)."""
     return F.lower(F.regexp_replace(column(text), "[^A-Za-z0-9]+" if collapse else "[^A-Za-z0-9]", "_"))

@@ -12,23 +12,26 @@ from ..scratch import Scratch
 
 #: Confidence, best first.
 CONFIDENCES = ["EXTRACTED", "INFERRED", "AMBIGUOUS"]
+SALTS = 16
 
 
 def undirected(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """a, b, relation, confidence: one row per unordered pair, of the best confidence, then the first relation. Ends must be in ids."""
-    if ids is not None:
-        for end in ("source", "target"):
-            edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(c) for c in CONFIDENCES]), F.col("confidence")), F.lit(0)), F.lit(9))
     rows = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.struct(rank.alias("rank"), "relation", "confidence").alias("x"))
-    return rows.groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x.relation", "x.confidence")
+    pairs = rows.groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x.relation", "x.confidence")
+    if ids is not None:  # after the reduction, so repeated edges aren't joined
+        for end in ("a", "b"):
+            pairs = pairs.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+    return pairs
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (the smallest node of its component), for every node of the links (a, b).
 
     Labels travel along the links and then jump to their label's label, so the rounds are about the logarithm of the longest path.
-    A hub's messages are reduced before they are shuffled.
+    A hub's messages are reduced before they are shuffled. Only labels that do jump are looked up, and each stands SALTS times, so the
+    nodes of a large component are dealt to as many tasks.
     """
     edges = scratch.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
     labels = scratch.save(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")))
@@ -36,8 +39,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         sent = edges.join(labels, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "component")
         low = sent.union(labels).groupBy("node").agg(F.min("component").alias("component"))
-        target = low.select(F.col("node").alias("at"), F.col("component").alias("jump"))
-        new = scratch.save(low.join(target, F.col("component") == F.col("at"), "left").select("node", F.least("component", "jump").alias("component")))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
+        target = low.where("component < node").select(F.col("node").alias("at"), F.col("component").alias("jump"), salts)
+        own = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+        new = scratch.save(low.join(target, (F.col("component") == F.col("at")) & (own == F.col("s")), "left").select("node", F.least("component", "jump").alias("component")))
         now = new.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
         if now == state:
             return new
@@ -64,6 +69,11 @@ def cohesion(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return sizes.join(inside, "community", "left").select("community", F.when(single, 1).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("intra"), F.when(single, 1).otherwise(F.expr("n * (n - 1) div 2")).cast("long").alias("possible"))
 
 
+def confident(edges: DataFrame, least: str = "INFERRED") -> DataFrame:
+    """The edges of at least this confidence: EXTRACTED is the best, then INFERRED, then AMBIGUOUS."""
+    return edges.where(F.col("confidence").isin(CONFIDENCES[: CONFIDENCES.index(least) + 1]))
+
+
 def god_nodes(degrees: DataFrame, count: int = 10) -> DataFrame:
     return degrees.orderBy(F.desc("degree"), "node").limit(count)
 

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .refs import link
+
 COMMUNITY_STRIDE = 1_000_000
+ENDS = ("source_repo", "source", "target_repo", "target")
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -58,6 +61,22 @@ def incidence(hyperedges: DataFrame) -> DataFrame:
     return hyperedges.select("id", F.explode("nodes").alias("node"))
 
 
+def merge_graph(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None, names: DataFrame | None, includes: DataFrame | None = None, index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The merged graph: nodes, edges (with the linker's across chunks), hyperedges, and stats, the linker's row of counts.
+
+    Order of work: names attach, all is qualified and united, then crossing references are added. includes, index: as for
+    ``refs.link``; without them there are no crossing references and no stats.
+    """
+    out = {"nodes": merged_nodes(nodes, names)}
+    if includes is not None and index is not None:
+        crossing, out["stats"] = link(includes, index)
+        edges = union_all([edges, crossing.select("source_repo", "source", "target_repo", "target", *[c for c in crossing.columns if c in edges.columns and c not in ENDS])])
+    out["edges"] = merged_edges(edges)
+    if hyperedges is not None:
+        out["hyperedges"] = merged_hyperedges(hyperedges)
+    return out
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, communities, repos."""
     left = nodes.agg(F.count("*").alias("nodes"), F.countDistinct("repo", "community").alias("communities"), F.countDistinct("repo").alias("repos"))

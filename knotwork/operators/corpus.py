@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, word_count
@@ -14,7 +14,7 @@ BUILD_EXTENSIONS = [*CODE_EXTENSIONS, ".cs", ".ts", ".js"]
 DATA_EXTENSIONS = [".xml", ".csv", ".xsd", ".tex", ".md", ".json", ".txt"]
 SOURCE_EXTENSIONS = [".hpp", ".h", ".hxx", ".hh", ".inl", ".ipp", ".cpp", ".cc", ".cxx", ".c"]
 IGNORED_FOLDERS = [".git", ".vs", "build", "node_modules", "__pycache__", ".github", "ThirdPartyLibs", "cmake", "Docker", ".ci"]
-IGNORED_NAMES = ["cmakelists.txt", "cmakepresets.json", "license.txt", "license", "licenseheader.txt", "changelog.txt", "news.txt", "news.md", "readme.md", "contributing.md", "contributors.txt", "version_number.txt"]
+IGNORED_NAMES = ["cmakelists.txt", "cmakepresets.json", "license.txt", "license", "licenseheader.txt", "changelog.txt", "news.txt", "news.md", "readme.md", "contributing.md", "contributors.txt", ".mcp.json", "version_number.txt", ".lsan.txt", "doxy-coverage.py"]
 SKIPPED_PARTS = ["ExpectedOutput", "Output", "expected_output", "__pycache__"]
 MAX_BYTES, GROUP_SIZE = 400_000, 20
 
@@ -37,30 +37,55 @@ def coverage(files: DataFrame, claimed: DataFrame, excluded: list[tuple[str, str
         .when(ext.isin(DATA_EXTENSIONS), "data")
         .otherwise("other")
     )
-    top = F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("."))
-    return marked.select("path", status.alias("status"), F.when(status == "excluded", reason).alias("reason"), top.alias("top"))
+    return marked.select("path", status.alias("status"), F.when(status == "excluded", reason).alias("reason"), parts[0].alias("top"))
 
 
-def unclaimed_by_top(covered: DataFrame) -> DataFrame:
-    return covered.where("status = 'code'").groupBy("top").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "top")
+def unclaimed_by_top(covered: DataFrame, status: str = "code") -> DataFrame:
+    """top, n: unclaimed files (of code, or of data) by their path's first part, which is the name of a file at the root."""
+    return covered.where(F.col("status") == status).groupBy("top").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "top")
 
 
 def excluded_by_reason(covered: DataFrame) -> DataFrame:
     return covered.where("status = 'excluded'").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
-def collect(files: DataFrame, extensions: list[str]) -> DataFrame:
-    """Files for semantic extraction: the extensions, no skipped path part, at most MAX_BYTES. files: path, length."""
-    skip = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED_PARTS]))
-    return files.where(extension("path").isin(extensions) & ~skip & (F.col("length") <= MAX_BYTES))
+def glob_pattern(target: str) -> str:
+    """A regular expression for a path pattern: * and ? stay within a part, ** spans parts."""
+    out, i = "^", 0
+    special = set(".^$+(){}|\\")
+    while i < len(target):
+        if target.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif target.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif target[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif target[i] == "?":
+            out, i = out + "[^/]", i + 1
+        else:
+            out, i = out + ("\\" if target[i] in special else "") + target[i], i + 1
+    return out + "$"
+
+
+def collect(files: DataFrame, root: str, patterns: list[str]) -> DataFrame:
+    """Files for semantic extraction, in order: below root, of one of the patterns there, no skipped part there, at most MAX_BYTES.
+
+    files: path, length.
+    """
+    base = root.strip("/")
+    base = "" if base in ("", ".") else base + "/"
+    rest = F.substr(F.col("path"), F.lit(len(base) + 1))
+    fits = F.lit(False)
+    for p in patterns:
+        fits |= rest.rlike(glob_pattern(p))
+    skip = F.arrays_overlap(F.split(rest, "/"), F.array(*[F.lit(x) for x in SKIPPED_PARTS]))
+    return files.where(F.startswith("path", F.lit(base)) & fits & ~skip & (F.col("length") <= MAX_BYTES)).orderBy("path")
 
 
 def manifest(files: DataFrame, size: int = GROUP_SIZE) -> DataFrame:
     """chunk, total, output, files: groups of ``size`` in (folder, file) order; a group may span folders."""
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("."))
-    inside = Window.partitionBy("folder").orderBy("path")
-    ranked = files.select("path", folder.alias("folder")).withColumn("at", F.row_number().over(inside).cast("long"))
-    groups = packed(ranked, "folder", "at", size)
+    groups = packed(files.select("path", folder.alias("folder")), "folder", "path", size)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("folder", "path"))), lambda x: x["path"])
     out = groups.groupBy("chunk").agg(listed.alias("files"))
     total = out.agg(F.count("*").alias("total"))
@@ -87,9 +112,14 @@ def merge_fragments(fragments: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """kind, n_files, words: files by kind. files: path, text."""
+    """path, kind, words: what each file is. files: path, text."""
     kind = F.when(extension("path").isin(BUILD_EXTENSIONS), "code").when(extension("path").isin(DATA_EXTENSIONS), "data").otherwise("other")
-    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_files"), F.sum(word_count("text")).alias("words"))
+    return files.select("path", kind.alias("kind"), word_count("text").alias("words"))
+
+
+def merge_detections(found: DataFrame) -> DataFrame:
+    """kind, n_files, words of the union of detections (path, kind, words). The files of a kind are the rows of that kind."""
+    return found.groupBy("kind").agg(F.count("*").alias("n_files"), F.sum("words").alias("words"))
 
 
 def changed(current: DataFrame, snapshot: DataFrame, key: str, text: str) -> DataFrame:

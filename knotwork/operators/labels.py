@@ -47,11 +47,16 @@ def attach(claimed: DataFrame) -> DataFrame:
     return top.groupBy("community").agg(joined.alias("name"))
 
 
-def attach_stats(claimed: DataFrame) -> DataFrame:
-    """One row: matched communities, placed and dropped labels, communities with several claims, labels available."""
+def attach_stats(claimed: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: mode, threshold, matched communities, placed and dropped labels, communities with several claims, labels available.
+
+    entries: the rows of the anchor table, of which those without anchors count as available too.
+    """
     per = claimed.where("placed").groupBy("community").agg(F.count("*").alias("claims"))
     merged = per.agg(F.count("*").alias("matched"), F.count_if(F.col("claims") > 1).alias("merged_communities"))
-    return claimed.agg(F.count_if("placed").alias("labels_placed"), F.count_if(~F.col("placed")).alias("labels_dropped"), F.count("*").alias("available")).join(F.broadcast(merged), F.lit(True))
+    counts = claimed.agg(F.count_if("placed").alias("labels_placed"), F.count_if(~F.col("placed")).alias("labels_dropped"))
+    all_ = entries.agg(F.count("*").alias("available"))
+    return counts.join(F.broadcast(merged), F.lit(True)).join(F.broadcast(all_), F.lit(True)).withColumns({"mode": F.lit("anchor"), "threshold": F.lit(RECALL[0] / RECALL[1])})
 
 
 def attach_by_id(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,8 +91,22 @@ def missing_names(wanted: DataFrame, attached: DataFrame, built: DataFrame) -> D
     return split[0].join(built.select("repo").distinct(), "repo", "left_semi").join(split[1], ["repo", "name"], "left_anti")
 
 
-def retention(anchored: DataFrame, attached: DataFrame) -> DataFrame:
-    """One row: distinct labels attached, labels anchored, and whether that is at least half (or none are anchored)."""
-    want = anchored.select("label").distinct()
-    have = attached.select(F.explode(names_of("name")).alias("label")).distinct()
-    return want.join(have.withColumn("on", F.lit(1)), "label", "left").agg(F.count("on").alias("attached"), F.count("*").alias("anchored")).withColumn("ok", 2 * F.col("attached") >= F.col("anchored"))
+def retention(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row: distinct curated names in the graph (attached), labels ever anchored, and whether the first is at least half.
+
+    Labels are distinct in their own anchor file, that is, by repo; the files' counts are summed. anchors: repo, label.
+    """
+    curated = F.coalesce(is_curated("community_name"), F.lit(False))
+    have = nodes.agg(F.countDistinct(F.when(curated, F.col("community_name"))).alias("attached"))
+    want = anchors.select("repo", "label").distinct().agg(F.count("*").alias("anchored"))
+    return have.join(F.broadcast(want), F.lit(True)).withColumn("ok", 2 * F.col("attached") >= F.col("anchored"))
+
+
+def anchor_entries(preserved: DataFrame) -> DataFrame:
+    """entry, label, anchors (array): the anchor table in the order to write: kept entries as they were, then new ones by community.
+
+    preserved: label, kind, anchors (joined), and entry (of kept ones) or community (of new ones).
+    """
+    order = Window.orderBy(F.col("kind") != "kept", F.coalesce("entry", "community"), "label")
+    rows = preserved.withColumn("entry", (F.row_number().over(order) - 1).cast("int"))
+    return rows.select("entry", "label", F.filter(F.split("anchors", ","), lambda x: x != "").alias("anchors"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_curated, name_signature
+from ..functions.text import extension, is_curated, name_signature, percent, thousands
+from . import labels
+from .corpus import SOURCE_EXTENSIONS
 
 ENDS = (("source_repo", "source"), ("target_repo", "target"))
 #: Fixed values of the extraction rules.
@@ -75,8 +77,16 @@ def repeatable(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def spec_rules(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame) -> DataFrame:
-    """rule, broken: how many rows break each rule of extraction."""
+    """rule, broken: how many rows break each rule of extraction.
+
+    A call stays inside one language: its ends' files have extensions of one family. nodes: id, file_type, source_file.
+    """
     score, kind = F.col("confidence_score"), F.col("confidence")
+    ext = extension("source_file")
+    family = F.when(ext.isin(SOURCE_EXTENSIONS), "c").when(ext != "", ext)
+    calls = edges.where("relation = 'calls'")
+    for side, end in (("s", "source"), ("t", "target")):
+        calls = calls.join(nodes.select(F.col("id").alias(end), family.alias(f"{side}_family")), end)
     counts = [
         nodes.agg(F.count_if(~F.col("file_type").isin(FILE_TYPES)).alias("file_type"), F.count_if(~F.col("id").rlike("^[a-z0-9_]+$")).alias("id_characters")),
         edges.agg(
@@ -84,6 +94,7 @@ def spec_rules(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame) -> Dat
             F.count_if((kind == "INFERRED") & ~score.isin(INFERRED_SCORES)).alias("inferred_score"),
             F.count_if((kind == "AMBIGUOUS") & ~score.between(0.1, 0.3)).alias("ambiguous_score"),
         ),
+        calls.agg(F.count_if(F.col("s_family") != F.col("t_family")).alias("call_across_languages")),
         hyperedges.agg(F.count_if(F.size("nodes") < 3).alias("hyperedge_arity")),
         hyperedges.groupBy("chunk").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 3).alias("hyperedges_a_chunk")),
     ]
@@ -94,29 +105,78 @@ def spec_rules(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame) -> Dat
     return out
 
 
-def verify(nodes: DataFrame, edges: DataFrame, hyper: DataFrame | None = None, retained: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
-    """check, ok, severity, detail: the invariants of a merged graph. nodes: repo, local_id, community, community_name."""
-    def one(rows: DataFrame, name: str, ok, detail, severity: str = "error") -> DataFrame:
-        return rows.select(F.lit(name).alias("check"), ok.alias("ok"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+def ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: edges, those of which an end is no node (dangling), and those whose ends' nodes are in different repos (crossing).
+
+    One pass: each end is joined with its node once, for both counts.
+    """
+    for side, (repo, local) in zip("st", ENDS, strict=True):
+        owner = nodes.select(F.col("repo").alias(repo), F.col("local_id").alias(local), F.col("repo").alias(f"{side}_owner"))
+        edges = edges.join(owner, [repo, local], "left")
+    lost = F.col("s_owner").isNull() | F.col("t_owner").isNull()
+    return edges.agg(F.count("*").alias("edges"), F.count_if(lost).alias("dangling"), F.count_if(~F.col("s_owner").eqNullSafe(F.col("t_owner"))).alias("crossing"))
+
+
+#: Names of the checks for repos that must be there, and how their nodes are called.
+REQUIRED = {"docs present": "doc nodes", "xsd present": "xsd nodes"}
 
-    n = F.count("*").alias("n")
+
+def verify(nodes: DataFrame, edges: DataFrame, anchors: DataFrame | None = None, wanted: DataFrame | None = None, stats: DataFrame | None = None, required: dict[str, str] | None = None) -> DataFrame:
+    """check, ok, severity, detail: the invariants of a merged graph.
+
+    nodes: repo, local_id, community, community_key, community_name. anchors: repo, label of every name ever anchored. wanted: repo,
+    name of the label files. stats: the linker's row of counts. required: the repo for each of the checks in REQUIRED.
+    """
+
+    def empty(columns: str) -> DataFrame:
+        return nodes.sparkSession.range(0).selectExpr(*[f"cast(null as {t}) AS {c}" for c, t in (x.split() for x in columns.split(", "))])
+
+    def one(rows: DataFrame, name: str, ok, detail, severity: str = "error") -> DataFrame:
+        return rows.select(F.lit(name).alias("check"), ok.alias("ok"), F.lit(severity).alias("severity"), detail.alias("detail"))
+
+    anchors = empty("repo string, label string") if anchors is None else anchors
+    wanted = empty("repo string, name string") if wanted is None else wanted
+    curated = nodes.where(is_curated("community_name")).select("repo", F.col("community_name").alias("name"))
+    ended = ends(edges, nodes)
+    # one row a community, of which few span repos, and one a repo: the chunk map is small
+    spans = nodes.where("community IS NOT NULL").groupBy("community").agg(F.min("community_key").alias("key"), F.min("repo").alias("low"), F.max("repo").alias("high")).where("low < high")
+    five = spans.orderBy("community").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("community", "key"))), lambda x: x["key"]), ", ").alias("five"))
+    spans = spans.agg(F.count("*").alias("n")).join(F.broadcast(five), F.lit(True))
+    per_repo = nodes.groupBy("repo").agg(F.count("*").alias("n"), F.count_if(F.coalesce(is_curated("community_name"), F.lit(False))).alias("named"))
+    repos = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "repo")))
+    listed = F.array_join(F.transform(repos, lambda x: F.concat(x["repo"], F.lit("="), thousands(-x["less"]))), ", ")
+    kept = labels.retention(nodes, anchors)
+    gap = labels.missing_names(wanted, curated.distinct(), nodes)
+    gaps = gap.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count("*").alias("n"))
+    gaps = gaps.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("repo", "names"))), lambda x: F.concat(x["repo"], F.lit(": "), x["names"])), "; ").alias("names"))
+    named = per_repo.agg(F.sum("named").alias("covering"), listed.alias("repos")).join(F.broadcast(kept), F.lit(True))
+    recall = (nodes.sparkSession.range(1).selectExpr("0L AS total_includes", "0L AS resolved_includes", "0L AS unresolved_includes", "0L AS ignored")) if stats is None else stats
+    some = F.col("total_includes") > 0
+    n, names = F.col("n"), F.col("attached")
     checks = [
-        one(dangling_edges(edges, nodes).agg(n), "no dangling edges", F.col("n") == 0, F.col("n")),
-        one(cross_recount(edges, nodes), "cross-module edges", F.col("n_cross") > 0, F.col("n_cross")),
-        one(community_spans(nodes).agg(n), "communities within a repo", F.col("n") == 0, F.col("n")),
-        one(named_coverage(nodes), "curated names attached", F.col("distinct_names") > 0, F.col("distinct_names")),
-        one(nodes.agg(F.countDistinct("repo").alias("n")), "chunks merged", F.col("n") > 0, F.col("n")),
+        one(ended, "no dangling edges", F.col("dangling") == 0, F.concat(thousands("dangling"), F.lit(" dangling"))),
+        one(ended, "cross-module edges present", F.col("crossing") > 0, F.concat(thousands("crossing"), F.lit(" cross-module edges"))),
+        one(spans, "communities do not span chunks", n == 0, F.concat(n.cast("string"), F.lit(" communities span >1 chunk"), F.when(n > 0, F.concat(F.lit(": "), "five")).otherwise(""))),
+        one(named, "curated labels attached", names > 0, F.concat(names.cast("string"), F.lit(" named communities covering "), thousands(F.coalesce("covering", F.lit(0))), F.lit(" nodes"))),
+        one(kept, "curated-name retention rate", F.col("ok"), F.concat(names.cast("string"), F.lit("/"), F.col("anchored").cast("string"), F.lit(" ever-anchored names attached"))),
+        one(gaps, "all curated names attached", n == 0, F.when(n == 0, "every curated name reached the merged graph").otherwise(F.concat(n.cast("string"), F.lit(" name(s) did not attach: "), "names")), "warn"),
+        one(named, "all built chunks merged", F.col("repos") != "", F.col("repos")),
+        one(recall, "include recall computed", some, F.when(some, F.concat(thousands("resolved_includes"), F.lit("/"), thousands("total_includes"), F.lit(" directives resolved ("), percent(F.col("resolved_includes"), F.col("total_includes")), F.lit(")"))).otherwise("no link_stats in merged graph - re-run `merge` to populate")),
     ]
-    if retained is not None:
-        checks.append(one(retained, "names retained", F.col("ok"), F.col("attached")))
-    if missing is not None:
-        checks.append(one(missing.agg(n), "every curated name attached", F.col("n") == 0, F.col("n"), "warn"))
+    for name, repo in (required or {}).items():
+        checks.append(one(per_repo.agg(F.coalesce(F.sum(F.when(F.col("repo") == repo, n)), F.lit(0)).alias("n")), name, n > 0, F.concat(n.cast("string"), F.lit(f" {REQUIRED[name]}"))))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in any store; ``verify`` has nothing to say where there isn't."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(found)
+
+
 def exit_code(checks: DataFrame) -> int:
     """1 if any check that isn't a warning failed."""
     return int(not checks.where("NOT ok AND severity <> 'warn'").isEmpty())

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, name_tokens
+from ..functions.text import first_filled, last_segment, name_tokens
 
 STALE = (1, 4)
+#: Fixed value: the note on a name whose community isn't in the graph.
+ABSENT = "community id not present in this build"
 
 
 def token_bags(docs: DataFrame, group: str, text: str) -> DataFrame:
@@ -42,21 +44,42 @@ def propose(names: DataFrame, bags: DataFrame, group: str) -> DataFrame:
 
 
 def audit(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """community, name, matched, stale: whether a name shares a token, even inside a word, with its community's paths and labels.
+    """community, name, size, matched_tokens, matched, note, stale: whether a name shares a token with its community's paths and labels.
 
-    A community that doesn't exist is a mismatch; more than a quarter of mismatches means that the numbers are stale, not the names.
-    The tokens of each name are matched against each node of its community, so no community's text is gathered in one place.
+    A token matches even inside a word. matched_tokens keeps the name's order. A community that doesn't exist is a mismatch, with a
+    note; more than a quarter of mismatches means that the numbers are stale, not the names. The tokens of each name are matched
+    against each distinct text of its community, so no community's text is gathered in one place. Names and communities may repeat.
     """
-    asked = labels.select("community", "name", name_tokens("name").alias("tokens"))
+    asked = labels.select("community", "name", F.posexplode_outer(name_tokens("name")).alias("at", "token"))
     text = F.lower(F.concat_ws(" ", first_filled("repo_path", "source_file"), F.coalesce("label", F.lit(""))))
-    seen = nodes.where("community IS NOT NULL").select("community", text.alias("text")).distinct()
-    hit = F.exists("tokens", lambda t: F.contains(F.col("text"), t))
-    found = asked.join(seen, "community").where(hit).select("community", "name").distinct().withColumn("hit", F.lit(True))
-    out = asked.join(found, ["community", "name"], "left").select("community", "name", F.coalesce("hit", F.lit(False)).alias("matched"))
+    members = nodes.where("community IS NOT NULL")
+    seen = members.join(labels.select("community").distinct(), "community", "left_semi").select("community", text.alias("text")).distinct()
+    # a pair of community and token is looked for once, however many names have it
+    pairs = asked.where("token IS NOT NULL").select("community", "token").distinct()
+    hits = pairs.join(seen, "community").where(F.contains("text", F.col("token"))).select("community", "token").distinct().withColumn("hit", F.lit(True))
+    sizes = members.groupBy("community").agg(F.count("*").alias("size"))
+    found = asked.join(hits, ["community", "token"], "left").groupBy("community", "name").agg(F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("at", "token")))).alias("m"))
+    out = found.join(sizes, "community", "left").select(
+        "community",
+        "name",
+        F.coalesce("size", F.lit(0)).cast("long").alias("size"),
+        F.array_join(F.array_distinct(F.transform("m", lambda x: x["token"])), " ").alias("matched_tokens"),
+        (F.size("m") > 0).alias("matched"),
+        F.when(F.col("size").isNull(), F.lit(ABSENT)).alias("note"),
+    )
     totals = out.agg(F.coalesce(STALE[1] * F.count_if(~F.col("matched")) > STALE[0] * F.count("*"), F.lit(False)).alias("stale"))
     return out.join(F.broadcast(totals), F.lit(True))
 
 
+def samples(nodes: DataFrame, proposed: DataFrame, count: int = 5) -> DataFrame:
+    """proposed, members: the last parts of the first members of each proposed community. nodes: community, node, position."""
+    order = Window.partitionBy("community").orderBy("position", "node")
+    wanted = proposed.where("proposed IS NOT NULL").select(F.col("proposed").alias("community")).distinct()
+    top = nodes.join(wanted, "community", "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= count)
+    listed = F.array_sort(F.collect_list(F.struct("k", last_segment("node").alias("part"))))
+    return top.groupBy(F.col("community").alias("proposed")).agg(F.array_join(F.transform(listed, lambda x: x["part"]), ",").alias("members"))
+
+
 def first_files(nodes: DataFrame, count: int = 4) -> DataFrame:
     """community, files: its first files by name, joined. Ranked after reduction to distinct files."""
     files = nodes.where("community IS NOT NULL").select("community", first_filled("repo_path", "source_file").alias("file")).where("file <> ''").distinct()

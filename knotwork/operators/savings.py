@@ -17,17 +17,20 @@ def answer_sources(answers: DataFrame) -> DataFrame:
 
 
 def token_ratio(answers: DataFrame, files: DataFrame) -> DataFrame:
-    """qid, graph_tokens, source_tokens, ratio (one decimal; null without graph tokens). files: source, tokens, one row a file."""
-    per_source = files.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    read = answer_sources(answers).join(per_source, "source").groupBy("qid").agg(F.sum("tokens").alias("source_tokens"))
+    """qid, graph_tokens, source_tokens, source_files, unresolved_files, ratio (one decimal; null without graph tokens).
+
+    files: source, tokens, one row a file; tokens are null for a file that can't be read, which is then unresolved.
+    """
+    per_source = files.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("tokens").alias("present"), F.count_if(F.col("tokens").isNull()).alias("absent"))
+    read = answer_sources(answers).join(per_source, "source").groupBy("qid").agg(F.sum("tokens").alias("source_tokens"), F.sum("present").alias("source_files"), F.sum("absent").alias("unresolved_files"))
     cost = answers.select("qid", token_estimate("answer").alias("graph_tokens"))
-    out = cost.join(read, "qid", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
+    out = cost.join(read, "qid", "left").fillna(0, ["source_tokens", "source_files", "unresolved_files"])
     return out.withColumn("ratio", F.when(F.col("graph_tokens") > 0, F.round(F.col("source_tokens") / F.col("graph_tokens"), 1)))
 
 
 def totals(ratios: DataFrame) -> DataFrame:
-    """One row: sums, overall ratio, median of the ratios."""
-    sums = ratios.agg(F.sum("graph_tokens").alias("graph_tokens"), F.sum("source_tokens").alias("source_tokens"), F.expr("percentile(ratio, 0.5)").alias("median_ratio"))
+    """One row: questions, sums, overall ratio, median of the ratios, both to one decimal."""
+    sums = ratios.agg(F.count("*").alias("questions"), F.sum("graph_tokens").alias("graph_tokens"), F.sum("source_tokens").alias("source_tokens"), F.round(F.expr("percentile(ratio, 0.5)"), 1).alias("median_ratio"))
     return sums.withColumn("ratio", F.when(F.col("graph_tokens") > 0, F.round(F.col("source_tokens") / F.col("graph_tokens"), 1)))
 
 

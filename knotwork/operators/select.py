@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def select_chunks(chunks: DataFrame, only: list[str] | None = None, skip_added: bool = False) -> DataFrame:
     """The named chunks, or all; skip_added keeps labelled and semantic ones. Unknown names are an error."""
@@ -36,17 +38,17 @@ def unclaimed(files: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
     return files.join(claimed.select(key).distinct(), key, "left_anti")
 
 
-def packed(files: DataFrame, folder: str, name: str, size: int = 20, block: int = 10_000) -> DataFrame:
+def packed(files: DataFrame, folder: str, name: str, size: int = 20) -> DataFrame:
     """Adds ``chunk``, from 1: groups of ``size`` in (folder, name) order; a group may span folders.
 
-    ``name`` is a whole number. Rows are ranked inside (folder, block of names) only; where a block starts is a running sum over the
-    blocks' counts, so the one task that orders everything sees a row per block.
+    Rows are dealt into ranges of that order and written, so a row's place in its range is fixed; where a range starts is a running
+    sum over the ranges' counts, one row a partition.
     """
-    part = F.floor(F.col(name) / block).cast("long")
-    rows = files.withColumn("__block", part)
-    counts = rows.groupBy(folder, "__block").agg(F.count("*").alias("n"))
-    before = Window.orderBy(folder, "__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(folder, "__block").orderBy(name)
-    ranked = rows.withColumn("at", F.row_number().over(inside)).join(starts, [folder, "__block"])
-    return ranked.withColumn("chunk", (F.floor((F.col("start") + F.col("at") - 1) / size) + 1).cast("long")).drop("__block", "start", "at")
+    scratch = Scratch(files.sparkSession, "packed")
+    dealt = files.repartitionByRange(folder, name).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("__part").orderBy(folder, name)
+    ranked = scratch.save(dealt.withColumn("__at", F.row_number().over(inside)))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranked.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__at") - 1
+    return ranked.join(F.broadcast(starts), "__part").withColumn("chunk", (F.floor(place / size) + 1).cast("long")).drop("__part", "__start", "__at")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.refs import hrefs, normalised
+from ..operators import traversal
+from ..scratch import Scratch
 
 #: Fixed rows that the quality queries add to the edges: a dangling edge, a self-loop twice, a reversed pair.
 ODD_EDGES = [("orders", "o-1", "customer", "c-1"), ("part", "p0", "part", "p0"), ("part", "p0", "part", "p0"), ("region", "r0", "nation", "n0"), ("nation", "n0", "region", "r0")]
@@ -40,7 +44,35 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the graph, written on first use and read from then on: a session's tables of a folder don't change."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        _stored[key] = Scratch(spark, f"stored-{name}").save(build())
+    return _stored[key]
+
+
+def store(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the graph: table, rows."""
+    out = None
+    for name, table in (("edges", edges), ("co_edges", co_edges), ("adjacency", adjacency)):
+        one = table(spark, d).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "edges", lambda: _edges(spark, d))
+
+
+def adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "adjacency", lambda: traversal.adjacency(edges(spark, d)))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     def of(rows: DataFrame, a: str, a_key: str, b: str, b_key: str, relation: str, confidence: str) -> DataFrame:
         return rows.selectExpr(f"'{a}' AS source_repo", f"concat('{a[0]}', {a_key}) AS source", f"'{b}' AS target_repo", f"concat('{b[0]}', {b_key}) AS target", f"'{relation}' AS relation", f"'{confidence}' AS confidence")
 
@@ -55,15 +87,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def co_edges(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
+def co_edges(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "co_edges", lambda: _co_edges(spark, d))
+
+
+def _co_edges(spark: SparkSession, d: str) -> DataFrame:
     """a, b, w: parts that share orders, and how many. An order has a handful of lines, so the join by order stays linear.
 
     The lines are dealt by order once; distinct and both sides of the join use that.
     """
     line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     other = line.select("l_orderkey", F.col("l_partkey").alias("b"))
-    pairs = line.join(other, "l_orderkey").where("l_partkey < b").groupBy(F.col("l_partkey").alias("a"), "b").agg(F.count("*").alias("w"))
-    return pairs.where(F.col("w") >= least)
+    return line.join(other, "l_orderkey").where("l_partkey < b").groupBy(F.col("l_partkey").alias("a"), "b").agg(F.count("*").alias("w"))
 
 
 def odd_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +131,43 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
     return pages.withColumn("ref", normalised("href"))
 
 
+#: Documents as source files of seven chunks: what includes are written as, and the paths that they stand for. One chunk has no root.
+INCLUDE_ROOTS = [(f"lib{k}/", f"m{k}/") for k in range(6)]
+SOURCE_FILES = "concat('m', doc_id % 7, '/f', doc_id % 3, '/d', doc_id, '.hpp')"
+
+
+def _target(number: str, name: str = "lib") -> str:
+    return f"concat('{name}', ({number}) % 7, '/f', ({number}) % 3, '/d', {number}, '.hpp')"
+
+
+#: The lines of a file: one to the next file, one within the chunk, one to twice the number, which half of them lack, and odd ones.
+INCLUDE_TEXT = "concat_ws(chr(10), concat('#include <', " + _target("doc_id + 1") + ", '>'), concat('  #  include \"../', " + _target("doc_id + 7") + ", '\"'), concat('#include <', " + _target("doc_id * 2") + ", '>'), '// #include <lib0/x.hpp>', '#include <vector>', '#include \"util.hpp\"', concat('#include <far', doc_id % 13, '/x.hpp>'))"
+FILE = f"doc_id, concat('m', doc_id % 7) AS repo, 10 + doc_id % 7 AS ord, concat('d', doc_id) AS local_id, {SOURCE_FILES} AS path, {INCLUDE_TEXT} AS text, n_chars"
+
+
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, repo, ord, local_id, path, text, n_chars of documents as source files, with include lines for a text."""
+    return read(spark, d, "documents").selectExpr(*FILE_COLUMNS)
+
+
+FILE_COLUMNS = [
+    "doc_id",
+    "concat('m', cast(doc_id % 7 as string)) AS repo",
+    "cast(10 + doc_id % 7 as int) AS ord",
+    "concat('d', cast(doc_id as string)) AS local_id",
+    f"{SOURCE_FILES} AS path",
+    INCLUDE_TEXT + " AS text",
+    "n_chars",
+]
+FILES = f"g_files AS (SELECT {FILE} FROM documents)"
+#: All include directives: src, opening, name, then ref (null without a root) and bucket.
+INCLUDES = FILES + r""", g_lines AS (SELECT path AS src, unnest(regexp_extract_all(text, '(?m)^\s*#\s*include\s*([<"])([^>"]+)[>"]', 1)) AS opening, unnest(regexp_extract_all(text, '(?m)^\s*#\s*include\s*([<"])([^>"]+)[>"]', 2)) AS raw FROM g_files),
+g_names AS (SELECT src, opening, regexp_replace(replace(raw, '', '/'), '^[./]+', '') AS name FROM g_lines),
+g_inc AS (SELECT src, ref, CASE WHEN ref IS NULL THEN CASE WHEN strpos(name, '/') > 0 THEN split_part(name, '/', 1) || '/' WHEN opening = '<' THEN '(system, no subdir)' ELSE '(same-directory relative)' END END AS bucket
+  FROM (SELECT *, CASE """ + " ".join(f"WHEN starts_with(name, '{p}') THEN '{r}' || substr(name, {len(p) + 1})" for p, r in INCLUDE_ROOTS) + """ END AS ref FROM g_names)),
+g_pairs AS (SELECT DISTINCT src, ref FROM g_inc WHERE ref IS NOT NULL),
+g_found AS (SELECT p.src, p.ref, s.repo AS source_repo, s.local_id AS source, t.repo AS target_repo, t.local_id AS target FROM g_pairs p JOIN g_files s ON s.path = p.src LEFT JOIN g_files t ON t.path = p.ref)"""
+
 PREFIX = f"""
 WITH RECURSIVE g_nodes AS (
   SELECT 'region' AS repo, 0 AS ord, 'r' || r_regionkey AS local_id, r_name AS label, CAST(NULL AS VARCHAR) AS source_file, CAST(NULL AS BIGINT) AS community FROM region
@@ -113,7 +185,7 @@ g_edges AS (
   UNION ALL SELECT DISTINCT 'part', 'p' || l_partkey, 'supplier', 's' || l_suppkey, 'supplied_by', 'AMBIGUOUS' FROM lineitem),
 g_line AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 g_co AS (SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS w FROM g_line x JOIN g_line y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2),
-g_both AS (SELECT a AS u, b AS v, w FROM g_co WHERE w >= 2 UNION ALL SELECT b, a, w FROM g_co WHERE w >= 2),
+g_both AS (SELECT a AS u, b AS v, w FROM g_co UNION ALL SELECT b, a, w FROM g_co),
 g_odd AS (SELECT source_repo, source, target_repo, target FROM g_edges UNION ALL (VALUES {", ".join(str(r) for r in ODD_EDGES)})),
 g_parts AS (SELECT p_partkey AS node, CAST(substr(p_brand, 7) AS BIGINT) AS community, p_name AS label, 'type/' || p_type || '/' || p_brand AS source_file,
   CASE WHEN p_partkey % 4 = 0 THEN (CAST(substr(p_brand, 7) AS BIGINT) + 1) % 25 ELSE CAST(substr(p_brand, 7) AS BIGINT) END AS reclustered,

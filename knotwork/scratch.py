@@ -14,10 +14,12 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or a temporary one where none is set (tests)."""
-    root = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    """The session's checkpoint folder; where none is set, a temporary one in local mode, and an error on a cluster."""
+    root = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="knotwork-"))
     return _own_root[0]
@@ -40,7 +42,22 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _path(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def write_text(self, name: str, text: str) -> str:
+        """Writes one small file below the scratch folder, whatever store that is in, and returns its path."""
+        full = f"{self.base}/{name}"
+        path, store = self._path(full)
+        out = store.create(path, True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        return full
+
     def drop(self, saved: DataFrame) -> None:
         """Deletes a saved table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, store = self._path(saved._scratch_path)
+        store.delete(path, True)

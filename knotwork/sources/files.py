@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.refs import includes, normalised, rooted, unmatched_bucket
 from ..functions.text import extension
-from ..operators.corpus import SOURCE_EXTENSIONS
+from ..operators.corpus import SOURCE_EXTENSIONS, glob_pattern
 
 
 def decoded(content: Column) -> Column:
@@ -37,24 +37,6 @@ def scan_texts(spark: SparkSession, root: str, extensions: list[str] | None = No
     return rows.select("path", decoded(F.col("content")).alias("text"))
 
 
-def glob_pattern(target: str) -> str:
-    """A regular expression for a path pattern: * and ? stay within a part, ** spans parts."""
-    out, i = "^", 0
-    special = set(".^$+(){}|\\")
-    while i < len(target):
-        if target.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif target.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif target[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif target[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + ("\\" if target[i] in special else "") + target[i], i + 1
-    return out + "$"
-
-
 def resolve_targets(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """name, path: the files of each chunk. A target is '.', a pattern (with * ? [) or a file or folder below the chunk's root.
 
