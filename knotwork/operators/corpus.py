@@ -124,5 +124,5 @@ def merge_detections(found: DataFrame) -> DataFrame:
 
 def changed(current: DataFrame, snapshot: DataFrame, key: str, text: str) -> DataFrame:
     """key, fingerprint of the rows that the snapshot (key, fingerprint) lacks or has otherwise."""
-    now = current.select(key, F.md5(text).alias("fingerprint"))
+    now = current.select(key, F.coalesce(F.md5(text), F.lit("null")).alias("fingerprint"))
     return now.join(snapshot, [key, "fingerprint"], "left_anti")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import sinks
 from ..functions import refs as R
 from ..functions import text as X
-from ..operators import analytics, assemble, corpus, labels, quality, refs, relabel, savings, select, traversal
+from ..operators import analytics, assemble, corpus, extract, identity, labels, quality, refs, relabel, savings, select, traversal
 from ..scratch import Scratch
-from ..sources import files
+from ..sources import documents, files
+from ..streaming.ingest import ingest
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +50,12 @@ def estimate_sql(text: str) -> str:
     return rf"CAST(len(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS BIGINT)"
 
 
+@query("SELECT 'edges' AS name, count(*) AS n FROM g_edges UNION ALL SELECT 'co_edges', count(*) FROM g_co UNION ALL SELECT 'adjacency', count(*) FROM (SELECT DISTINCT source, target, relation, 'out' FROM g_edges UNION SELECT DISTINCT target, source, relation, 'in' FROM g_edges)")
+def graph_store(s, d):
+    """What lookups read: the edges, the parts' common orders, and the edges by either end, written once a session."""
+    return V.store(s, d)
+
+
 # ---- scans and projections ------------------------------------------------------------------------------------------------------
 
 
@@ -795,3 +805,294 @@ def incremental_changed(s, d):
     docs = V.read(s, d, "documents")
     snapshot = docs.where("doc_id % 2 = 0").select("doc_id", F.md5("text").alias("fingerprint"))
     return corpus.changed(docs, snapshot, "doc_id", "text")
+
+
+# ---- corpus files ---------------------------------------------------------------------------------------------------------------
+
+
+#: Documents as files of a checkout: folders, names and extensions of all the kinds that the rules tell apart.
+EXTENSIONS = [".hpp", ".CPP", ".py", ".xml", ".md", ".bin", ""]
+FOLDERS = ["src", "build", "data/Output", "guides", "data"]
+FILE_NAMES = rf"""names AS (SELECT doc_id, n_chars, text, CASE WHEN doc_id % 37 = 0 THEN 'README.md' ELSE 'd' || doc_id || {"".join(f"CASE WHEN doc_id % 7 = {i} THEN '{e}' ELSE '' END || " for i, e in enumerate(EXTENSIONS))}'' END AS name, CASE doc_id % 6 {" ".join(f"WHEN {i} THEN '{f}/'" for i, f in enumerate(FOLDERS))} ELSE '' END AS folder FROM documents),
+files AS (SELECT doc_id, n_chars, text, folder || CASE WHEN folder = 'src/' THEN 's' || doc_id % 4 || '/' ELSE '' END || name AS path FROM names),
+parts AS (SELECT *, split_part(path, '/', 1) AS top, lower(regexp_extract(path, '[^/]+(\.[^./]+)$', 1)) AS ext, lower(regexp_extract(path, '[^/]*$')) AS base FROM files)"""
+EXCLUDED = [("guides", "guides are no code"), ("d5.bin", "one file")]
+
+
+def checkout(s, d):
+    """doc_id, n_chars, text, path."""
+    n = F.col("doc_id")
+    number = n.cast("string")
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (n % 7 + 1).cast("int"))
+    name = F.when(n % 37 == 0, "README.md").otherwise(F.concat(F.lit("d"), number, ext))
+    folder = F.element_at(F.array(*[F.lit(f + "/") for f in FOLDERS], F.lit("")), (n % 6 + 1).cast("int"))
+    inner = F.when(folder == "src/", F.concat(F.lit("s"), (n % 4).cast("string"), F.lit("/"))).otherwise("")
+    return V.read(s, d, "documents").select("doc_id", "n_chars", "text", F.concat(folder, inner, name).alias("path"))
+
+
+def covered(s, d):
+    rows = checkout(s, d)
+    return corpus.coverage(rows.select("path").distinct(), rows.where("doc_id % 4 = 1").select("path"), EXCLUDED)
+
+
+COVERED = f"""claims AS (SELECT DISTINCT path FROM files WHERE doc_id % 4 = 1),
+covered AS (SELECT path, top, CASE WHEN len(list_intersect(string_split(path, '/'), [{', '.join(f"'{x}'" for x in corpus.IGNORED_FOLDERS)}])) > 0 THEN 'ignored' WHEN path IN (SELECT path FROM claims) THEN 'claimed'
+  WHEN base IN ({', '.join(f"'{x}'" for x in corpus.IGNORED_NAMES)}) THEN 'ignored' WHEN path = 'guides' OR starts_with(path, 'guides/') THEN 'excluded' WHEN path = 'd5.bin' OR starts_with(path, 'd5.bin/') THEN 'excluded'
+  WHEN ext IN ({', '.join(f"'{x}'" for x in corpus.CODE_EXTENSIONS)}) THEN 'code' WHEN ext IN ({', '.join(f"'{x}'" for x in corpus.DATA_EXTENSIONS)}) THEN 'data' ELSE 'other' END AS status FROM (SELECT DISTINCT path, top, ext, base FROM parts)),
+reasons AS (SELECT *, CASE WHEN status = 'excluded' THEN CASE WHEN starts_with(path, 'guides') THEN 'guides are no code' ELSE 'one file' END END AS reason FROM covered)"""
+
+
+@query(f"WITH {FILE_NAMES}, {COVERED} SELECT path, status, reason, top FROM reasons", prefix=False)
+def coverage(s, d):
+    return covered(s, d)
+
+
+@query(f"WITH {FILE_NAMES}, {COVERED} SELECT status, top, count(*) AS n FROM covered WHERE status IN ('code', 'data') GROUP BY ALL", prefix=False)
+def unclaimed_by_top(s, d):
+    rows = covered(s, d)
+    return corpus.unclaimed_by_top(rows).withColumn("status", F.lit("code")).unionByName(corpus.unclaimed_by_top(rows, "data").withColumn("status", F.lit("data")))
+
+
+@query(f"WITH {FILE_NAMES}, {COVERED} SELECT reason, count(*) AS n FROM reasons WHERE status = 'excluded' GROUP BY 1", prefix=False)
+def excluded_by_reason(s, d):
+    return corpus.excluded_by_reason(covered(s, d))
+
+
+COLLECTED = "collected AS (SELECT DISTINCT path, n_chars * 100 AS length FROM files WHERE starts_with(path, 'data/') AND ext IN ('.xml', '.md') AND NOT starts_with(path, 'data/Output/') AND n_chars * 100 <= 400000)"
+
+
+@query(f"WITH {FILE_NAMES}, {COLLECTED.replace('FROM files', 'FROM parts')} SELECT path, length FROM collected", prefix=False)
+def corpus_collect(s, d):
+    rows = checkout(s, d).select("path", (F.col("n_chars") * 100).alias("length")).distinct()
+    return corpus.collect(rows, "data", ["**/*.xml", "*.md"])
+
+
+@query(f"""WITH {FILE_NAMES}, dirs AS (SELECT DISTINCT path, CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir FROM files), ranked AS (SELECT *, (row_number() OVER (ORDER BY dir, path) - 1) // 20 + 1 AS chunk FROM dirs)
+SELECT chunk, (SELECT max(chunk) FROM ranked) AS total, 'chunk_' || lpad(CAST(chunk AS VARCHAR), CAST(greatest(2, length(CAST(chunk AS VARCHAR))) AS INTEGER), '0') || '.json' AS output, string_agg(path, ',' ORDER BY dir, path) AS files FROM ranked GROUP BY chunk""", prefix=False)
+def manifest(s, d):
+    return corpus.manifest(checkout(s, d).select("path").distinct()).withColumn("files", F.array_join("files", ","))
+
+
+@query(rf"""WITH {FILE_NAMES}, kinds AS (SELECT CASE WHEN ext IN ({', '.join(f"'{x}'" for x in corpus.BUILD_EXTENSIONS)}) THEN 'code' WHEN ext IN ({', '.join(f"'{x}'" for x in corpus.DATA_EXTENSIONS)}) THEN 'data' ELSE 'other' END AS kind, CAST(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM parts)
+SELECT kind, count(*) AS n_files, CAST(sum(words) AS BIGINT) AS words FROM kinds GROUP BY 1""", prefix=False)
+def detections(s, d):
+    rows = checkout(s, d)
+    return corpus.merge_detections(corpus.detect(rows.where("doc_id % 2 = 0")).union(corpus.detect(rows.where("doc_id % 2 = 1"))))
+
+
+@query(f"WITH {FILE_NAMES} SELECT path, ext, CASE WHEN ext <> '' THEN left(path, length(path) - length(ext)) ELSE path END || '.txt' AS renamed, md5(path) AS digest, sha256(coalesce(text, '')) AS sha256, format('{{:,}}', n_chars * 1000) AS thousands, CAST(round_even(100.0::DOUBLE * (doc_id % 31) / 31, 0) AS BIGINT) || '%' AS share FROM parts", prefix=False)
+def path_and_number_formats(s, d):
+    n = F.col("doc_id")
+    return checkout(s, d).select("path", X.extension("path").alias("ext"), X.with_suffix("path", ".txt").alias("renamed"), F.md5("path").alias("digest"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), X.thousands(F.col("n_chars") * 1000).alias("thousands"), X.percent(n % 31, F.lit(31)).alias("share"))
+
+
+@query(f"""WITH {FILE_NAMES}, o AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '{{"nodes": [1, 2], "edges": [3]}}' WHEN 2 THEN '{{"nodes": [], "edges": 3}}' WHEN 3 THEN '{{"nodes": [' ELSE '{{"nodes": [' || doc_id || '], "edges": []}}' END AS content FROM documents)
+SELECT doc_id AS chunk, CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' WHEN 4 THEN 'ok' ELSE 'invalid' END AS status, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS nodes, CASE doc_id % 5 WHEN 1 THEN 1 ELSE 0 END AS edges FROM o""", prefix=False)
+def fragment_validation(s, d):
+    docs = V.read(s, d, "documents").select(F.col("doc_id").alias("chunk"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("output"))
+    kind = F.col("chunk") % 5
+    content = F.when(kind == 1, '{"nodes": [1, 2], "edges": [3]}').when(kind == 2, '{"nodes": [], "edges": 3}').when(kind == 3, '{"nodes": [').otherwise(F.concat(F.lit('{"nodes": ['), F.col("chunk").cast("string"), F.lit('], "edges": []}')))
+    return corpus.validate(docs, docs.where(kind != 0).select("output", content.alias("content")))
+
+
+@query("""WITH f AS (SELECT 'chunk_' || lpad(CAST(doc_id % 50 AS VARCHAR), 2, '0') AS file, doc_id // 50 AS pos, 'n' || doc_id % 70 AS id, CAST(doc_id AS VARCHAR) AS label FROM documents)
+SELECT 'node' AS kind, id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file, pos) AS k FROM f) WHERE k = 1 UNION ALL SELECT 'edge', id, 'n0' FROM f
+UNION ALL SELECT 'hyperedge', id, label FROM (SELECT 'h' || substr(id, 2) AS id, label, row_number() OVER (PARTITION BY id ORDER BY file, pos) AS k FROM f) WHERE k = 1""", prefix=False)
+def fragment_merge(s, d):
+    n = F.col("doc_id")
+    node = F.concat(F.lit("n"), (n % 70).cast("string"))
+    rows = V.read(s, d, "documents").select(F.concat(F.lit("chunk_"), F.lpad((n % 50).cast("string"), 2, "0")).alias("file"), n, node.alias("id"), n.cast("string").alias("label"))
+
+    def listed(*columns):
+        return F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "id", "label"))), lambda x: F.struct(*[c(x) for c in columns]))
+
+    fragments = rows.groupBy("file").agg(
+        listed(lambda x: x["id"].alias("id"), lambda x: x["label"].alias("label")).alias("nodes"),
+        listed(lambda x: x["id"].alias("source"), lambda x: F.lit("n0").alias("target")).alias("edges"),
+        listed(lambda x: F.concat(F.lit("h"), F.substr(x["id"], F.lit(2))).alias("id"), lambda x: x["label"].alias("label")).alias("hyperedges"),
+    )
+    nodes, edges, hyper = corpus.merge_fragments(fragments)
+    return nodes.select(F.lit("node").alias("kind"), "id", "label").union(edges.select(F.lit("edge"), "source", "target")).union(hyper.select(F.lit("hyperedge"), "id", "label"))
+
+
+@query("""WITH t AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS task, lower(string_agg(text, ' ')) AS text FROM documents GROUP BY 1),
+r AS (SELECT CAST(item_id % 40 AS VARCHAR) AS task, item_id AS item, list_distinct(string_split(text, ' '))[1:3] AS terms FROM (SELECT item_id, text FROM benchmark))
+SELECT task, count(*) FILTER (WHERE hit) AS covered, count(*) AS items FROM (SELECT r.task, item, EXISTS (SELECT 1 FROM documents d WHERE CAST(doc_id % 40 AS VARCHAR) = r.task AND (contains(lower(d.text), lower(string_split(b.text, ' ')[1])) OR contains(lower(d.text), lower(string_split(b.text, ' ')[2])))) AS hit FROM r JOIN benchmark b ON b.item_id = item) r GROUP BY 1""", prefix=False)
+def rubric_coverage(s, d):
+    contexts = V.read(s, d, "documents").where("text IS NOT NULL").select((F.col("doc_id") % 40).cast("string").alias("task"), F.col("text").alias("context"))
+    words = F.split("text", " ")
+    rubric = V.read(s, d, "benchmark").select((F.col("item_id") % 40).cast("string").alias("task"), F.col("item_id").alias("item"), F.filter(F.slice(words, 1, 2), lambda w: w.isNotNull()).alias("any"))
+    return savings.rubric_coverage(contexts, rubric)
+
+
+# ---- rules of extraction, repair, repeatability ---------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'D-' ELSE 'd_' END || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'odd' ELSE 'code' END AS file_type, CASE WHEN doc_id % 3 = 0 THEN 'a.py' ELSE 'a.cpp' END AS source_file, doc_id FROM documents),
+e AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'EXTRACTED' WHEN 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence, (doc_id % 21) / 20.0::DOUBLE AS score FROM n)
+SELECT 'file_type' AS rule, count(*) FILTER (WHERE file_type = 'odd') AS broken FROM n UNION ALL SELECT 'id_characters', count(*) FILTER (WHERE id LIKE 'D%') FROM n
+UNION ALL SELECT 'extracted_score', count(*) FILTER (WHERE confidence = 'EXTRACTED' AND score <> 1) FROM e UNION ALL SELECT 'inferred_score', count(*) FILTER (WHERE confidence = 'INFERRED' AND score NOT IN (0.95::DOUBLE, 0.85::DOUBLE, 0.75::DOUBLE, 0.65::DOUBLE, 0.55::DOUBLE)) FROM e
+UNION ALL SELECT 'ambiguous_score', count(*) FILTER (WHERE confidence = 'AMBIGUOUS' AND NOT (score BETWEEN 0.1 AND 0.3)) FROM e
+UNION ALL SELECT 'call_across_languages', count(*) FILTER (WHERE a.source_file <> b.source_file) FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0
+UNION ALL SELECT 'hyperedge_arity', count(*) FILTER (WHERE doc_id % 4 < 3) FROM n UNION ALL SELECT 'hyperedges_a_chunk', count(*) FROM (SELECT doc_id // 10 FROM n GROUP BY 1 HAVING count(*) > 3)""", prefix=False)
+def extraction_rules(s, d):
+    n = F.col("doc_id")
+    own = F.concat(F.when(n % 10 == 0, "D-").otherwise("d_"), n.cast("string"))
+    docs = V.read(s, d, "documents").select("doc_id", own.alias("id"), F.when(n % 7 == 0, "odd").otherwise("code").alias("file_type"), F.when(n % 3 == 0, "a.py").otherwise("a.cpp").alias("source_file"))
+    following = docs.select((n - 1).alias("doc_id"), F.col("id").alias("target"))
+    kind = F.element_at(F.array(*[F.lit(c) for c in analytics.CONFIDENCES]), (n % 3 + 1).cast("int"))
+    edges = docs.join(following, "doc_id", "left").select(F.col("id").alias("source"), "target", F.when(n % 2 == 0, "calls").otherwise("uses").alias("relation"), kind.alias("confidence"), ((n % 21) / 20.0).alias("confidence_score"))
+    hyper = docs.select(F.floor(n / 10).cast("string").alias("chunk"), F.transform(F.sequence(F.lit(0), n % 4), lambda i: i.cast("string")).alias("nodes"))
+    hyper = hyper.withColumn("nodes", F.slice("nodes", 1, F.size("nodes") - 1))
+    return quality.spec_rules(docs, edges, hyper)
+
+
+@query(", r AS (SELECT community AS entry, 'L' || community AS label, string_agg(CAST(node AS VARCHAR), ',' ORDER BY rank) AS anchors FROM g_top GROUP BY 1) SELECT entry, label, anchors FROM r WHERE entry % 5 = 0 OR entry % 7 = 0")
+def additive_only(s, d):
+    top = labels.top_anchors(V.parts(s, d), degrees(s, d))
+    old = top.groupBy(F.col("community").alias("entry")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"].cast("string")), ",").alias("anchors")).withColumn("label", F.concat(F.lit("L"), F.col("entry").cast("string")))
+    new = old.where("entry % 5 <> 0").withColumn("label", F.when(F.col("entry") % 7 == 0, "changed").otherwise(F.col("label")))
+    return quality.additive_only(old, new).select("entry", "label", "anchors")
+
+
+@query(f", {MERGED} SELECT id, 'second' AS only_in FROM merged WHERE repo = 'nation'")
+def repeatable_builds(s, d):
+    one = merged(s, d).select("id", "community_key")
+    return quality.repeatable(one.where("id NOT LIKE 'nation::%'"), one).select("id", "only_in")
+
+
+@query("""WITH n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '../up/d' || doc_id || '.h' WHEN 1 THEN '/eng/x/./d' || doc_id || '.h' WHEN 2 THEN '/else/d' || doc_id ELSE '' END AS source_file FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'up/d' || doc_id || '.h' WHEN 1 THEN 'x/d' || doc_id || '.h' END AS repo_path, CASE doc_id % 4 WHEN 0 THEN 'stamped' WHEN 1 THEN 'stamped' WHEN 2 THEN 'outside' ELSE 'missing' END AS outcome FROM n""", prefix=False)
+def repo_paths(s, d):
+    n = F.col("doc_id")
+    number = n.cast("string")
+    file = F.when(n % 4 == 0, F.concat(F.lit("../up/d"), number, F.lit(".h"))).when(n % 4 == 1, F.concat(F.lit("/eng/x/./d"), number, F.lit(".h"))).when(n % 4 == 2, F.concat(F.lit("/else/d"), number)).otherwise("")
+    return files.repo_paths(V.read(s, d, "documents").select("doc_id", file.alias("source_file")), "/eng/src", "/eng").select("doc_id", "repo_path", "outcome")
+
+
+#: Nodes with a leaked path: of every five documents a header, its implementation, a symbol of that, a text and a page of one name.
+LEAKED = """n AS (SELECT doc_id, doc_id // 5 AS g, CASE doc_id % 5 WHEN 0 THEN '.hpp' WHEN 1 THEN '.cpp' WHEN 2 THEN '.cpp' WHEN 3 THEN '.txt' ELSE '.md' END AS ext FROM documents WHERE text IS NOT NULL),
+g_have AS (SELECT g, bool_or(ext = '.txt') AND bool_or(ext = '.md') AS both_texts FROM n GROUP BY 1),
+kept AS (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 's_a' || g WHEN doc_id % 5 = 2 THEN 's_a' || g || '_f' WHEN both_texts THEN 's_t' || g || replace(ext, '.', '_') ELSE 's_t' || g END AS id FROM n JOIN g_have USING (g))"""
+
+
+@query(f"WITH {LEAKED} SELECT id, min(doc_id) AS doc_id FROM kept GROUP BY 1", prefix=False)
+def id_repair(s, d):
+    return repaired(s, d)[0].select("id", "doc_id")
+
+
+@query(f"WITH {LEAKED} SELECT a.id AS source, b.id AS target FROM kept a JOIN kept b ON b.doc_id = a.doc_id + 1 WHERE a.id <> b.id", prefix=False)
+def id_repair_edges(s, d):
+    return repaired(s, d)[1].select("source", "target")
+
+
+def repaired(s, d):
+    n = F.col("doc_id")
+    group = F.floor(n / 5).cast("string")
+    kind = n % 5
+    file = F.when(kind == 0, F.concat(F.lit("s/a"), group, F.lit(".hpp"))).when(kind < 3, F.concat(F.lit("s/a"), group, F.lit(".cpp"))).when(kind == 3, F.concat(F.lit("s/t"), group, F.lit(".txt"))).otherwise(F.concat(F.lit("s/t"), group, F.lit(".md")))
+    own = F.when(kind == 2, F.concat(F.lit("abs_root_s_a"), group, F.lit("_f"))).otherwise(F.concat(F.lit("abs_root_"), X.normalised_id(file)))
+    docs = V.read(s, d, "documents").where("text IS NOT NULL").select("doc_id", own.alias("id"), file.alias("source_file"), n.alias("pos"))
+    edges = docs.select(F.col("id").alias("source"), (n + 1).alias("doc_id")).join(docs.select("doc_id", F.col("id").alias("target")), "doc_id").select("source", "target")
+    return identity.repair(docs, edges)
+
+
+# ---- documents, labels and suites as files --------------------------------------------------------------------------------------
+
+
+@query("SELECT 'node' AS kind, repo, local_id AS a, label AS b FROM g_nodes WHERE repo IN ('region', 'nation') UNION ALL SELECT 'edge', source_repo, source, target FROM g_edges WHERE source_repo = 'nation' UNION ALL SELECT 'hyperedge', 'region', 'all', string_agg(local_id, ',' ORDER BY local_id) FROM g_nodes WHERE repo = 'region'")
+def graph_documents(s, d):
+    """Chunk graphs written as documents, one a chunk, and read back. Regions and nations are tables of fixed size."""
+    folder = Path(tempfile.mkdtemp())
+    nodes, edges = V.nodes(s, d), V.edges(s, d).where("source_repo = 'nation'")
+    for repo in ("region", "nation"):
+        own = nodes.where(F.col("repo") == repo).select(F.col("local_id").alias("id"), "label", "community").orderBy("id")
+        links = edges.where(F.col("source_repo") == repo).select("source", "target", "relation", "confidence")
+        hyper = own.agg(F.array_sort(F.collect_list("id")).alias("nodes")).select(F.lit("all").alias("id"), "nodes") if repo == "region" else None
+        sinks.write_graph_document(folder / f"{repo}.json", own, links, hyper, {"chunks": [repo]})
+    scratch = Scratch(s, "documents")
+    paths = {f.stem: scratch.write_text(f.name, f.read_text(encoding="utf-8")) for f in sorted(folder.iterdir())}
+    read_nodes, read_edges, read_hyper = documents.load_graphs(s, paths)
+    return (
+        read_nodes.select(F.lit("node").alias("kind"), "repo", F.col("local_id").alias("a"), F.col("label").alias("b"))
+        .union(read_edges.select(F.lit("edge"), "source_repo", "source", "target"))
+        .union(read_hyper.select(F.lit("hyperedge"), "repo", "id", F.array_join("nodes", ",")))
+    )
+
+
+@query("SELECT 'name' AS kind, repo, community, name FROM g_named WHERE community % 4 > 0 UNION ALL SELECT 'anchor', 'part', row_number() OVER (ORDER BY community) - 1, 'Brand family ' || community || ':' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY rank) FROM g_top GROUP BY community")
+def label_files(s, d):
+    """Label and anchor files written and read back: a name a community, so their size is that of the naming, not of the graph."""
+    folder = Path(tempfile.mkdtemp())
+    sinks.write_labels(V.named(s, d).where("community % 4 > 0"), folder)
+    top = labels.top_anchors(V.parts(s, d), degrees(s, d))
+    listed = top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"].cast("string")), ",").alias("anchors"))
+    fresh = listed.select(F.concat(F.lit("Brand family "), F.col("community").cast("string")).alias("label"), F.lit("new").alias("kind"), "anchors", F.lit(None).cast("int").alias("entry"), "community")
+    sinks.write_anchors(labels.anchor_entries(fresh), folder / "part.anchors.json", labels.ANCHOR_COUNT)
+    scratch = Scratch(s, "labels")
+    for f in sorted(folder.iterdir()):
+        scratch.write_text(f.name, f.read_text(encoding="utf-8"))
+    names, anchors = documents.load_labels(s, scratch.base), documents.load_anchors(s, scratch.base)
+    read_anchors = anchors.select(F.lit("anchor"), "repo", F.col("entry").cast("long"), F.concat("label", F.lit(":"), F.array_join("anchors", ",")))
+    return names.select(F.lit("name").alias("kind"), "repo", "community", "name").union(read_anchors)
+
+
+SUITE = '{"meta": {"description": "three questions", "version": 1}, "questions": [' + ", ".join(f'{{"id": "q{q}", "question": "{t}", "depth": {q}}}' for q, t in V.QUESTIONS) + "]}\n"
+
+
+@query(f", {ASKS} SELECT 'q' || qid AS qid, question, 'bfs' AS mode, CAST(qid AS BIGINT) AS depth, CAST(2000 AS BIGINT) AS token_budget, sha256('{SUITE}') AS suite FROM asks")
+def question_suite(s, d):
+    return documents.load_questions(s, Scratch(s, "suite").write_text("suite.json", SUITE))
+
+
+@query("SELECT 'src/' || n_nationkey || '/' || n_name || CASE n_nationkey % 3 WHEN 0 THEN '.HPP' WHEN 1 THEN '.cpp' ELSE '.md' END AS path, CASE WHEN n_nationkey % 3 < 2 THEN n_name || chr(10) || 'x' END AS text, CASE WHEN n_nationkey % 3 = 0 THEN 'headers' END AS chunk FROM nation", prefix=False)
+def checkout_scan(s, d):
+    """Files written to the shared folder, listed, read as texts and claimed by a chunk's pattern."""
+    scratch = Scratch(s, "checkout")
+    for r in V.read(s, d, "nation").collect():  # a table of 25 rows
+        key, name = r["n_nationkey"], r["n_name"]
+        scratch.write_text(f"src/{key}/{name}{('.HPP', '.cpp', '.md')[key % 3]}", f"{name}\r\nx")
+    listed = files.scan_files(s, scratch.base)
+    texts = files.scan_texts(s, scratch.base)
+    chunks = s.sql("SELECT 'headers' AS name, 'src' AS root, array('**/*.HPP') AS targets")
+    claimed_ = files.resolve_targets(listed, chunks).select("path", F.col("name").alias("chunk"))
+    return listed.select("path").join(texts, "path", "left").join(claimed_, "path", "left").select("path", "text", "chunk")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS times FROM documents", prefix=False)
+def stream_ingest(s, d):
+    """How often each document was handed on: all at first, then those whose text has changed, and none that hasn't."""
+    scratch = Scratch(s, "stream")
+    taken = []
+
+    def apply(rows):
+        taken.append(scratch.save(rows.select("doc_id")))
+
+    docs = V.read(s, d, "documents").select("doc_id", "text")
+    later = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    for rows in (docs, later):
+        rows.write.mode("append").parquet(f"{scratch.base}/in")
+        ingest(s, f"{scratch.base}/in", "doc_id long, text string", "doc_id", "text", f"{scratch.base}/snapshot", f"{scratch.base}/progress", apply)
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.union(t)
+    return out.groupBy("doc_id").agg(F.count("*").alias("times"))
+
+
+@query("""WITH f AS (SELECT doc_id, 'p/f' || doc_id || '.py' AS path FROM documents),
+n AS (SELECT 'p_f' || doc_id AS id FROM f UNION ALL SELECT 'p_f' || doc_id || '_k' || doc_id FROM f UNION ALL SELECT 'p_f' || doc_id || '_run' FROM f)
+SELECT 'node' AS kind, id AS a, '' AS b FROM n UNION ALL SELECT 'contains', 'p_f' || doc_id, 'p_f' || doc_id || '_k' || doc_id FROM f UNION ALL SELECT 'contains', 'p_f' || doc_id, 'p_f' || doc_id || '_run' FROM f
+UNION ALL SELECT 'inherits', 'p_f' || a.doc_id || '_k' || a.doc_id, 'p_f' || b.doc_id || '_k' || b.doc_id FROM f a JOIN f b ON b.doc_id = a.doc_id + 1
+UNION ALL SELECT 'imports', 'p_f' || a.doc_id, 'p_f' || b.doc_id FROM f a JOIN f b ON b.doc_id = a.doc_id + 2
+UNION ALL SELECT 'calls', 'p_f' || a.doc_id || '_run', 'p_f' || b.doc_id || '_k' || b.doc_id FROM f a JOIN f b ON b.doc_id = a.doc_id + 1""", prefix=False)
+def extraction(s, d):
+    """A small program a document: a class that inherits the next one's, a function that calls it, an import of the one after."""
+    n = F.col("doc_id")
+
+    def number(k):
+        return (n + k).cast("string")
+
+    text = F.concat(F.lit("import p.f"), number(2), F.lit("\n\nclass K"), number(0), F.lit("(K"), number(1), F.lit("):\n    pass\n\ndef run():\n    return K"), number(1), F.lit("()\n"))
+    texts = V.read(s, d, "documents").select(F.concat(F.lit("p/f"), number(0), F.lit(".py")).alias("path"), text.alias("text"))
+    nodes, edges = extract.extract(texts)
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b")).union(edges.select("relation", "source", "target"))

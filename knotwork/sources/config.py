@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import subprocess
 import tomllib
 from dataclasses import dataclass
 from pathlib import Path
@@ -46,23 +47,36 @@ def load(folder: Path, engine: str | None = None, out: str | None = None, marker
     return Config(root, Path(found["out"]).expanduser().resolve() if found["out"] else folder / "knotwork-out")
 
 
-def provenance(engine: Path, version_file: str | None = None, define: str | None = None) -> dict[str, str | None]:
-    """commit (from .git, without running git) and release (of ``#define NAME "x"`` in a file), each independent of the other."""
-    out: dict[str, str | None] = {"commit": None, "release": None}
+def _git(engine: Path, *arguments: str) -> str | None:
+    try:
+        done = subprocess.run(["git", "-C", str(engine), *arguments], capture_output=True, text=True, timeout=30, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None
+
+
+def _head(engine: Path) -> str | None:
+    """The commit, read from .git where there is no git to ask."""
     head = engine / ".git" / "HEAD"
-    if head.is_file():
-        text = head.read_text().strip()
-        if text.startswith("ref: "):
-            ref = engine / ".git" / text[5:]
-            packed = engine / ".git" / "packed-refs"
-            if ref.is_file():
-                out["commit"] = ref.read_text().strip()
-            elif packed.is_file():
-                found = re.search(rf"(?m)^([0-9a-f]+) {re.escape(text[5:])}$", packed.read_text())
-                out["commit"] = found[1] if found else None
-        else:
-            out["commit"] = text
-    if version_file and define and (engine / version_file).is_file():
-        found = re.search(rf'(?m)^\s*#\s*define\s+{re.escape(define)}\s+"([^"]*)"', (engine / version_file).read_text(errors="ignore"))
-        out["release"] = found[1] if found else None
-    return out
+    if not head.is_file():
+        return None
+    text = head.read_text().strip()
+    if not text.startswith("ref: "):
+        return text or None
+    ref, packed = engine / ".git" / text[5:], engine / ".git" / "packed-refs"
+    if ref.is_file():
+        return ref.read_text().strip() or None
+    found = re.search(rf"(?m)^([0-9a-f]+) {re.escape(text[5:])}$", packed.read_text()) if packed.is_file() else None
+    return found[1] if found else None
+
+
+#: Fixed value: the file whose first line names the release.
+NEWS = "News.txt"
+
+
+def provenance(engine: Path, news: str = NEWS, version_file: str | None = None, define: str | None = None) -> dict[str, str | None]:
+    """commit, describe, release (the first line of the news) and version (of ``#define NAME "x"``), each independent of the others."""
+    first = (engine / news).read_text(errors="ignore").split("\n", 1)[0].rstrip().rstrip(":").strip() if (engine / news).is_file() else None
+    text = (engine / version_file).read_text(errors="ignore") if version_file and (engine / version_file).is_file() else ""
+    found = re.search(rf'(?m)^\s*#\s*define\s+{re.escape(define)}\s+"([^"]*)"', text) if define else None
+    return {"commit": _git(engine, "rev-parse", "HEAD") or _head(engine), "describe": _git(engine, "describe", "--tags", "--always"), "release": first or None, "version": found[1] if found else None}

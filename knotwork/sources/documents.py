@@ -41,7 +41,7 @@ def load_fragments(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_labels(spark: SparkSession, folder: str) -> DataFrame:
     """repo, community, name of all label files (a JSON object of names by number); anchor files are left out."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).withColumn("file", _file_name())
+    text = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).withColumn("file", _file_name())
     rows = text.where(~F.endswith("file", F.lit(".anchors.json"))).select(F.regexp_replace("file", r"\.json$", "").alias("repo"), F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("k", "name"))
     return rows.select("repo", F.expr("try_cast(k as bigint)").alias("community"), "name")
 

@@ -25,8 +25,8 @@ def test_label_attachment(spark):
     claimed = labels.claims(anchors, members)
     assert rows(claimed, "label", "placed") == [("L1", True), ("L2", True), ("L3", True), ("L4", False), ("L6", False)]
     assert rows(labels.attach(claimed), "community", "name") == [(0, "L1 / L3"), (1, "L2")]
-    stats = labels.attach_stats(claimed).first().asDict()
-    assert (stats["matched"], stats["labels_placed"], stats["labels_dropped"], stats["merged_communities"]) == (2, 3, 2, 1)
+    stats = labels.attach_stats(claimed, spark.createDataFrame([(i,) for i in range(6)], "entry int")).first().asDict()
+    assert stats == {"matched": 2, "labels_placed": 3, "labels_dropped": 2, "merged_communities": 1, "available": 6, "mode": "anchor", "threshold": 0.4}
 
 
 def test_preserve(spark):
@@ -44,7 +44,8 @@ def test_include_scan(spark):
     assert [r["bucket"] for r in found.collect()][4:] == [R.SYSTEM, R.SAME_DIRECTORY, "far/"]
     index = spark.createDataFrame([("A", "Q/ab/m.cpp", "m"), ("A", "Q/ab/a.hpp", "a"), ("B", "X/abc/b.hpp", "b_long"), ("B", "X/abc/b.hpp", "b")], "repo string, path string, id string")
     edges, stats = refs.link(found, index)
-    assert rows(edges, "source_repo", "source", "target_repo", "target") == [("A", "m", "B", "b")]
+    assert rows(edges, "source_repo", "source", "target_repo", "target", "context", "origin", "source_file") == [("A", "m", "B", "b", "cross_module_include", "cross_link", "Q/ab/m.cpp")]
+    assert rows(refs.missed(found, index, ["Q/ab", "X/abc"]), "kind", "key", "n") == [("ignored", R.SAME_DIRECTORY, 1), ("ignored", R.SYSTEM, 1), ("ignored", "far/", 1), ("unresolved", "Q/ab", 2)]
     got = stats.first().asDict()
     assert (got["total_includes"], got["ignored"], got["unresolved_includes"], got["resolved_includes"], got["resolved_directives"]) == (7, 3, 2, 2, 2)
 
@@ -60,7 +61,8 @@ def test_id_repair(spark):
         "id string, source_file string, pos int",
     )
     edges = spark.createDataFrame([("abs_src_a_hpp", "abs_src_a_cpp"), ("free", "free"), ("abs_src_a_f", "abs_other")], "source string, target string")
-    kept, moved, _ = identity.repair(nodes, edges)
+    kept, moved, stats = identity.repair(nodes, edges)
+    assert stats == {"prefix": "abs", "nodes_before": 7, "nodes_after": 6, "links_before": 3, "links_after": 2, "unmapped": 0, "generic_fixed": 1, "collision_merges": 1, "files_kept_distinct": 2, "selfloops_dropped": 1, "still_absolute_after_fix": 0}
     assert rows(kept, "id", "source_file") == [("free", ""), ("other", ""), ("src_a", "src/a.hpp"), ("src_a_f", "src/a.cpp"), ("src_d_md", "src/d.md"), ("src_d_txt", "src/d.txt")]
     assert rows(moved, "source", "target") == [("free", "free"), ("src_a_f", "other")]
     assert identity.repair(kept, moved)[2] == {"skipped": "no identifier carries a path"}
@@ -71,6 +73,8 @@ def test_audit(spark):
     names = spark.createDataFrame([(1, "Ship routing"), (2, "Gone"), (1, "shipment"), (1, "hpp file")], "community long, name string")
     got = relabel.audit(nodes, names)
     assert rows(got, "name", "matched", "stale") == [("Gone", False, False), ("Ship routing", True, False), ("hpp file", True, False), ("shipment", True, False)]
+    assert rows(got, "name", "size", "matched_tokens", "note") == [("Gone", 0, "", relabel.ABSENT), ("Ship routing", 1, "ship", None), ("hpp file", 1, "hpp", None), ("shipment", 1, "shipment", None)]
+    assert relabel.audit(nodes, names.where("name = 'Gone'")).first()["stale"]
 
 
 def test_packing_spans_folders(spark):
@@ -86,6 +90,9 @@ def test_coverage_precedence(spark):
     want = {"build/x.cpp": "ignored", "README.md": "claimed", "sub/README.md": "ignored", "guides/x.md": "excluded", "guides_index.md": "excluded", "guides_index.mdx": "other", "src/a.CPP": "code", "src/a.xml": "data"}
     assert {r["path"]: r["status"] for r in got.collect()} == want
     assert rows(corpus.unclaimed_by_top(got), "top", "n") == [("src", 1)]
+    assert rows(corpus.unclaimed_by_top(got, "data"), "top", "n") == [("src", 1)]
+    root = corpus.coverage(spark.createDataFrame([("setup.py",), (".mcp.json",)], "path string"), claimed, [])
+    assert rows(root, "path", "status", "top") == [(".mcp.json", "ignored", ".mcp.json"), ("setup.py", "code", "setup.py")]
 
 
 def test_tokens(spark):
@@ -153,6 +160,11 @@ def test_traversal(spark):
     assert rows(traversal.shortest_path(pairs, 1, 3, scratch), "hop", "node") == [(0, 1), (1, 2), (2, 3)]
     assert traversal.shortest_path(pairs, 1, 6, scratch).count() == 0
     assert traversal.preorder(pairs, 1, 3, scratch) == [1, 2, 3, 4]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert rows(traversal.shortest_path(chain, 0, 12, scratch).orderBy("hop"), "node") == sorted([(i,) for i in range(13)], key=str)
+    assert traversal.shortest_path(chain, 0, 12, scratch, depth=11).count() == 0 and traversal.shortest_path(chain, 5, 5, scratch).count() == 1
+    rows_ = spark.createDataFrame([("a", "b", "uses"), ("a", "b", "uses"), ("b", "b", "is")], "source string, target string, relation string")
+    assert rows(traversal.get_neighbors(traversal.adjacency(rows_), "b"), "node", "relation", "direction") == [("a", "uses", "in"), ("b", "is", "in"), ("b", "is", "out")]
 
 
 def test_path_hops(spark):
@@ -166,6 +178,9 @@ def test_extract(spark):
     nodes, edges = extract.extract(texts)
     assert {r["id"] for r in nodes.collect()} == {"x_a", "x_m", "x_a_base", "x_a_child", "x_m_p", "x_m_run"}
     assert rows(edges.where("relation = 'inherits'"), "source", "target") == [("x_a_child", "x_a_base"), ("x_m_p", "x_a_base")]
+    more = spark.createDataFrame([("x/m.py", "import x.n\nfrom x.gone import y\n\ndef go(a):\n    help(a)\n    go(a)\n"), ("x/n.py", "def help(a):\n    return a\n")], "path string, text string")
+    found = extract.extract(more)[1]
+    assert rows(found.where("relation <> 'contains'"), "relation", "source", "target", "confidence") == [("calls", "x_m_go", "x_n_help", "INFERRED"), ("imports", "x_m", "x_n", "EXTRACTED")]
 
 
 def test_owner_of_equal_ids(spark):
@@ -200,10 +215,10 @@ def test_rubric_and_spec_rules(spark):
     contexts = spark.createDataFrame([("t", "Builds a TideTable")], "task string, context string")
     rubric = spark.createDataFrame([("t", "i1", ["tidetable", "zzz"]), ("t", "i2", ["missing"])], "task string, item string, any array<string>")
     assert rows(savings.rubric_coverage(contexts, rubric), "task", "covered", "items") == [("t", 1, 2)]
-    nodes = spark.createDataFrame([("a_1", "concept"), ("Bad", "odd")], "id string, file_type string")
-    edges = spark.createDataFrame([("EXTRACTED", 0.9), ("INFERRED", 0.85), ("AMBIGUOUS", 0.5)], "confidence string, confidence_score double")
+    nodes = spark.createDataFrame([("a_1", "concept", "x.py"), ("Bad", "odd", "y.hpp")], "id string, file_type string, source_file string")
+    edges = spark.createDataFrame([("EXTRACTED", 0.9, "a_1", "Bad", "calls"), ("INFERRED", 0.85, "a_1", "a_1", "calls"), ("AMBIGUOUS", 0.5, "a_1", "Bad", "uses")], "confidence string, confidence_score double, source string, target string, relation string")
     hyper = spark.createDataFrame([("c", ["a", "b"])], "chunk string, nodes array<string>")
-    assert dict(rows(quality.spec_rules(nodes, edges, hyper), "rule", "broken")) == {"file_type": 1, "id_characters": 1, "extracted_score": 1, "inferred_score": 0, "ambiguous_score": 1, "hyperedge_arity": 1, "hyperedges_a_chunk": 0}
+    assert dict(rows(quality.spec_rules(nodes, edges, hyper), "rule", "broken")) == {"file_type": 1, "id_characters": 1, "extracted_score": 1, "inferred_score": 0, "ambiguous_score": 1, "call_across_languages": 1, "hyperedge_arity": 1, "hyperedges_a_chunk": 0}
     assert quality.repeatable(nodes, nodes).count() == 0
 
 
@@ -216,6 +231,14 @@ def test_config(tmp_path, monkeypatch):
     assert config.load(tmp_path).engine == (tmp_path / "eng").resolve()
     with pytest.raises(config.ConfigError):
         config.load(tmp_path, markers=("absent",))
+    engine = tmp_path / "eng"
+    assert config.provenance(engine) == {"commit": None, "describe": None, "release": None, "version": None}
+    (engine / "News.txt").write_text("Release 7:\n\nmore\n")
+    (engine / "v.hpp").write_text('  #define VERSION "1.2"\n')
+    (engine / ".git").mkdir()
+    (engine / ".git" / "HEAD").write_text("ref: refs/heads/main\n")
+    (engine / ".git" / "packed-refs").write_text("# pack\n" + "a" * 40 + " refs/heads/main\n")
+    assert config.provenance(engine, version_file="v.hpp", define="VERSION") == {"commit": "a" * 40, "describe": None, "release": "Release 7", "version": "1.2"}
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -231,3 +254,97 @@ def test_stream_ingest(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "id long, text string").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert seen == [[1, 2], [2, 3]]
+
+
+def test_ingest_takes_null_texts_once(spark, tmp_path):
+    from knotwork.streaming.ingest import ingest
+
+    seen: list[list] = []
+
+    def run():
+        ingest(spark, str(tmp_path / "in"), "id long, text string", "id", "text", str(tmp_path / "snap"), str(tmp_path / "check"), lambda df: seen.append(sorted((r["id"] for r in df.collect()), key=str)))
+
+    for _ in range(2):
+        spark.createDataFrame([(1, None), (None, "b")], "id long, text string").write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    assert seen == [[1, None], []]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from knotwork import scratch
+
+    root = scratch.shared_root(spark)
+    assert root and scratch.Scratch(spark, "x").write_text("a/b.txt", "hé").startswith(root)
+
+
+def test_collect_and_manifest_files(spark, tmp_path):
+    from knotwork import sinks
+
+    listed = spark.createDataFrame([("Examples/b/x.xml", 5), ("Examples/a/y.csv", 5), ("Examples/Output/z.xml", 5), ("Examples/big.xml", 400_001), ("Other/x.xml", 1), ("Examples/n.txt", 1)], "path string, length long")
+    found = corpus.collect(listed, "Examples", ["**/*.xml", "**/*.csv"])
+    assert [r["path"] for r in found.collect()] == ["Examples/a/y.csv", "Examples/b/x.xml"]
+    assert sinks.write_manifest(corpus.manifest(found, 1), tmp_path / "m") == 2
+    written = json.loads((tmp_path / "m" / "_manifest.json").read_text())
+    assert [(w["chunk"], w["total"], w["files"]) for w in written] == [(1, 2, ["Examples/a/y.csv"]), (2, 2, ["Examples/b/x.xml"])]
+    detected = corpus.detect(spark.createDataFrame([("a.py", "x y"), ("b.md", "z")], "path string, text string"))
+    assert rows(corpus.merge_detections(detected.union(detected)), "kind", "n_files", "words") == [("code", 2, 4), ("data", 2, 2)]
+
+
+def test_commands_from_checkout_to_checked_graph(spark, tmp_path, monkeypatch):
+    """Build, merge with links across chunks, relabel, verify, bench and the lookups, as a user runs them."""
+    from knotwork import cli
+
+    monkeypatch.setattr(cli, "ROUNDS", 2)
+    engine = tmp_path / "engine"
+    for path, text in {
+        "core/a.hpp": "#include <util/u.hpp>\n#include <vector>\nclass Alpha : public Base {\n};\n",
+        "core/b.py": "import core.c\n\ndef run():\n    helper()\n",
+        "core/c.py": "def helper():\n    pass\n",
+        "util/u.hpp": "class Base {\n};\n",
+        "loose.cpp": "struct L {\n};\n",
+    }.items():
+        (engine / path).parent.mkdir(parents=True, exist_ok=True)
+        (engine / path).write_text(text)
+    chunks = tmp_path / "chunks.json"
+    chunks.write_text(json.dumps([{"name": "Core", "root": "core", "targets": ["."], "kind": "code", "labelled": True}, {"name": "Util", "root": "util", "targets": ["."], "kind": "code"}]))
+    label_folder = tmp_path / "labels"
+    label_folder.mkdir()
+    base = ["--engine", str(engine), "--out", str(tmp_path / "out"), "--chunks", str(chunks), "--labels", str(label_folder), "--graph", str(tmp_path / "merged")]
+
+    def run(*arguments):
+        return cli.run(spark, cli.parser().parse_args([*base, *arguments]))
+
+    assert run("verify")[1] == 1 and "not found" in run("verify")[0]
+    assert "Unclaimed code files: 1" in run("coverage")[0] and "loose.cpp" in run("coverage")[0]
+    (label_folder / "Core.json").write_text(json.dumps({"0": "Helpers and run"}))
+    (label_folder / "Util.anchors.json").write_text(json.dumps({"anchor_count": 15, "communities": [{"label": "Bases", "size": 2, "anchors": ["u", "u_base"]}]}))
+    assert "Core: " in run("build")[0]
+    nodes, edges = cli._tables(spark, str(tmp_path / "merged"))
+    assert rows(edges.where("origin = 'cross_link'"), "source", "target", "context", "source_file") == [("Core::a", "Util::u", "cross_module_include", "core/a.hpp")]
+    assert {r["community_name"] for r in nodes.where("repo = 'Util'").collect()} == {"Bases"}
+    meta = json.loads(spark.read.text(str(tmp_path / "merged" / "meta")).first()[0])
+    assert meta["chunks"] == ["Core", "Util"] and meta["cross_module_edges"] == 1 and meta["link_stats"]["ignored_by_prefix"] == {R.SYSTEM: 1}
+    text, code = run("verify")
+    assert code == 0 and "[PASS] include recall computed" in text and "1/2 directives" in text, text
+    assert run("verify", "--docs", "Docs")[1] == 1
+    assert "| Core |" in run("info")[0]
+    assert "| x |" not in run("relabel", "Core")[0] and "Helpers" in run("relabel", "Core", "--action", "propose")[0]
+    assert "match=" in run("relabel", "Core", "--action", "audit")[0]
+    run("relabel", "Core", "--action", "write-anchors")
+    written = json.loads((label_folder / "Core.anchors.json").read_text())
+    assert [c["label"] for c in written["communities"]] == ["Helpers and run"] and written["communities"][0]["anchors"]
+    run("relabel", "Core", "--action", "write-anchors")
+    assert json.loads((label_folder / "Core.anchors.json").read_text()) == written
+    assert "Bases" in run("relabel", "Util", "--action", "sync")[0] and json.loads((label_folder / "Util.json").read_text())
+    assert "Alpha" in run("relabel", "Core", "--action", "digest")[0]
+    document = tmp_path / "graph.json"
+    run("merge", "--document", str(document))
+    whole = json.loads(document.read_text())
+    assert len(whole["nodes"]) == cli._tables(spark, str(tmp_path / "merged"))[0].count() and whole["graph"]["link_stats"]["total_includes"] == 2
+    suite = tmp_path / "questions.json"
+    suite.write_text(json.dumps({"questions": [{"id": "q1", "question": "helper run"}]}))
+    assert "| q1 |" in run("bench", str(suite))[0]
+    assert "includes | out" in run("path", "Core::a", "Util::u")[0]
+    assert "Util::u" in run("neighbors", "Core::a")[0] and "NODE" in run("query", "alpha helper")[0]
+    assert "chunks" in run("semantic", "--root", ".", "--patterns", "**/*.py", "--folder", str(tmp_path / "sem"))[0]
+    assert "missing" in run("semantic", "--validate", "--folder", str(tmp_path / "sem"))[0] if list((tmp_path / "sem").glob("chunk_*")) else True
