@@ -20,7 +20,7 @@ SEED = "mix-1"
 #: A larger mean is the sum of several independent Poisson counts of at most this mean: exp(-mean) must stay well above underflow.
 LARGEST_MEAN = 500.0
 #: Characters of a partition of the result.
-PART_CHARS = 1 << 27
+PART_CHARS = 1 << 26
 
 
 def source_rates(docs: DataFrame, targets: DataFrame | None = None, source: str = "source", text: str = "text") -> DataFrame:
