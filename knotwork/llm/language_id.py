@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 The posterior of a language is the product of four things: the text's likelihood under a byte-trigram model; the likelihoods of the
-declared markup language and of the address suffix, given the language; and the host's prior. The prior is smoothed hierarchically:
+declared language (of the markup, or a column) and of the address suffix, given the language; and the host's prior. The prior is smoothed hierarchically:
 a host's counts are completed by its domain's, those by the whole corpus's. All of these counts are grouped aggregations of the
 languages that the texts alone suggest, over all rows.
 
@@ -146,7 +146,11 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, host: Column, markup: Column, carry: list[str], text: str = "text") -> DataFrame:
+def primary_subtag(tag: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(tag, r"^\s*([a-zA-Z]{2,3})\b", 1)), F.lit(""))
+
+
+def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, host: Column, declared: Column, carry: list[str], text: str = "text") -> DataFrame:
     """The carried columns plus language, posterior and accepted; they replace columns of those names.
 
     A row is accepted if one of the languages is the likeliest and its posterior is at least LEAST_POSTERIOR. Null and empty texts
@@ -159,7 +163,7 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, host: Colu
     inputs = docs.select(
         *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)],
         F.coalesce(F.lower(host.cast("string")), F.lit("")).alias("host"),
-        declared_language(markup).alias("declared"),
+        declared.cast("string").alias("declared"),
         likelihoods(docs, text, logs).alias("ll"),
     ).withColumn("suffix", address_suffix(F.col("host")))
     own = F.slice("ll", 1, n)
@@ -197,9 +201,13 @@ def identify(docs: DataFrame, languages: list[str], logs: np.ndarray, host: Colu
 
 
 def identify_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Documents: fitted on their own labels in lang; the source stands for the host, and markup is the text's own."""
+    """Documents: fitted on a sample of their labels in lang, which is also what each declares; the source stands for the host.
+
+    A declaration is evidence like any other: how far it counts depends on how often texts of a language declare it. Sources that are
+    no addresses have no suffix, and are domains of their own.
+    """
     languages, logs = fit(docs, "doc_id", "text", "lang")
-    return identify(docs, languages, logs, F.col("source"), F.col("text"), carry)
+    return identify(docs, languages, logs, F.col("source"), primary_subtag(F.col("lang")), carry)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +215,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same operator on web pages, with all four kinds of evidence; fitted on the documents' labels."""
+    """The same operator on web pages, with all four kinds of evidence; fitted on the documents' labels.
+
+    Null html gives a null text and so 'und'; pages that repeat are each judged; an empty table gives no rows.
+    """
     from .url_filter import host_and_path
 
     languages, logs = fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     pages = host_and_path(table(spark, sf_dir, "pages")).withColumn("plain", F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "))
-    return identify(pages, languages, logs, F.col("host"), F.col("html"), ["page_id"], "plain")
+    return identify(pages, languages, logs, F.col("host"), declared_language(F.col("html")), ["page_id"], "plain")

@@ -453,7 +453,7 @@ def test_mixing_odd_inputs(spark, empty):
 def test_language_id_held_out_accuracy(spark, small):
     docs = spark.read.parquet(small.replace("0.001", "0.01") + "/documents.parquet")
     languages, logs = language_id.fit(docs.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
-    got = language_id.identify(docs.where("doc_id % 2 = 1"), languages, logs, F.lit(None), F.lit(""), ["doc_id", "lang"])
+    got = language_id.identify(docs.where("doc_id % 2 = 1"), languages, logs, F.lit(None), F.lit(None), ["doc_id", "lang"])
     right, accepted = got.agg(F.avg((F.col("language") == F.col("lang")).cast("double")), F.avg(F.col("accepted").cast("double"))).first()
     assert right > 0.99 and accepted > 0.99
 
@@ -463,10 +463,60 @@ def test_language_id_evidence_decides_short_texts(spark, small):
     languages, logs = language_id.fit(docs, "doc_id", "text", "lang")
     texts = docs.select("doc_id", "text", F.concat("lang", F.lit(".example."), "lang").alias("host"), F.concat(F.lit('<html lang="'), "lang", F.lit('">')).alias("markup"))
     unclear = spark.createDataFrame([(-1, "n", "fr.example.fr", '<html lang="fr">'), (-2, "n", "en.example.en", "<html lang='en'>")], texts.schema)
-    got = {r["doc_id"]: r["language"] for r in language_id.identify(texts.union(unclear), languages, logs, F.col("host"), F.col("markup"), ["doc_id"]).where("doc_id < 0").collect()}
+    got = {r["doc_id"]: r["language"] for r in language_id.identify(texts.union(unclear), languages, logs, F.col("host"), language_id.declared_language(F.col("markup")), ["doc_id"]).where("doc_id < 0").collect()}
     assert got == {-1: "fr", -2: "en"}
 
 
+def test_language_id_of_pages_equals_plain_fusion(spark, small):
+    """The whole fusion, recomputed row by row with dictionaries."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    languages, logs = language_id.fit(docs, "doc_id", "text", "lang")
+    n, pages = len(languages), spark.read.parquet(f"{small}/pages.parquet")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "http://a.b.example.org/x", "<html " + "x" * 500 + " lang=en><p>the and of the</p>"), (-3, "x", "<p>123</p>"), (-3, "x", "<p>123</p>")], "page_id long, url string, html string")
+    pages.union(odd).write.mode("overwrite").parquet((folder := f"{language_id.Scratch(spark, 'pages').base}") + "/pages.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    got = sorted(((r["page_id"], r["language"], r["posterior"], r["accepted"]) for r in language_id.language_id_pages(spark, folder).collect()), key=str)
+    plain = url_filter.host_and_path(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "host", language_id.declared_language(F.col("html")).alias("declared"), F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ").alias("plain"))
+    rows = []
+    for r in plain.collect():
+        buckets, _ = language_id.trigrams([r["plain"]])
+        seen = buckets[buckets >= 0][: None]
+        ll = logs[seen].sum(axis=0, dtype=np.float64) * min(len(seen), language_id.EFFECTIVE_TRIGRAMS) / max(len(seen), 1) if len(seen) else None
+        suffix = r["host"].rsplit(".", 1)[-1] if "." in r["host"] else None
+        rows.append((r["page_id"], r["host"], ".".join(r["host"].split(".")[-2:]), r["declared"], suffix, ll, None if ll is None else int(np.argmax(ll[:n]))))
+    assert [x[3] for x in rows if x[0] == -2] == ["en"]
+    judged = [x for x in rows if x[6] is not None]
+
+    def prior(counts, parent, least):
+        total = sum(counts.values())
+        return [(counts[i] + least * parent[i]) / (total + least) for i in range(n)]
+
+    top = prior(Counter(x[6] for x in judged), [1 / n] * n, n)
+    want = []
+    for key, host, domain, declared, suffix, ll, _ in rows:
+        if ll is None:
+            want.append((key, "und", None, False))
+            continue
+        of_domain = prior(Counter(x[6] for x in judged if x[2] == domain), top, language_id.PRIOR_ROWS)
+        host_prior = prior(Counter(x[6] for x in judged if x[1] == host), of_domain, language_id.PRIOR_ROWS)
+        likes = []
+        for column, value in ((3, declared), (4, suffix)):
+            known = [x for x in judged if x[column] is not None]
+            kinds = len({x[column] for x in known})
+            likes.append([0.0] * n if value is None else [np.log((sum(x[6] == i and x[column] == value for x in known) + 1) / (sum(x[6] == i for x in known) + kinds)) for i in range(n)])
+        joint = [ll[i] + likes[0][i] + likes[1][i] + np.log(host_prior[i] * (1 - language_id.UNKNOWN_PRIOR)) for i in range(n)]
+        joint.append(ll[n] + sum(likes[0]) / n + sum(likes[1]) / n + np.log(language_id.UNKNOWN_PRIOR))
+        best = int(np.argmax(joint))
+        posterior = 1 / sum(np.exp(np.array(joint) - joint[best]))
+        name = [*languages, "und"][best]
+        want.append((key, name, posterior, name != "und" and posterior >= language_id.LEAST_POSTERIOR))
+    want.sort(key=str)
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert all((p is None) == (q is None) and (p is None or abs(p - q) < 2e-5) for (_, _, p, _), (_, _, q, _) in zip(got, want, strict=True))
+
+
 def test_language_id_odd_inputs(spark, empty):
     docs = docs_of(spark, [*ODD, *["this is the text of that"] * 5], lang=[None] * len(ODD) + ["en"] * 5).withColumn("language", F.lit("clash")).withColumn("source", F.lit(None).cast("string"))
     got = {r["doc_id"]: (r["language"], r["accepted"]) for r in language_id.identify_documents(docs, ["doc_id"]).collect()}
