@@ -190,8 +190,8 @@ def semantic(spark: SparkSession, engine: str, root: str, patterns: list[str], o
     """Writes the manifest of a corpus's chunks, or says which of them have come back."""
     if check:
         plan = spark.createDataFrame([(r["chunk"], Path(r["output"]).name) for r in json.loads((out / "_manifest.json").read_text(encoding="utf-8"))], "chunk int, output string")
-        found = spark.createDataFrame([(f.name, f.read_text(encoding="utf-8")) for f in sorted(out.glob("chunk_*.json"))], "output string, content string")
-        return sinks.report(corpus.validate(plan, found).orderBy("chunk"), "Chunks")
+        found = spark.read.option("pathGlobFilter", "chunk_*.json").text(str(out), wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("output"), F.col("value").alias("content"))
+        return sinks.chunks_report(corpus.validate(plan, found))
     found = corpus.collect(files.scan_files(spark, engine), root, patterns)
     return f"{out / '_manifest.json'}: {sinks.write_manifest(corpus.manifest(found), out)} chunks\n"
 

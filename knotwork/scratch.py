@@ -33,11 +33,13 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/knotwork/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.option("compression", compression).parquet(path)
+        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -61,3 +63,11 @@ class Scratch:
         """Deletes a saved table that no later plan reads."""
         path, store = self._path(saved._scratch_path)
         store.delete(path, True)
+
+    def keep_only(self, *saved: DataFrame) -> None:
+        """Deletes all other tables saved so far."""
+        kept = {s._scratch_path for s in saved}
+        for name in [p for p in self.paths if p not in kept]:
+            path, store = self._path(name)
+            store.delete(path, True)
+        self.paths = [p for p in self.paths if p in kept]

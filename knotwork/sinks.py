@@ -117,6 +117,17 @@ def coverage_report(covered: DataFrame) -> str:
     return "\n".join(lines + (["\nLeft out on purpose:", *left] if left else [])) + "\n"
 
 
+def chunks_report(validated: DataFrame, most: int = 20) -> str:
+    """How many chunks have come back and what they hold, and the first of those that are missing or can't be used."""
+    t = validated.agg(F.count("*").alias("all"), F.count_if(F.col("status") == "ok").alias("ok"), F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges")).first()
+    lines = [f"Chunks: {t['ok']:,} of {t['all']:,}, {t['nodes'] or 0:,} nodes, {t['edges'] or 0:,} edges"]
+    for status in ("missing", "invalid"):
+        lost = [r["chunk"] for r in validated.where(F.col("status") == status).orderBy("chunk").limit(most + 1).collect()]
+        if lost:
+            lines.append(f"{status}: {', '.join(map(str, lost[:most]))}" + (" ..." if len(lost) > most else ""))
+    return "\n".join(lines) + "\n"
+
+
 def audit_report(audited: DataFrame, chunk: str) -> str:
     """A stale mapping in one line, or the names that share nothing with their community."""
     found = audited.collect()

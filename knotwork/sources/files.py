@@ -23,16 +23,21 @@ def relative(path: Column, root: str) -> Column:
     return F.when(F.startswith(plain, F.lit(bare)), F.substr(plain, F.lit(len(bare) + 1)))
 
 
+def _read(spark: SparkSession, root: str) -> DataFrame:
+    """All files below root; those that vanish or can't be read are left out."""
+    return spark.read.format("binaryFile").options(recursiveFileLookup=True, ignoreMissingFiles=True, ignoreCorruptFiles=True).load(root)
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """path, length of all files below root. Contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = _read(spark, root)
     return files.select(relative(F.col("path"), root).alias("path"), "length")
 
 
 def scan_texts(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """path, text of the files with the given extensions (any case), by default of program sources."""
     wanted = SOURCE_EXTENSIONS if extensions is None else extensions
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = _read(spark, root)
     rows = files.select(relative(F.col("path"), root).alias("path"), "content").where(extension("path").isin(wanted))
     return rows.select("path", decoded(F.col("content")).alias("text"))
 

@@ -347,4 +347,6 @@ def test_commands_from_checkout_to_checked_graph(spark, tmp_path, monkeypatch):
     assert "includes | out" in run("path", "Core::a", "Util::u")[0]
     assert "Util::u" in run("neighbors", "Core::a")[0] and "NODE" in run("query", "alpha helper")[0]
     assert "chunks" in run("semantic", "--root", ".", "--patterns", "**/*.py", "--folder", str(tmp_path / "sem"))[0]
-    assert "missing" in run("semantic", "--validate", "--folder", str(tmp_path / "sem"))[0] if list((tmp_path / "sem").glob("chunk_*")) else True
+    assert "Chunks: 0 of 1" in run("semantic", "--validate", "--folder", str(tmp_path / "sem"))[0]
+    (tmp_path / "sem" / "chunk_01.json").write_text('{"nodes": [{"id": "a"}], "edges": []}')
+    assert run("semantic", "--validate", "--folder", str(tmp_path / "sem"))[0] == "Chunks: 1 of 1, 1 nodes, 0 edges\n"
