@@ -263,7 +263,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     Case, punctuation and white space don't count. Of several places of an item in a document the closest is given, then the first.
     Null and empty texts have no matches; null keys are carried along; repeated rows are each searched. An empty table on either side
-    gives no rows. Other columns are left out.
+    gives no rows. Other columns are left out. A task holds about 40 bytes a byte of the text it works on.
     """
     found = None
     for block in each_block(benchmark):

@@ -423,6 +423,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         named = relabelled(named, tied, scratch)
     of_text = firsts.join(named, F.col("first") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "first").alias("c"))
     of_text = scratch.save(of_text)
+    scratch.keep_only(signed, of_text)
     return (
         signed.select("doc_id", "d1", "d2")
         .join(of_text, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")

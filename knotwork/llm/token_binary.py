@@ -206,7 +206,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, scratch: Scratch, key: str
     """Writes all texts in ascending order of key; returns the files' rows, ids by rank and each part's first position.
 
     A null text counts as empty and gives the end id alone. Null keys come first; rows that repeat a key stay apart, in the order
-    of their texts. Other columns are left out. An empty table gives no rows.
+    of their texts. Other columns are left out. An empty table gives no rows. A task holds about 40 bytes a byte of the text it works
+    on.
     """
     spark = scratch.spark
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
