@@ -26,7 +26,8 @@ TREES, DEPTH, SEED = 20, 7, 7
 THRESHOLD = 0.5
 SYNTHETIC_ROWS = 12_000
 
-#: Words that keys don't contain, words that announce keys, words that announce other things, folders of examples.
+#: Words that keys don't contain, words that announce keys, words that announce other things, what providers begin their
+#: keys with, folders of examples.
 DICTIONARY = [
     "about", "access", "after", "account", "and", "application", "array", "block", "build", "class", "client", "code", "config", "connection", "content", "context",
     "data", "default", "document", "error", "event", "example", "file", "for", "from", "function", "group", "handler", "have", "header", "http", "image", "index",
@@ -37,9 +38,10 @@ DICTIONARY = [
 DICTIONARY_OF_CONTEXT = ["about", "after", "and", "content", "file", "for", "from", "have", "in", "is", "list", "method", "of", "page", "process", "see", "that", "the", "this", "to", "value", "with", "work"]
 ANNOUNCE_KEY = ["api", "auth", "bearer", "credential", "key", "passwd", "password", "pwd", "secret", "token"]
 ANNOUNCE_OTHER = ["checksum", "commit", "digest", "etag", "example", "hash", "md5", "revision", "sha", "sha1", "sha256", "uuid", "version"]
+PROVIDER_MARKS = ["sk_live_", "ghp_", "xoxb-", "glpat-", "AKIA"]
 EXAMPLE_PATHS = ["doc", "example", "fixture", "mock", "sample", "test"]
 
-FEATURES = ["n", "changes", "familiar", "distinct", "digits", "uppers", "marks", "hexadecimal", "dictionary", "announced", "denied", "assigned", "quoted", "example_path"]
+FEATURES = ["n", "changes", "provider", "familiar", "distinct", "digits", "uppers", "marks", "hexadecimal", "dictionary", "announced", "denied", "assigned", "quoted", "example_path"]
 
 
 def familiar_pairs() -> str:
@@ -68,6 +70,7 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "n": n.cast("double"),
+            "provider": c.rlike("^(" + "|".join(PROVIDER_MARKS) + ")").cast("double"),
             "changes": (F.length(kinds) - 1).cast("double"),
             "familiar": count(familiar_pairs()) / n,
             "distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double"),
@@ -127,14 +130,17 @@ def synthetic_findings(spark: SparkSession, rows: int = SYNTHETIC_ROWS) -> DataF
     def size(least: int, most: int, salt: str) -> Column:
         return (F.floor(hash_unit(F.lit(salt), i) * (most - least + 1)) + least).cast("int")
 
-    kind = pick([str(x) for x in range(10)], "kind")
-    plain = F.left(h, size(32, 64, "n"))
+    kind = pick([str(x) for x in range(12)], "kind")
+    plain = F.left(h, size(16, 64, "n"))
+    letters = F.translate(F.left(g, size(16, 28, "l")), "0123456789abcdef", "etaoinshrdlucmfw")  # words of any language
     joint = pick(["", "_", "-", "."], "j")
     candidate = (
         F.when(kind == "0", plain)
         .when(kind == "1", F.upper(plain))
         .when(kind == "2", b64)
-        .when(kind == "3", F.concat(pick(["sk_live_", "ghp_", "xoxb-", "AKIA", "glpat-"], "p"), F.left(b64, size(20, 36, "m"))))
+        .when(kind == "3", F.concat(pick(PROVIDER_MARKS[:4], "p"), F.left(b64, size(20, 36, "m"))))
+        .when(kind == "10", F.concat(F.lit("AKIA"), F.upper(F.left(b64, F.lit(16)))))
+        .when(kind == "11", F.concat(F.when(hash_unit(F.lit("case"), i) < 0.5, letters).otherwise(F.upper(letters)), pick(["", "", ".", "-"], "end")))
         .when(kind == "4", F.left(h, F.when(hash_unit(F.lit("digest"), i) < 0.5, 40).otherwise(64)))
         .when(kind == "5", F.concat(F.left(h, F.lit(8)), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.left(g, F.lit(12))))
         .when(kind == "6", F.concat(fold(1, "w0"), *[F.concat(joint, fold(1, f"w{k}")) for k in range(1, 4)]))
@@ -148,8 +154,8 @@ def synthetic_findings(spark: SparkSession, rows: int = SYNTHETIC_ROWS) -> DataF
     quote = pick(['"', "'", "", ""], "q")
     path = pick([*EXAMPLE_PATHS, *["src", "web", "mail", "news"] * 3], "f")
     # random values are keys where they are announced as such, those with a provider's mark unless they are announced as something else
-    marked = kind == "3"
-    label = (kind.isin("0", "1", "2", "3", "4") & (context == "key")) | (marked & (context == "none"))
+    marked = kind.isin("3", "10")
+    label = (kind.isin("0", "1", "2", "3", "4", "10") & (context == "key")) | (marked & (context == "none"))
     out = spark.range(0, rows, 1, 1).select("id", candidate.alias("candidate"), before1.alias("before1"), before2.alias("before2"), path.alias("path"), label.cast("double").alias("label"), quote.alias("q"))
     return out.withColumn("word", F.concat("q", "candidate", "q")).where(F.length("candidate") >= LEAST).drop("q")
 

@@ -122,14 +122,22 @@ def test_secret_scan_finds_planted(spark, small, forest):
 
     small = small.replace("0.001", "0.01")
     corpus = duckdb.connect().execute(f"SELECT doc_id, text FROM '{small}/documents.parquet'").fetchall()
-    pattern = re.compile(r"token = \"([0-9a-f]{40})\"", re.I)
+    rnd = random.Random(6)
+    for i in range(60):  # two more kinds in ordinary texts
+        key = f"password={rnd.getrandbits(72):018x}" if i % 2 else "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        own = (corpus[i][1] or "").split(" ")
+        own.insert(rnd.randint(0, len(own)), key)
+        corpus.append((100_000 + i, " ".join(own)))
+    pattern = re.compile(r"(?<=token = \")[0-9a-f]{40}(?=\")|(?<=password=)[0-9a-f]{16,}|\bAKIA[A-Z0-9]{16}\b", re.I)
     want = {(d, m.lower()) for d, t in corpus for m in pattern.findall(t or "")}
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert {m[:4] == "akia" for _, m in want} == {True, False}
+    docs = spark.createDataFrame([(d, t, "web") for d, t in corpus], "doc_id long, text string, source string")
     found = secret_scan.candidates(docs, ["doc_id"]).select("__carry.doc_id", F.lower("candidate").alias("c"), F.sha2("candidate", 256).alias("sha256")).join(secret_scan.scan(docs, ["doc_id"], forest).select("doc_id", "sha256"), ["doc_id", "sha256"])
     got = {(r["doc_id"], r["c"]) for r in found.collect()}
     assert want and want <= got
     clean = [d for d, t in corpus if not pattern.search(t or "")]
-    assert len({d for d, _ in got} & set(clean)) <= 0.02 * len(clean)
+    assert len({d for d, _ in got} & set(clean)) <= 0.005 * len(clean)
+    assert len(got - want) <= 0.05 * len(want)
 
 
 def test_secret_scan_odd_inputs(spark, empty, forest):
