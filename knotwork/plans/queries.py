@@ -887,7 +887,7 @@ def path_and_number_formats(s, d):
 
 
 @query(f"""WITH {FILE_NAMES}, o AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '{{"nodes": [1, 2], "edges": [3]}}' WHEN 2 THEN '{{"nodes": [], "edges": 3}}' WHEN 3 THEN '{{"nodes": [' ELSE '{{"nodes": [' || doc_id || '], "edges": []}}' END AS content FROM documents)
-SELECT doc_id AS chunk, CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' WHEN 4 THEN 'ok' ELSE 'invalid' END AS status, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS nodes, CASE doc_id % 5 WHEN 1 THEN 1 ELSE 0 END AS edges FROM o""", prefix=False)
+SELECT doc_id AS chunk, CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' WHEN 4 THEN 'ok' ELSE 'invalid' END AS status, CAST(CASE doc_id % 5 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS BIGINT) AS nodes, CAST(CASE doc_id % 5 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS edges FROM o""", prefix=False)
 def fragment_validation(s, d):
     docs = V.read(s, d, "documents").select(F.col("doc_id").alias("chunk"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("output"))
     kind = F.col("chunk") % 5
@@ -1059,7 +1059,7 @@ def checkout_scan(s, d):
     return listed.select("path").join(texts, "path", "left").join(claimed_, "path", "left").select("path", "text", "chunk")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS times FROM documents", prefix=False)
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS times FROM documents", prefix=False)
 def stream_ingest(s, d):
     """How often each document was handed on: all at first, then those whose text has changed, and none that hasn't."""
     scratch = Scratch(s, "stream")
