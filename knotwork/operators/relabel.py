@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_filled, last_segment, name_tokens
 
 STALE = (1, 4)
-#: Fixed value: the note on a name whose community isn't in the graph.
-ABSENT = "community id not present in this build"
+ABSENT = "no such community"
 
 
 def token_bags(docs: DataFrame, group: str, text: str) -> DataFrame:

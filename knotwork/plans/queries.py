@@ -523,14 +523,14 @@ gap AS (SELECT DISTINCT repo, name FROM ({VERIFIED_NAMES}) w WHERE NOT EXISTS (S
 e AS (SELECT count(*) FILTER (WHERE so IS NULL OR t_o IS NULL) AS dangling, count(*) FILTER (WHERE so IS DISTINCT FROM t_o) AS crossing FROM owned),
 c AS (SELECT 'no dangling edges' AS "check", dangling = 0 AS ok, 'error' AS severity, format('{{:,}} dangling', dangling) AS detail FROM e
 UNION ALL SELECT 'cross-module edges present', crossing > 0, 'error', format('{{:,}} cross-module edges', crossing) FROM e
-UNION ALL SELECT 'communities do not span chunks', count(*) = 0, 'error', count(*) || ' communities span >1 chunk' || CASE WHEN count(*) > 0 THEN ': ' || (SELECT string_agg(key, ', ' ORDER BY community) FROM (SELECT * FROM spans ORDER BY community LIMIT 5)) ELSE '' END FROM spans
-UNION ALL SELECT 'curated labels attached', attached > 0, 'error', attached || ' named communities covering ' || format('{{:,}}', (SELECT CAST(sum(named) AS BIGINT) FROM per)) || ' nodes' FROM retained
-UNION ALL SELECT 'curated-name retention rate', 2 * attached >= anchored, 'error', attached || '/' || anchored || ' ever-anchored names attached' FROM retained
-UNION ALL SELECT 'all curated names attached', count(*) = 0, 'warn', CASE WHEN count(*) = 0 THEN 'every curated name reached the merged graph' ELSE count(*) || ' name(s) did not attach: ' || 'part: ' || string_agg(name, ', ' ORDER BY name) END FROM gap
+UNION ALL SELECT 'communities do not span chunks', count(*) = 0, 'error', count(*) || ' in several chunks' || CASE WHEN count(*) > 0 THEN ': ' || (SELECT string_agg(key, ', ' ORDER BY community) FROM (SELECT * FROM spans ORDER BY community LIMIT 5)) ELSE '' END FROM spans
+UNION ALL SELECT 'curated labels attached', attached > 0, 'error', attached || ' names on ' || format('{{:,}}', (SELECT CAST(sum(named) AS BIGINT) FROM per)) || ' nodes' FROM retained
+UNION ALL SELECT 'curated-name retention rate', 2 * attached >= anchored, 'error', attached || ' of ' || anchored || ' anchored names' FROM retained
+UNION ALL SELECT 'all curated names attached', count(*) = 0, 'warn', CASE WHEN count(*) = 0 THEN 'none is missing' ELSE count(*) || ' missing: ' || 'part: ' || string_agg(name, ', ' ORDER BY name) END FROM gap
 UNION ALL SELECT 'all built chunks merged', count(*) > 0, 'error', string_agg(repo || '=' || format('{{:,}}', n), ', ' ORDER BY n DESC, repo) FROM per
-UNION ALL SELECT 'include recall computed', total_includes > 0, 'error', format('{{:,}}/{{:,}} directives resolved (', resolved_includes, total_includes) || CAST(round_even(100.0::DOUBLE * resolved_includes / total_includes, 0) AS BIGINT) || '%)' FROM i_stats
-UNION ALL SELECT 'docs present', sum(CASE WHEN repo = 'region' THEN n ELSE 0 END) > 0, 'error', CAST(sum(CASE WHEN repo = 'region' THEN n ELSE 0 END) AS BIGINT) || ' doc nodes' FROM per
-UNION ALL SELECT 'xsd present', sum(CASE WHEN repo = 'xsd' THEN n ELSE 0 END) > 0, 'error', CAST(sum(CASE WHEN repo = 'xsd' THEN n ELSE 0 END) AS BIGINT) || ' xsd nodes' FROM per)
+UNION ALL SELECT 'include recall computed', total_includes > 0, 'error', format('{{:,}} of {{:,}} references resolved (', resolved_includes, total_includes) || CAST(round_even(100.0::DOUBLE * resolved_includes / total_includes, 0) AS BIGINT) || '%)' FROM i_stats
+UNION ALL SELECT 'docs present', sum(CASE WHEN repo = 'region' THEN n ELSE 0 END) > 0, 'error', CAST(sum(CASE WHEN repo = 'region' THEN n ELSE 0 END) AS BIGINT) || ' nodes' FROM per
+UNION ALL SELECT 'xsd present', sum(CASE WHEN repo = 'xsd' THEN n ELSE 0 END) > 0, 'error', CAST(sum(CASE WHEN repo = 'xsd' THEN n ELSE 0 END) AS BIGINT) || ' nodes' FROM per)
 SELECT "check", ok, severity, detail FROM c""")
 def verify_summary(s, d):
     brand = V.parts(s, d).select("community").distinct()

@@ -18,7 +18,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="knotwork-"))

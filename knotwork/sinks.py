@@ -96,12 +96,11 @@ def report(rows: DataFrame, title: str, most: int = 1000) -> str:
 
 
 def checks_report(checks: DataFrame) -> str:
-    """One line a check, PASS, WARN or FAIL, and what that comes to."""
-    found = checks.collect()
-    tags = ["PASS" if r["ok"] else "WARN" if r["severity"] == "warn" else "FAIL" for r in found]
-    lines = [f"[{tag}] {r['check']:34s} {r['detail']}" for tag, r in zip(tags, found, strict=True)]
-    end = f"{tags.count('FAIL')} check(s) FAILED." if "FAIL" in tags else f"All checks passed ({tags.count('WARN')} warning(s))." if "WARN" in tags else "All checks passed."
-    return "\n".join([*lines, "", end, ""])
+    """A line a check, the failed ones first, then how many there are of each kind."""
+    kinds = ["failed", "warned", "passed"]
+    found = sorted(((2 if r["ok"] else 1 if r["severity"] == "warn" else 0, r["check"], r["detail"]) for r in checks.collect()), key=lambda x: x[0])
+    lines = [f"- {kinds[k]}: {name} ({detail})" for k, name, detail in found]
+    return "\n".join([*lines, "", ", ".join(f"{sum(x[0] == k for x in found)} {kind}" for k, kind in enumerate(kinds)), ""])
 
 
 def coverage_report(covered: DataFrame) -> str:
@@ -131,16 +130,15 @@ def chunks_report(validated: DataFrame, most: int = 20) -> str:
 def audit_report(audited: DataFrame, chunk: str) -> str:
     """A stale mapping in one line, or the names that share nothing with their community."""
     found = audited.collect()
-    lost = [r for r in found if not r["matched"]]
+    lost = sorted((r["community"], r["name"], r["note"] or "nothing in common") for r in found if not r["matched"])
     if found and found[0]["stale"]:
-        return f"{chunk}: STALE, {len(lost)}/{len(found)} numbers don't match their community's content; synchronise first.\n"
-    lines = [f"{chunk}: match={len(found) - len(lost)} mismatch={len(lost)} (of {len(found)})"]
-    return "\n".join(lines + [f'    {r["community"]:>4}  "{r["name"]}"' + (f"  [{r['note']}]" if r["note"] else "") for r in lost]) + "\n"
+        return f"{chunk}: the numbers are stale, {len(lost)} of {len(found)} names don't fit; synchronise first\n"
+    return "\n".join([f"{chunk}: {len(found) - len(lost)} of {len(found)} names fit", *(f"- {number}: {name} ({why})" for number, name, why in lost)]) + "\n"
 
 
 def bench_report(ratios: DataFrame, totals: DataFrame, suite: str) -> str:
     """The cost in tokens of each question, and of all."""
     t = totals.first()
-    lines = ["# Tokens of an answer from the graph and of its sources", "", f"- questions: {t['questions']} (suite sha256 {suite[:12]})", "", "| question | graph tok | source files | source tok | ratio |", "|---|--:|--:|--:|--:|"]
+    lines = ["# Tokens of an answer from the graph and of its sources", "", f"{t['questions']} questions, suite {suite[:12]}", "", "| question | answer | files | in files | ratio |", "|---|--:|--:|--:|--:|"]
     lines += [f"| {r['qid']} | {r['graph_tokens']:,} | {r['source_files']} | {r['source_tokens']:,} | {r['ratio']}x |" for r in ratios.orderBy("qid").collect()]
     return "\n".join([*lines, f"| **total** | **{t['graph_tokens']:,}** | | **{t['source_tokens']:,}** | **{t['ratio']}x** |", "", f"Median {t['median_ratio']}x a question.", ""])
