@@ -53,32 +53,35 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray,
     squares = np.stack([np.einsum("ij,ij->j", reals[a:b], reals[a:b]) for a, b in blocks]) if n else np.zeros((len(blocks), 0))
     rest = np.sqrt(np.concatenate([np.cumsum(squares[::-1], axis=0)[::-1][1:], np.zeros((1, n))]))
     norms = np.sqrt(squares.sum(axis=0))
-    found = []
+    found = [(np.zeros(0, dtype=np.int64),) * 3]
     for query_id, whole_query, floor in zip(query_ids, queries, floors, strict=True):
         query = whole_query.astype(np.float64)
         norm = float(np.sqrt(query @ query))
         left = [float(np.sqrt(query[b:] @ query[b:])) for _, b in blocks]
-        error = norms * (norm * 1e-12)
-        alive = np.flatnonzero(ids != query_id)
-        partial = np.zeros(len(alive))
-        whole = len(alive) == n
+        known = floor > -np.inf  # then bounds of this cell's own would seldom be better
+        # what is left: candidates, their columns from dimension ``base`` on, rounding error and remaining masses
+        who, here, base, error, masses = np.arange(n), reals, 0, norms * (norm * 1e-12), rest
+        partial = np.where(ids == query_id, -np.inf, 0.0)
         for j, (a, b) in enumerate(blocks):
-            partial = partial + query[a:b] @ (reals[a:b] if whole else reals[a:b, alive])
-            slack = left[j] * rest[j, alive] + error[alive]
-            if len(alive) > k:
+            partial = partial + query[a:b] @ here[a - base : b - base]
+            slack = left[j] * masses[j] + error
+            if len(who) > k and (not known or b == dims):
                 # the k-th best lower bound is no higher than the k-th best score
-                floor = max(floor, np.partition(partial - slack, len(alive) - k)[len(alive) - k])
-                if len(alive) > 4 * k and b < dims:
-                    some = alive[np.argpartition(partial, len(alive) - k)[-k:]]
-                    floor = max(floor, (query @ reals[:, some] - error[some]).min())
+                floor = max(floor, np.partition(partial - slack, len(who) - k)[len(who) - k])
+                if len(who) > 4 * k and b < dims and not j % 3:
+                    some = np.argpartition(partial, len(who) - k)[-k:]
+                    floor = max(floor, (partial[some] + query[b:] @ here[b - base :, some] - error[some]).min())
             keep = partial + slack >= floor - 1e-6
-            if not keep.all():
-                alive, partial, whole = alive[keep], partial[keep], False
-        exact = norm * norms[alive].max(initial=0) < 2.0**52
-        scores = np.rint(partial).astype(np.int64) if exact else exact_scores(whole_query, columns[:, alive])
-        order = np.lexsort((ids[alive], ~scores))[:k]  # ~x is -x - 1, which every long has
-        found.append(pd.DataFrame({"query_id": np.full(len(order), query_id), "vec_id": ids[alive][order], "score": scores[order]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            # copying pays when less than half is left
+            if b == dims or 2 * np.count_nonzero(keep) < len(keep):
+                who, partial, error, masses = who[keep], partial[keep], error[keep], masses[:, keep]
+                here, base = here[b - base :, keep], b
+        who, partial = who[partial > -np.inf], partial[partial > -np.inf]
+        exact = norm * norms[who].max(initial=0) < 2.0**52
+        scores = np.rint(partial).astype(np.int64) if exact else exact_scores(whole_query, columns[:, who])
+        order = np.lexsort((ids[who], ~scores))[:k]  # ~x is -x - 1, which every long has
+        found.append((np.full(len(order), query_id, dtype=np.int64), ids[who][order], scores[order]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True))).astype("int64")
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
