@@ -713,8 +713,7 @@ SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS BIGINT) AS position, node
 def depth_first(s, d):
     """Depth-first order of a region's nations and their suppliers, the smallest name first."""
     keep = V.edges(s, d).where("source_repo IN ('nation', 'supplier')").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    order = traversal.preorder(keep, "r0", 2, Scratch(s, "preorder"))
-    return s.createDataFrame(list(enumerate(order)), "position long, node string")
+    return traversal.depth_first(keep, "r0", 2, Scratch(s, "preorder"))
 
 
 REACH = ["region", "nation", "customer", "supplier", "part", "orders", "documents"]

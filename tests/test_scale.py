@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from knotwork.operators import analytics
+from knotwork.operators import analytics, traversal
 from knotwork.scratch import Scratch
 
 
@@ -47,3 +47,41 @@ def test_components_shuffle_few_rows_a_link(spark):
 def test_components_of_odd_links(spark, links, expected):
     got = analytics.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "odd")).collect()
     assert {r["node"]: r["component"] for r in got} == expected and len(got) == len(expected)
+
+
+def in_order(pairs, start, depth) -> list:
+    """Depth-first by a plain walk in Python."""
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen: dict = {}
+
+    def visit(node, level):
+        seen[node] = True
+        for n in sorted(near.get(node, ())) if level < depth else ():
+            if n not in seen:
+                visit(n, level + 1)
+
+    visit(start, 0)
+    return list(seen)
+
+
+@pytest.mark.parametrize("extra", [[], [("n0", "n3"), ("s11", "s700"), ("s5", "s5")]])
+def test_depth_first_of_many(spark, extra):
+    """More than ten thousand nodes, as a tree and with cycles."""
+    links = [("r", f"n{i}") for i in range(5)] + [(f"n{i % 5}", f"s{i}") for i in range(10_500)] + extra
+    pairs = spark.createDataFrame(links, "a string, b string")
+    got = traversal.depth_first(pairs, "r", 2, Scratch(spark, "order")).orderBy("position").collect()
+    expected = in_order(links, "r", 2)  # with cycles, a nation that is met as a supplier's depth isn't gone on from
+    assert [r["position"] for r in got] == list(range(len(expected)))
+    assert [r["node"] for r in got] == expected and len(got) == (8_406 if extra else 10_506)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_depth_first_of_odd_links(spark, depth):
+    draw = random.Random(depth)
+    links = [(draw.randrange(30), draw.randrange(30)) for _ in range(50)] + [(0, 7)]
+    pairs = spark.createDataFrame(links, "a long, b long")
+    assert traversal.preorder(pairs, 0, depth, Scratch(spark, "odd")) == in_order(links, 0, depth)
+    assert traversal.preorder(pairs, 77, depth, Scratch(spark, "none")) == [77]
