@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, is_curated, name_signature, percent, thousands
+from ..scratch import FILE_ROWS, Scratch, tasks
 from . import labels
 from .corpus import SOURCE_EXTENSIONS
 
@@ -15,23 +16,38 @@ FILE_TYPES = ["code", "document", "paper", "image", "rationale", "concept"]
 INFERRED_SCORES = [0.95, 0.85, 0.75, 0.65, 0.55]
 
 
+def lost_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """repo, local_id: the distinct ends of edges that are no nodes, written. Most graphs have few, so what follows is a small join.
+
+    Ends are reduced before they are shuffled, and the edges aren't shuffled at all, unless there are many lost ends.
+    """
+    both = F.array(*[F.struct(F.col(r).alias("repo"), F.col(i).alias("local_id")) for r, i in ENDS])
+    found = edges.select(F.explode(both).alias("x")).select("x.*").distinct()
+    return Scratch(edges.sparkSession, "lost").save(found.join(nodes.select("repo", "local_id"), ["repo", "local_id"], "left_anti"), rows=FILE_ROWS)
+
+
+def with_lost(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with s_lost and t_lost: whether that end is no node. An end that is null or has no repo is none."""
+    lost = lost_ends(edges, nodes)
+    for side, (repo, local) in zip("st", ENDS, strict=True):
+        one = lost.select(F.col("repo").alias("lost_repo"), F.col("local_id").alias("lost_id"), F.lit(True).alias(f"{side}_lost"))
+        edges = edges.join(one, F.col(repo).eqNullSafe(F.col("lost_repo")) & F.col(local).eqNullSafe(F.col("lost_id")), "left").drop("lost_repo", "lost_id")
+    return edges.withColumns({f"{s}_lost": F.coalesce(f"{s}_lost", F.lit(False)) for s in "st"})
+
+
+def crossing() -> Column:
+    """Whether the ends' nodes are in different repos; an end without a node is in none."""
+    return F.when(F.col("s_lost") | F.col("t_lost"), F.col("s_lost") != F.col("t_lost")).otherwise(F.col("source_repo") != F.col("target_repo"))
+
+
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges of which an end is no node."""
-    ids = nodes.select("repo", "local_id")
-    missing = None
-    for repo, local in ENDS:
-        one = edges.join(ids, (F.col(repo) == F.col("repo")) & (F.col(local) == F.col("local_id")), "left_anti")
-        missing = one if missing is None else missing.union(one)
-    return missing.select("source_repo", "source", "target_repo", "target").distinct()
+    return with_lost(edges, nodes).where("s_lost OR t_lost").select("source_repo", "source", "target_repo", "target").distinct()
 
 
 def cross_recount(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: edges, and those whose ends' nodes are in different repos; an end without a node is in none, so differs from any."""
-    for side, (repo, local) in zip("st", ENDS, strict=True):
-        owner = nodes.select(F.col("repo").alias(repo), F.col("local_id").alias(local), F.col("repo").alias(f"{side}_owner"))
-        edges = edges.join(owner, [repo, local], "left")
-    differ = ~F.col("s_owner").eqNullSafe(F.col("t_owner"))
-    return edges.agg(F.count("*").alias("n_edges"), F.count_if(differ).alias("n_cross"))
+    return with_lost(edges, nodes).agg(F.count("*").alias("n_edges"), F.count_if(crossing()).alias("n_cross"))
 
 
 def community_spans(nodes: DataFrame) -> DataFrame:
@@ -47,17 +63,18 @@ def named_coverage(nodes: DataFrame) -> DataFrame:
 
 def graph_health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: edges, edges with a null end, dangling edges, self-loops, repeated directed and undirected pairs."""
-    ids = nodes.select(F.col("repo"), F.col("local_id"), F.lit(True).alias("known"))
     rows = edges.select("source_repo", "source", "target_repo", "target")
-    for side, (repo, local) in zip("st", ENDS, strict=True):
-        rows = rows.join(ids.select(F.col("repo").alias(repo), F.col("local_id").alias(local), F.col("known").alias(f"{side}_known")), [repo, local], "left")
-    rows = rows.withColumns({x: F.struct(F.col(r).alias("repo"), F.col(i).alias("id")) for x, (r, i) in zip("st", ENDS, strict=True)})
     empty = F.col("source").isNull() | F.col("target").isNull()
-    loop = F.col("s") == F.col("t")
-    # one pass: rows are reduced to distinct pairs first
-    per = rows.groupBy("s", "t").agg(F.count("*").alias("n"), F.max((F.col("s_known").isNull() | F.col("t_known").isNull()) & ~empty).alias("dangling"), F.max(empty).alias("empty"), F.max(loop).alias("loop"))
-    pairs = per.groupBy(F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q")).agg(F.sum("n").alias("n"), F.count("*").alias("directed"), F.sum(F.when(F.col("dangling"), F.col("n")).otherwise(0)).alias("dangling"), F.sum(F.when(F.col("empty"), F.col("n")).otherwise(0)).alias("empty"), F.sum(F.when(F.col("loop"), F.col("n")).otherwise(0)).alias("loops"))
-    return pairs.agg(F.sum("n").alias("edges"), F.sum("empty").alias("missing_endpoint"), F.sum("dangling").alias("dangling"), F.sum("loops").alias("self_loops"), F.sum(F.col("n") - F.col("directed")).alias("directed_duplicates"), F.sum(F.col("n") - 1).alias("undirected_duplicates"))
+    lost = with_lost(rows, nodes).agg(F.count_if((F.col("s_lost") | F.col("t_lost")) & ~empty).alias("dangling"))
+    x = {c: F.struct(F.col(r).alias("repo"), F.col(i).alias("id")) for c, (r, i) in zip("st", ENDS, strict=True)}
+    rows = rows.select(F.least(x["s"], x["t"]).alias("p"), F.greatest(x["s"], x["t"]).alias("q"), (x["s"] <= x["t"]).alias("forward"), empty.alias("empty"))
+    # dealt once, by the pair: a pair's two directions are counted where it is
+    dealt = rows.repartition(tasks(edges.count()), "p", "q")
+    pairs = dealt.groupBy("p", "q").agg(F.count("*").alias("n"), F.count_if("forward").alias("forward"), F.count_if("empty").alias("empty"))
+    directed = (F.col("forward") > 0).cast("long") + (F.col("forward") < F.col("n")).cast("long")
+    loops = F.when(F.col("p") == F.col("q"), F.col("n")).otherwise(0)
+    counts = pairs.agg(F.sum("n").alias("edges"), F.sum("empty").alias("missing_endpoint"), F.sum(loops).alias("self_loops"), F.sum(F.col("n") - directed).alias("directed_duplicates"), F.sum(F.col("n") - 1).alias("undirected_duplicates"))
+    return counts.join(F.broadcast(lost), F.lit(True)).select("edges", "missing_endpoint", "dangling", "self_loops", "directed_duplicates", "undirected_duplicates")
 
 
 def near_duplicate_names(names: DataFrame, column: str) -> DataFrame:
@@ -108,13 +125,10 @@ def spec_rules(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame) -> Dat
 def ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: edges, those of which an end is no node (dangling), and those whose ends' nodes are in different repos (crossing).
 
-    One pass: each end is joined with its node once, for both counts.
+    One pass, after the lost ends are found.
     """
-    for side, (repo, local) in zip("st", ENDS, strict=True):
-        owner = nodes.select(F.col("repo").alias(repo), F.col("local_id").alias(local), F.col("repo").alias(f"{side}_owner"))
-        edges = edges.join(owner, [repo, local], "left")
-    lost = F.col("s_owner").isNull() | F.col("t_owner").isNull()
-    return edges.agg(F.count("*").alias("edges"), F.count_if(lost).alias("dangling"), F.count_if(~F.col("s_owner").eqNullSafe(F.col("t_owner"))).alias("crossing"))
+    rows = with_lost(edges, nodes)
+    return rows.agg(F.count("*").alias("edges"), F.count_if(F.col("s_lost") | F.col("t_lost")).alias("dangling"), F.count_if(crossing()).alias("crossing"))
 
 
 def verify(nodes: DataFrame, edges: DataFrame, anchors: DataFrame | None = None, wanted: DataFrame | None = None, stats: DataFrame | None = None, required: dict[str, str] | None = None) -> DataFrame:
