@@ -582,9 +582,11 @@ def id_owner(s, d):
  SELECT target_repo || '::' || target, source_repo || '::' || source, 'zz_' || relation, 'AMBIGUOUS' FROM g_edges))) WHERE k = 1""")
 def undirected_edges(s, d):
     rows = assemble.merged_edges(V.edges(s, d)).select("source", "target", "relation", "confidence")
-    turned = rows.select(F.col("target").alias("source"), F.col("source").alias("target"), F.concat(F.lit("zz_"), "relation").alias("relation"), F.lit("AMBIGUOUS").alias("confidence"))
+    turned = F.struct(F.col("target").alias("source"), F.col("source").alias("target"), F.concat(F.lit("zz_"), "relation").alias("relation"), F.lit("AMBIGUOUS").alias("confidence"))
+    # each edge beside its turned one, so a task that has one has both
+    both = rows.select(F.explode(F.array(F.struct(*rows.columns), turned)).alias("x")).select("x.*")
     ids = V.nodes(s, d).select(assemble.qualified("repo", "local_id").alias("id"))
-    return analytics.undirected(rows.union(turned), ids)
+    return analytics.undirected(both, ids)
 
 
 def _spread(i: int) -> str:
